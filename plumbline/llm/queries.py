@@ -46,11 +46,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_packing": op2_packing,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_topk": topk.ORACLE, "op9_mixing": mixing.ORACLE}
