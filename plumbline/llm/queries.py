@@ -32,6 +32,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import document_audio
+
+    rows = document_audio(table(spark, sf_dir, "documents"))
+    feature = F.concat_ws(";", "n_frames", F.size("segments"), F.round(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_s"] - s["start_s"]), 3), F.sha2("tensors", 256))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import integer_vectors, top_k
 
@@ -55,6 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_packing": op2_packing,
+    "op3_audio": op3_audio,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
