@@ -16,7 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES, WORDS = 450_000, 450_000
+PIECES, WORDS = 900_000, 900_000
+
+
+class Pieces(dict):
+    """Ids of pieces (without their leading space); an unknown one is encoded when first asked for."""
+
+    def __init__(self, encoder: TextEncoder):
+        super().__init__()
+        self.of, self.words, self.ids = encoder._words, encoder.words, encoder._ids
+
+    def __missing__(self, piece: str) -> bytes:
+        own = b""
+        for w in self.of(" " + piece):
+            ids = self.words.get(w)
+            if ids is None:
+                ids = self.words[w] = self.ids(w)
+            own += ids
+        self[piece] = own
+        return own
 
 
 class TextEncoder:
@@ -39,8 +57,8 @@ class TextEncoder:
         self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in kept)}
         self.odd = regex.compile(r" (?:\s|$)").search
         self.cut = regex.compile(r" (?=\S)").split
-        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.pieces = Pieces(self)
 
     def _ids(self, word: str) -> bytes:
         """Ids of one pre-token, by the tokenizer's own merges over its byte alphabet."""
@@ -58,36 +76,22 @@ class TextEncoder:
             return [piece[:-1], piece[-1]]
         return self.split(piece)
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        words, ids, out = self.words, self._ids, []
-        if len(words) > WORDS:
-            words.clear()
-        for p in pieces:
-            own = b""
-            for w in self._words(p):
-                if w not in words:
-                    words[w] = ids(w)
-                own += words[w]
-            out.append(own)
-        return out
-
     def _parts(self, text: str) -> list[str]:
         """The pieces of a text, without the space that starts each but the first."""
         return self.cut(text) if self.odd(text) else text.split(" ")
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as bytes."""
-        parts = [self._parts(t) for t in texts]
-        cache = self.pieces
-        new = {p for ps in parts for p in ps[1:] if p not in cache}
-        if len(cache) + len(new) > PIECES:
-            cache.clear()
-            new = {p for ps in parts for p in ps[1:]}
-        if new:
-            new = list(new)
-            cache.update(zip(new, self._learn([" " + p for p in new]), strict=True))
-        get = cache.__getitem__
-        return [self._first(ps[0]) + b"".join(map(get, ps[1:])) for ps in parts]
+        out, get = [], self.pieces.__getitem__
+        for text in texts:
+            parts = self._parts(text)
+            first = self._first(parts[0])
+            out.append(first + b"".join(map(get, parts[1:])))
+            if len(self.pieces) > PIECES:
+                self.pieces.clear()
+            if len(self.words) > WORDS:
+                self.words.clear()
+        return out
 
     def _first(self, piece: str) -> bytes:
         return b"".join(self.words.get(w) or self._ids(w) for w in self.split(piece))
