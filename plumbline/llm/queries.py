@@ -40,6 +40,23 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "_toxicity.expected_severity", "_toxicity.severity_grade", "_toxicity.p_toxic", "_toxicity.toxic")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, held_out, predict_language
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out(F.col("doc_id"))))
+    told = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict_language(model, F.col("text")).alias("p"))
+    return told.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.accepted").alias("accepted"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import integer_vectors, top_k
 
@@ -64,6 +81,8 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_packing": op2_packing,
     "op3_audio": op3_audio,
+    "op4_toxicity": op4_toxicity,
+    "op7_langid": op7_langid,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,

@@ -26,6 +26,7 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
+PLAIN, LETTERS = _GAP, np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, U(0xD6E8FEB86659FD93)
 _POWERS: list[np.ndarray] = []
 
@@ -38,9 +39,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of the texts of a slice: ``hashes``; ``counts`` and ``first`` for each text; byte spans ``at``, ``to`` in ``data``."""
+    """Words of the texts of a slice: ``hashes``; ``counts`` and ``first`` for each text; byte spans ``at``, ``to`` in ``data``.
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    ``gap`` tells which bytes separate words: white space (PLAIN) or all ASCII but letters and digits (LETTERS).
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, gap: np.ndarray = PLAIN):
         texts = texts.cast(pa.large_string()).fill_null("")
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -48,7 +52,7 @@ class Words:
         size = int(offsets[-1]) - lo if n else 0
         self.data = np.frombuffer(texts.buffers()[2], np.uint8)[lo : lo + size] if size else np.zeros(0, np.uint8)
         self.offsets = offsets - lo if n else np.zeros(1, np.int64)
-        word = ~_GAP[self.data]
+        word = ~gap[self.data]
         cut = np.zeros(size + 1, bool)
         cut[self.offsets] = True
         self.at = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]] if size else [word]) | word & cut[:-1])
