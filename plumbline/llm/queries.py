@@ -48,6 +48,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "_toxicity.expected_severity", "_toxicity.severity_grade", "_toxicity.p_toxic", "_toxicity.toxic")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_languages, held_out, predict_language
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_audio": op3_audio,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard": op5_jaccard,
     "op7_langid": op7_langid,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
