@@ -54,6 +54,13 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import without_repeats
+
+    rows = without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_languages, held_out, predict_language
 
@@ -89,6 +96,7 @@ QUERIES = {
     "op3_audio": op3_audio,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard": op5_jaccard,
+    "op6_repeats": op6_repeats,
     "op7_langid": op7_langid,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
