@@ -55,18 +55,31 @@ def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> D
     return best.select("doc_id", F.when(F.col("q") > 0, F.lit(good)).otherwise(F.lit(bad)).alias("quality_weight"))
 
 
+def row_key() -> Column:
+    """A hash of doc_id, source and text, by which a mixed row finds its document again."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
+def mixed_documents(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns. Equal rows are taken alike."""
+    copies = mix_sources(docs, weights).groupBy("rid").agg(F.max("copies").alias("copies")).where("copies > 0")
+    row = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("rid"))
+    times = row.join(copies, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i"))
+    return times.select("row.*")
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame, buckets: int = 4096, seed: str = SEED) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, epochs, taken.
+    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken and rid, a hash of doc_id, source and text.
 
     ``weights`` (doc_id, quality_weight), at most one row per doc_id, positive; missing ones count as 1. A null or empty
     text has size 0 and takes 0. Null sources form a source of their own; null doc_ids draw alike. Rows with the same
     doc_id and size tie: either may be taken first. Other columns are not read. An empty table gives an empty table.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("rid"))
     drawn = sized.join(weights, "doc_id", "left").withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("quality_weight", F.lit(1.0)))
     bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    rows, _ = written(drawn.select("doc_id", "source", "size", "key", bucket.alias("bucket")), "mix-keys")
+    rows, _ = written(drawn.select("doc_id", "source", "size", "rid", "key", bucket.alias("bucket")), "mix-keys")
 
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -79,7 +92,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, buckets: int = 4096, seed:
     both = ranked.alias("r").join(known.alias("k"), F.expr("r.source <=> k.source AND r.bucket = k.bucket"))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     more = (F.col("before") + F.col("within") + F.col("size") / 2 <= rest).cast("long")
-    return both.select("r.doc_id", "r.source", "r.size", "k.source_size", "k.target", "k.epochs", (F.col("r.size") * (F.col("epochs") + more)).alias("taken"))
+    return both.select("r.doc_id", "r.source", "r.size", "k.source_size", "k.target", (F.col("epochs") + more).alias("copies"), (F.col("r.size") * (F.col("epochs") + more)).alias("taken"), "r.rid")
 
 
 ORACLE = rf"""

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .files import written
 from .words import Words, slices
@@ -225,9 +226,11 @@ def repeat_marks(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "rid long, pos int, mask int").groupBy("rid", "pos").agg(F.bit_or("mask").alias("mask"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
+    With ``carry``, a struct column ``row`` holds the named columns as they were.
+
     A null or empty text has no words; texts shorter than a window lose none. Documents are ordered by doc_id, null last;
     rows with one doc_id are one document for that order, and equal starts in them count as one place, so exact repeats
     of a row keep what the row keeps. Other columns are not read. An empty table gives an empty table.
@@ -257,7 +260,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     else:
                         gone.append(0)
                     kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = _keyed(docs).join(each, "rid", "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+                more = [c.slice(at, 500) for c in batch.columns[3:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *more], ["doc_id", "n_words", "n_removed", "kept", *["row"] * len(more)])
+
+    rows = [F.struct(*carry).alias("row")] if carry else []
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rows).withColumn("rid", F.xxhash64("doc_id", "text"))
+    joined = keyed.join(each, "rid", "left").select("doc_id", "text", "marks", *(["row"] if carry else []))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *joined.schema.fields[3:]])
+    return joined.mapInArrow(run, schema)
