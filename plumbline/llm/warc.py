@@ -141,7 +141,9 @@ def train_dictionary(pages: DataFrame, samples: int = 256, most: int = 64_000) -
     """
     import zstandard
 
-    few = pages.select("page_id", "html").where(F.length("html").between(1, most)).orderBy(F.xxhash64("page_id"), "page_id").limit(samples).collect()
+    small = pages.where(F.col("page_id").isNotNull() & F.length("html").between(1, most))
+    ids = [r["page_id"] for r in small.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(samples).collect()]  # ids first: no payload but the chosen ones leaves its task
+    few = sorted(small.where(F.col("page_id").isin(ids)).select("page_id", "html").collect()) if ids else []
     rows = [record({"record_type": "response", "page_id": r["page_id"], "url": "https://example.org/", "sha1": hashlib.sha1(p).hexdigest()}, p) for r in few if (p := r["html"].encode()) is not None]
     try:
         return zstandard.train_dictionary(32_768, rows).as_bytes()
