@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import base, predictions  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
