@@ -4,9 +4,9 @@
 2. Grouping: sets that share one of a few min-hashes are compared with the least set of that min-hash; verified links
    form groups of similar sets. (This only decides what the groups are; no link depends on it.)
 3. The matrix has a cell (token, group) for the union of the members' prefixes. Tokens are ordered by (heavy or not, how
-   heavy, hash); of two sets that link, the prefixes of n - ceil(t n) + 1 tokens share one. A cell holds the least and
-   largest size and the largest partner that its position still allows, and is combined before the shuffle.
-4. Groups that share a token and whose bounds allow a link are candidates. Of each pair, the group with fewer members
+   heavy, hash); of two sets that link, the prefixes of n - ceil(t n) + 1 tokens share one. A cell holds the extreme
+   sizes and numbers of tokens left of its members, and is combined before the shuffle.
+4. Groups that share tokens and whose bounds on the overlap allow a link are candidates. Of each pair, the group with fewer members
    asks: a member opens a page of the other group only if at least t of its tokens lie in the page's token union. In
    opened pages sets are compared exactly, until one link is found.
 5. Components of all links. Two groups need one link to be one class, so links inside classes are not listed.
@@ -30,6 +30,7 @@ from .files import drop, written
 from .words import Words, mix, slices
 
 SEEDS, HEAVY, MAPPED, PAGE = 4, 200_000, 2_000_000, 64
+NO_ID = -(1 << 63)
 U = np.uint64
 _ZERO = np.zeros(0, U)
 
@@ -102,9 +103,9 @@ def _mapped(docs: DataFrame, known: DataFrame, by_sid: DataFrame, value: str) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if by_sid.count() <= MAPPED:
         got = by_sid.select("sid", value).toPandas().sort_values("sid")
-        return rows.select("text", F.lit(None).cast("long").alias("v")), docs.sparkSession.sparkContext.broadcast((got["sid"].to_numpy(np.int64), got[value].to_numpy(np.int64)))
+        return rows.select("text", F.lit(None).cast("long").alias("v"), "doc_id"), docs.sparkSession.sparkContext.broadcast((got["sid"].to_numpy(np.int64), got[value].to_numpy(np.int64)))
     each = known.join(by_sid, "sid").select("doc_id", F.col(value).alias("v")).distinct()
-    return rows.join(each, "doc_id", "left").select("text", "v"), None
+    return rows.join(each, rows["doc_id"].eqNullSafe(each["doc_id"]), "left").select("text", "v", rows["doc_id"]), None
 
 
 def _look(lookup, sid: int, given: int | None) -> int | None:
@@ -116,23 +117,29 @@ def _look(lookup, sid: int, given: int | None) -> int | None:
 
 
 def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(sid, tokens binary, n) of the wanted set ids, each once."""
-    rows, lookup = _mapped(docs, known, wanted.withColumn("v", F.col("sid")), "v")
+    """(sid, tokens binary) of the wanted set ids, from the document of least doc_id that has the set.
+
+    Rows that share that doc_id, and sets of documents without ids, can give a set more than once.
+    """
+    from_ = known.join(wanted, "sid").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("v"))
+    rows, lookup = _mapped(docs, known, from_, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            given = batch.column(1).to_pylist()
+            given, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             sids, out = [], []
             for j, s in shingle_sets(batch.column(0), k):
                 sid = set_id(s) if len(s) else None
-                if sid is not None and sid not in seen and _look(lookup, sid, given[j]) is not None:
+                if sid is None or sid in seen or (head := _look(lookup, sid, given[j])) is None:
+                    continue
+                if head == (NO_ID if ids[j] is None else ids[j]):
                     seen.add(sid)
                     sids.append(sid)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(out, pa.binary())], ["sid", "tokens"])
 
-    return rows.mapInArrow(run, "sid long, tokens binary").dropDuplicates(["sid"])
+    return rows.mapInArrow(run, "sid long, tokens binary")
 
 
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +180,11 @@ def _order(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, buckets: int) -> DataFrame:
-    """Packed cells of the token-group matrix by token bucket: tokens, groups, least and largest size, largest partner."""
+    """Packed cells of the token-group matrix by token bucket.
+
+    A cell has its token (48 bits of it), group, least size of the members with the token in their prefix, how much
+    larger the largest is, the most tokens that a member has left from there on, and whether the group has several sets.
+    """
     rows, lookup = _mapped(docs, known, groups, "gid")
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -181,18 +192,18 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
         held, total, seen = [], 0, set()
 
         def cells() -> pa.RecordBatch:
-            token, gid, n, cap = (np.concatenate(c) for c in zip(*held, strict=True))
+            token, gid, n, left, multi = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((gid, token))
-            token, gid, n, cap = token[order], gid[order], n[order], cap[order]
+            token, gid, n, left, multi = token[order], gid[order], n[order], left[order], multi[order]
             first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])]))
-            lo, hi, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(cap, first)
-            token, gid = token[first], gid[first]
+            lo, hi, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(left, first)
+            token, gid, multi = token[first], gid[first], multi[first]
             bucket = ((token >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
             used, at = np.unique(bucket, return_index=True)
             ends = np.append(at[1:], len(bucket))
-            cut = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), cut(token, "<u4"), cut(gid, "<i8"), cut(lo, "<u4"), cut(hi, "<u4"), cut(most, "<u4")], ["bucket", "token", "gid", "lo", "hi", "cap"])
+            packed = [_pack(*(x[i:j] for x in (token >> U(16), gid, lo, hi - lo, most, multi))) for i, j in zip(at, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array((ends - at).astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "n", "cells"])
 
         for batch in batches:
             given = batch.column(1).to_pylist()
@@ -203,9 +214,7 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
                 n = len(s)
                 prefix = n - -(-percent * n // 100) + 1
                 gid = _look(lookup, sid, given[j])
-                # overlap >= (n + m) * p / (100 + p); with at most n - i tokens left to share, m is at most:
-                cap = (n - np.arange(prefix)) * (100 + percent) // percent - n
-                held.append((_order(s, sent.value)[:prefix], np.full(prefix, sid if gid is None else gid, np.int64), np.full(prefix, n), cap))
+                held.append((_order(s, sent.value)[:prefix], np.full(prefix, sid if gid is None else gid, np.int64), np.full(prefix, n), n - np.arange(prefix), np.full(prefix, gid is not None)))
                 total += prefix
             if total > 1_500_000:
                 yield cells()
@@ -213,36 +222,76 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
         if held:
             yield cells()
 
-    return rows.mapInArrow(run, "bucket int, token binary, gid binary, lo binary, hi binary, cap binary")
+    return rows.mapInArrow(run, "bucket int, n int, cells binary")
+
+
+_PLANES = (("<u8", 8), ("<i8", 1), ("<u4", 4), ("<u4", 4), ("<u4", 4), ("u1", 1))
+
+
+def _pack(token: np.ndarray, *more: np.ndarray) -> bytes:
+    """Cells of one bucket, sorted by token, column by column and byte plane by byte plane, compressed."""
+    import zstandard
+
+    cols = [np.diff(token, prepend=U(0)), *more]
+    return zstandard.compress(b"".join(c.astype(kind).view(np.uint8).reshape(-1, planes).T.tobytes() if planes > 1 else c.astype(kind).tobytes() for c, (kind, planes) in zip(cols, _PLANES, strict=True)), 1)
+
+
+def _unpack(data: bytes, n: int) -> list[np.ndarray]:
+    import zstandard
+
+    raw, at, out = zstandard.decompress(data), 0, []
+    for kind, planes in _PLANES:
+        size = np.dtype(kind).itemsize * n
+        part = np.frombuffer(raw, np.uint8, size, at)
+        out.append(np.ascontiguousarray(part.reshape(planes, n).T).view(kind).reshape(-1) if planes > 1 else part.view(kind))
+        at += size
+    out[0] = np.cumsum(out[0], dtype=U)
+    return out
 
 
 def candidate_groups(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs (g, h), g < h, of groups with a common cell token whose bounds allow a link."""
+    """Pairs (g, h), g < h, of groups that share cell tokens and whose bounds allow a link.
+
+    Two sets of n and m tokens link only if they share need = p (n + m) / (100 + p) at least. At their first common
+    prefix token they can still share what either has left; and in all, the common prefix tokens plus what is left after
+    the last one. For groups the bounds take the members' extremes.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cat = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
-        token, gid, lo, hi, cap = cat("token", "<u4"), cat("gid", "<i8"), cat("lo", "<u4").astype(np.int64), cat("hi", "<u4").astype(np.int64), cat("cap", "<u4").astype(np.int64)
+        parts = [_unpack(x, n) for x, n in zip(pdf["cells"], pdf["n"], strict=True)]
+        token, gid, lo, more, left, multi = (np.concatenate(c) for c in zip(*parts, strict=True))
+        lo, left = lo.astype(np.int64), left.astype(np.int64)
+        hi = lo + more
         order = np.argsort(token, kind="stable")
         token = token[order]
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(edge, len(token)))
-        found = [np.zeros((0, 2), np.int64)]
+        names, held = ["g", "h", "shared", "least", "most", "fits", "need", "multi"], []
+
+        def merged() -> pd.DataFrame:
+            df = pd.DataFrame(np.concatenate([np.zeros((0, 8), np.int64), *held]), columns=names)
+            return df.groupby(["g", "h"], as_index=False).agg(shared=("shared", "sum"), least=("least", "min"), most=("most", "max"), fits=("fits", "max"), need=("need", "min"), multi=("multi", "max"))
+
         for n in np.unique(size[size > 1]).tolist():  # all lists of one length at once, in blocks
             starts = edge[size == n]
             for at in range(0, len(starts), max(1, 2_000_000 // n)):
                 rows = order[starts[at : at + max(1, 2_000_000 // n), None] + np.arange(n)]
-                g, a, b, c = gid[rows], lo[rows], hi[rows], cap[rows]
+                g, a, b, r, m = gid[rows], lo[rows], hi[rows], left[rows], multi[rows]
                 for d in range(1, n):
                     x, y = slice(None, n - d), slice(d, None)
-                    ok = (g[:, x] != g[:, y]) & (a[:, x] <= c[:, y]) & (a[:, y] <= c[:, x]) & (100 * b[:, x] >= percent * a[:, y]) & (100 * b[:, y] >= percent * a[:, x])
+                    ok = (g[:, x] != g[:, y]) & (100 * b[:, x] >= percent * a[:, y]) & (100 * b[:, y] >= percent * a[:, x])
                     if ok.any():
-                        p, q = g[:, x][ok], g[:, y][ok]
-                        found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
-                        if sum(map(len, found[1:])) > 500_000:
-                            found = [found[0], np.unique(np.concatenate(found), axis=0)]
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["g", "h"])
-
-    return cells.groupBy("bucket").applyInPandas(run, "g long, h long").distinct()
+                        p, q, rest = g[:, x][ok], g[:, y][ok], np.minimum(r[:, x], r[:, y])[ok]
+                        need = -(-percent * (a[:, x] + a[:, y])[ok] // (100 + percent))
+                        held.append(np.stack([np.minimum(p, q), np.maximum(p, q), np.ones(len(p), np.int64), rest, rest, rest >= need, need, (m[:, x] | m[:, y])[ok]], axis=1))
+                        if sum(map(len, held)) > 1_000_000:
+                            held = [merged().to_numpy(np.int64)]
+        return merged()
+
+    each = cells.groupBy("bucket").applyInPandas(run, "g long, h long, shared long, least long, most long, fits long, need long, multi long")
+    both = each.groupBy("g", "h").agg(F.sum("shared").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("fits").alias("fits"), F.min("need").alias("need"), F.max("multi").alias("multi"))
+    after = F.when(F.col("multi") == 1, F.col("most")).otherwise(F.col("least"))
+    return both.where((F.col("fits") == 1) & (F.col("c") - 1 + after >= F.col("need"))).select("g", "h")
 
 
 def open_groups(asked: DataFrame, sets: DataFrame, pages: DataFrame, percent: int) -> DataFrame:
