@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .files import written
 from .words import LETTERS, Words, slices
 
 
@@ -91,7 +92,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, feat
         return none
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.where(" OR ".join(f"toxic = {k}" for k in sizes)).where(share < F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0])))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample, _ = written(sample, "toxicity-sample")  # about 2 * per_class ids were broadcast for it
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
