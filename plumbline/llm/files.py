@@ -55,3 +55,25 @@ def put(uri: str, data: bytes) -> None:
     with store.open_output_stream(part) as out:
         out.write(data)
     store.move(part, f"{at}/{name}")
+
+
+_LOADED: dict[str, list] = {}
+
+
+def load_sorted(folder: str, columns: tuple[str, ...]) -> list:
+    """In a task: the long columns of a small table of the shared folder as numpy arrays, sorted by the first one.
+
+    A worker process keeps the table it read last. The caller has checked the table's size.
+    """
+    if folder not in _LOADED:
+        import numpy as np
+        import pyarrow.parquet as pq
+
+        store, at = pafs.FileSystem.from_uri(folder)
+        names = sorted(f.path for f in store.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
+        parts = [pq.read_table(n, columns=list(columns), filesystem=store) for n in names]
+        cols = [np.concatenate([np.zeros(0, np.int64), *(p[c].to_numpy() for p in parts)]) for c in columns]
+        order = np.argsort(cols[0], kind="stable")
+        _LOADED.clear()
+        _LOADED[folder] = [c[order] for c in cols]
+    return _LOADED[folder]

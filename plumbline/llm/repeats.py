@@ -12,7 +12,8 @@ whose internal nodes of that depth are the repeated windows. All but a node's fi
    all of their words, a longer prefix.
 3. The groups' findings return to the documents by a row key, and each word that a repeated window covers goes.
 
-Anchors that occur more than once go to the tasks as a broadcast if they are at most ``BROADCAST``; else by a join.
+Anchors that occur more than once are at most ``LOADED`` for tasks to read them whole from the shared folder; beyond
+that they come by a join.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import written
+from .files import load_sorted, written
 from .words import Words, slices
 
-WINDOW, ANCHOR, OFTEN, BROADCAST = 20, 10, 2000, 4_000_000
+WINDOW, ANCHOR, OFTEN, LOADED = 20, 10, 2000, 4_000_000
 SHIFTS = WINDOW - ANCHOR + 1
 SPAN = 2 * WINDOW - ANCHOR  # words around an anchor that its windows can reach
 U = np.uint64
@@ -92,18 +93,15 @@ def _packed(rows: dict[str, np.ndarray], words: np.ndarray, bucket: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *cols], ["bucket", *rows, "words"])
 
 
-def repeat_candidates(docs: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+def repeat_candidates(docs: DataFrame, counts: DataFrame, folder: str, buckets: int) -> DataFrame:
     """Packed anchor places by bucket: row key, document order, anchor start, mask of windows to look up, and words around it.
 
     Items without words are settled: their mask tells the windows that occur earlier in their own task.
     """
-    spark, n_known = docs.sparkSession, counts.count()
-    if n_known <= BROADCAST:
-        got = counts.toPandas().sort_values("h")
-        lookup = spark.sparkContext.broadcast((got["h"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
+    few = counts.count() <= LOADED
+    if few:
         rows = _keyed(docs).select("rid", "doc_id", "text", F.lit(None).cast("array<struct<h: long, n: long>>").alias("known"))
     else:
-        lookup = None
         rows = _keyed(docs).join(_anchors_of(docs, counts), "rid", "left").select("rid", "doc_id", "text", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +139,8 @@ def repeat_candidates(docs: DataFrame, counts: DataFrame, buckets: int) -> DataF
             for a, b in slices(batch.column(2)):
                 w = Words(batch.column(2).slice(a, b - a))
                 start, doc, at, h = _windows(w)
-                if lookup is not None:
-                    known, n = lookup.value
+                if few:
+                    known, n = load_sorted(folder, ("h", "n"))
                 else:
                     pairs = [(p["h"], p["n"]) for k in range(a, b) for p in given[k].as_py() or ()]
                     known, n = (np.array(x, np.int64) for x in zip(*sorted(set(pairs)), strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -169,7 +167,7 @@ def repeat_candidates(docs: DataFrame, counts: DataFrame, buckets: int) -> DataF
 
 
 def _anchors_of(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(rid, known): the repeated anchors of each row, where they are too many for a broadcast."""
+    """(rid, known): the repeated anchors of each row, where they are too many to be loaded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,9 +234,9 @@ def without_repeats(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     of a row keep what the row keeps. Other columns are not read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    counts, _ = written(anchor_counts(docs), "repeat-anchors")
+    counts, folder = written(anchor_counts(docs), "repeat-anchors")
     buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = repeat_marks(repeat_candidates(docs, counts, buckets))
+    marks = repeat_marks(repeat_candidates(docs, counts, folder, buckets))
     each, _ = written(marks.groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks")), "repeat-marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
