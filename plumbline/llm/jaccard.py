@@ -11,8 +11,8 @@
    opened pages sets are compared exactly, until one link is found.
 5. Components of all links. Two groups need one link to be one class, so links inside classes are not listed.
 
-Nothing is capped: heavy tokens only change the order, large groups are split into pages. Broadcast are at most ``HEAVY``
-heavy tokens and set-id maps of at most ``MAPPED`` entries; beyond that a join is used.
+Nothing is capped: heavy tokens only change the order, large groups are split into pages. At most ``HEAVY``
+heavy tokens are broadcast; tasks load set-id maps of at most ``MAPPED`` entries, beyond which a join is used.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .files import drop, written
+from .files import drop, load_sorted, written
 from .words import Words, mix, slices
 
 SEEDS, HEAVY, MAPPED, PAGE = 4, 200_000, 2_000_000, 64
@@ -98,20 +98,20 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "kind int, doc_id long, n long, sid long, mins array<long>")
 
 
-def _mapped(docs: DataFrame, known: DataFrame, by_sid: DataFrame, value: str) -> tuple[DataFrame, object]:
-    """(doc_id, text, value) and a lookup: the values of set ids as a broadcast if they are few, else joined to the rows."""
+def _mapped(docs: DataFrame, known: DataFrame, by_sid: DataFrame, value: str) -> tuple[DataFrame, str | None]:
+    """(text, v, doc_id) and where to look up the values of set ids: in a table that tasks load if it is small, else v."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    by_sid, folder = written(by_sid.select("sid", F.col(value).alias("v")), "jaccard-map")
     if by_sid.count() <= MAPPED:
-        got = by_sid.select("sid", value).toPandas().sort_values("sid")
-        return rows.select("text", F.lit(None).cast("long").alias("v"), "doc_id"), docs.sparkSession.sparkContext.broadcast((got["sid"].to_numpy(np.int64), got[value].to_numpy(np.int64)))
-    each = known.join(by_sid, "sid").select("doc_id", F.col(value).alias("v")).distinct()
+        return rows.select("text", F.lit(None).cast("long").alias("v"), "doc_id"), folder
+    each = known.join(by_sid, "sid").select("doc_id", "v").distinct()
     return rows.join(each, rows["doc_id"].eqNullSafe(each["doc_id"]), "left").select("text", "v", rows["doc_id"]), None
 
 
-def _look(lookup, sid: int, given: int | None) -> int | None:
-    if lookup is None:
+def _look(folder: str | None, sid: int, given: int | None) -> int | None:
+    if folder is None:
         return given
-    ids, values = lookup.value
+    ids, values = load_sorted(folder, ("sid", "v"))
     at = int(np.searchsorted(ids, sid))
     return int(values[at]) if at < len(ids) and ids[at] == sid else None
 
