@@ -89,7 +89,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     held.append(s)
                     size += len(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield heavy()
                 size = 0
         yield heavy()
@@ -216,7 +216,7 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
                 gid = _look(lookup, sid, given[j])
                 held.append((_order(s, sent.value)[:prefix], np.full(prefix, sid if gid is None else gid, np.int64), np.full(prefix, n), n - np.arange(prefix), np.full(prefix, gid is not None)))
                 total += prefix
-            if total > 1_500_000:
+            if total > 1_000_000:
                 yield cells()
                 total = 0
         if held:

@@ -157,7 +157,7 @@ def repeat_candidates(docs: DataFrame, counts: DataFrame, folder: str, buckets:
                 held.append((w.grams(WINDOW)[start], ids[a:b][doc], start - w.first[doc], occ, at - start, rids[a:b][doc[first]], (at - w.first[doc])[first], n[first], h[first], (around >> U(32)).astype(">u4")))
                 base += len(first)
                 size += len(first)
-                if size > 200_000:
+                if size > 100_000:
                     yield from flush()
                     size = base = 0
         if held:
