@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, evaluation, features, predictions  # noqa: F401
+from .plans import base, evaluation, features, models, predictions  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
