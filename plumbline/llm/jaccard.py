@@ -6,7 +6,8 @@
 3. The matrix has a cell (token, group) for the union of the members' prefixes. Tokens are ordered by (heavy or not, how
    heavy, hash); of two sets that link, the prefixes of n - ceil(t n) + 1 tokens share one. A cell holds the extreme
    sizes and numbers of tokens left of its members, and is combined before the shuffle.
-4. Groups that share tokens and whose bounds on the overlap allow a link are candidates. Of each pair, the group with fewer members
+4. Groups that share tokens and whose bounds on the overlap allow a link are candidates; for single sets, counts of their
+   tokens in hash buckets bound it once more. Of each pair, the group with fewer members
    asks: a member opens a page of the other group only if at least t of its tokens lie in the page's token union. In
    opened pages sets are compared exactly, until one link is found.
 5. Components of all links. Two groups need one link to be one class, so links inside classes are not listed.
@@ -54,6 +55,19 @@ def set_id(tokens: np.ndarray) -> int:
     return int((mix(mix(tokens + U(0x51ED2701)).sum(dtype=U)[None]) ^ U(len(tokens))).view(np.int64)[0])
 
 
+def bucket_counts(tokens: np.ndarray) -> bytes | None:
+    """How many tokens fall into each of about n / 2 hash buckets, a byte each; None where a byte is too small."""
+    buckets = 1 << min(16, max(6, len(tokens).bit_length() - 1))
+    counts = np.bincount(((tokens >> U(8)) & U(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """No more than this can two sets share: the sum over buckets of the smaller count, the finer table folded."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in sorted((a, b), key=len))
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets link: 100 * intersection >= percent * union."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -69,33 +83,34 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     salts = mix(np.arange(1, SEEDS + 1, dtype=U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "sid", "mins"]
+        names = ["kind", "doc_id", "n", "sid", "mins", "counts"]
         held, size, seen = [], 0, set()
 
         def heavy() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held) if held else _ZERO, return_counts=True)
             tokens, n = tokens[n >= 4].view(np.int64), n[n >= 4]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int64)), pa.array(tokens), pa.nulls(len(n), pa.list_(pa.int64()))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int64)), pa.array(tokens), pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.binary())], names)
 
         for batch in batches:
-            n, sids, mins = [], [], []
+            n, sids, mins, counts = [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 sids.append(set_id(s) if len(s) else None)
                 mins.append([int(x) for x in mix(s[None, :] ^ salts[:, None]).min(axis=1).view(np.int64)] if len(s) else None)
+                counts.append(bucket_counts(s))
                 if len(s) and sids[-1] not in seen:
                     seen.add(sids[-1])
                     held.append(s)
                     size += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names)
             if size > 2_000_000:
                 yield heavy()
                 size = 0
         yield heavy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "kind int, doc_id long, n long, sid long, mins array<long>")
+    return rows.mapInArrow(run, "kind int, doc_id long, n long, sid long, mins array<long>, counts binary")
 
 
 def _mapped(docs: DataFrame, known: DataFrame, by_sid: DataFrame, value: str) -> tuple[DataFrame, str | None]:
@@ -294,6 +309,26 @@ def candidate_groups(cells: DataFrame, percent: int) -> DataFrame:
     return both.where((F.col("fits") == 1) & (F.col("c") - 1 + after >= F.col("need"))).select("g", "h")
 
 
+def bounded_pairs(pairs: DataFrame, known: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Leaves out pairs of single sets whose bucket counts rule a link out; pairs with a larger group stay."""
+    many = groups.select(F.col("gid").alias("sid")).distinct()
+    wanted = pairs.select(F.col("g").alias("sid")).unionByName(pairs.select(F.col("h").alias("sid"))).distinct()
+    told = known.join(wanted, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+    told, at = written(told.join(many.withColumn("m", F.lit(True)), "sid", "left").select("sid", "n", F.when(F.col("m").isNull(), F.col("counts")).alias("c")), "jaccard-counts")
+    side = lambda k, n, c: told.select(F.col("sid").alias(k), F.col("n").alias(n), F.col("c").alias(c))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (c.to_pylist() for c in batch.columns[2:])
+            ok = [a is None or b is None or (100 + percent) * most_shared(a, b) >= percent * (n + m) for n, a, m, b in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["g", "h"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(side("g", "n", "a"), "g").join(side("h", "m", "b"), "h").select("g", "h", "n", "a", "m", "b")
+    out, _ = written(both.mapInArrow(run, "g long, h long"), "jaccard-pairs")
+    drop(known.sparkSession, at)
+    return out
+
+
 def open_groups(asked: DataFrame, sets: DataFrame, pages: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that members q find in pages of other groups; rows (q, page) ask."""
     stored = pages.join(sets, "sid").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("sid", "tokens"))).alias("members"))
@@ -339,7 +374,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     grouped = components(seeds).select(F.col("node").alias("sid"), F.col("root").alias("gid"))
     groups, _ = written(grouped, "jaccard-groups")
     buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs, _ = written(candidate_groups(matrix_cells(docs, known, groups, heavy, k, percent, buckets), percent), "jaccard-pairs")
+    pairs, _ = written(candidate_groups(matrix_cells(docs, known, groups, heavy, k, percent, buckets), percent), "jaccard-candidates")
+    pairs = bounded_pairs(pairs, known, groups, percent)
 
     # members and pages of the groups that take part; a group that is not listed is a single set
     part = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).distinct()
