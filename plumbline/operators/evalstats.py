@@ -23,7 +23,7 @@ def mean_method_rank(df: DataFrame, task: str, arm: str, score: str, lower_is_be
 
 def relative_change(value: Column, reference: Column, lower_is_better: Column) -> Column:
     """Percent change over a reference, positive where it is better."""
-    change = 100 * (value - reference) / reference
+    change = F.try_divide(100 * (value - reference), reference)
     return F.when(lower_is_better, -change).otherwise(change)
 
 
@@ -49,9 +49,9 @@ def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, value: str,
     u = uniform_of(F.concat_ws("|", F.col("_b").cast("string"), F.col("_c").cast("string")))
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     times = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
-    means = draws.withColumn("_t", times).groupBy(*keys, "_b").agg((F.sum(F.col("_s") * F.col("_t")) / F.sum(F.col("_n") * F.col("_t"))).alias("_m"))
+    means = draws.withColumn("_t", times).groupBy(*keys, "_b").agg(F.try_divide(F.sum(F.col("_s") * F.col("_t")), F.sum(F.col("_n") * F.col("_t"))).alias("_m"))
     ends = means.groupBy(*keys).agg(F.percentile("_m", F.lit((1 - level) / 2)).alias("low"), F.percentile("_m", F.lit((1 + level) / 2)).alias("high"))
-    return sums.groupBy(*keys).agg((F.sum("_s") / F.sum("_n")).alias("mean")).join(ends, keys)
+    return sums.groupBy(*keys).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("mean")).join(ends, keys)
 
 
 def best_so_far(df: DataFrame, keys: list[str], order: str, score: str, lower_is_better: bool = False) -> DataFrame:

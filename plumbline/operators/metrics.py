@@ -35,7 +35,7 @@ def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
     down = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(*keys)
     run = steps.select(*keys, "_tp", F.sum("_tp").over(down).alias("_ctp"), F.sum("_n").over(down).alias("_cn"), F.sum("_tp").over(every).alias("_p"), F.sum("_n").over(every).alias("_all"))
-    out = run.groupBy(*keys).agg(F.sum(F.col("_tp") / F.col("_p") * F.col("_ctp") / F.col("_cn")).alias("_ap"), F.first("_p").alias("_p"), F.first("_all").alias("_all"))
+    out = run.groupBy(*keys).agg(F.sum(F.try_divide(F.col("_tp"), F.col("_p")) * F.col("_ctp") / F.col("_cn")).alias("_ap"), F.first("_p").alias("_p"), F.first("_all").alias("_all"))
     return out.select(*keys, _or_nan((F.col("_p") > 0) & (F.col("_p") < F.col("_all")), F.col("_ap")).alias("average_precision"))
 
 
@@ -48,7 +48,7 @@ def spearman(df: DataFrame, keys: list[str]) -> DataFrame:
     """Pearson correlation of average ranks; NaN with fewer than two rows, non-finite values or a constant side."""
     ranked = df.withColumn("_a", average_rank("y", keys)).withColumn("_b", average_rank("score", keys))
     bad = F.max((F.isnan("y") | F.isnan("score") | F.col("y").isNull() | F.col("score").isNull() | (F.abs("y") == float("inf")) | (F.abs("score") == float("inf"))).cast("int"))
-    got = ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias("_c"), F.count(F.lit(1)).alias("_n"), bad.alias("_bad"), F.min("_a").alias("_a0"), F.max("_a").alias("_a1"), F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
+    got = ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("_c"), F.count(F.lit(1)).alias("_n"), bad.alias("_bad"), F.min("_a").alias("_a0"), F.max("_a").alias("_a1"), F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
     ok = (F.col("_n") > 1) & (F.col("_bad") == 0) & (F.col("_a0") < F.col("_a1")) & (F.col("_b0") < F.col("_b1"))
     return got.select(*keys, _or_nan(ok, F.col("_c")).alias("spearman"))
 
