@@ -127,7 +127,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, feat
             own = [cols[rows == k].tolist() for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["toxic", "features"])
 
-    rows = sample.mapInArrow(found, "toxic int, features array<int>").orderBy("toxic", "features").collect()
+    rows = sorted(sample.mapInArrow(found, "toxic int, features array<int>").collect(), key=lambda r: (r["toxic"], r["features"]))
     x, toxic = np.zeros((len(rows), len(words))), np.array([r["toxic"] for r in rows])
     for k, r in enumerate(rows):
         x[k, r["features"]] = 1
