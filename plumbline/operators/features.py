@@ -19,6 +19,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
 
+def with_words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, ws): the words as a column of their own, so that functions over their positions don't split the text again."""
+    return df.select(key, F.inline(F.array(F.struct(words(F.col(text)).alias("ws")))))
+
+
 def grams(ws: Column, n: int) -> Column:
     """Word n-grams joined by one space; the order n plays the part of a radius."""
     return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))

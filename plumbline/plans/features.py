@@ -22,19 +22,19 @@ def _bucket(e: str, n: int) -> str:
 @query(f"""{_W}, t AS (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS token FROM w WHERE len(ws) >= 2)
 SELECT doc_id, {_bucket('token', 1024)} AS bucket, count(*) AS n FROM t GROUP BY 1, 2""")
 def hashed_ngram_counts(spark, d):
-    return X.hashed_counts(table(spark, d, "documents"), "doc_id", X.grams(X.words(F.col("text")), 2), 1024)
+    return X.hashed_counts(X.with_words(table(spark, d, "documents"), "doc_id"), "doc_id", X.grams(F.col("ws"), 2), 1024)
 
 
 @query(f"""{_W}, t AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || '~2~' || ws[i + 2])) AS token FROM w WHERE len(ws) > 2)
 SELECT doc_id, {_bucket('token', 2048)} AS bucket, count(*) AS n FROM t GROUP BY 1, 2""")
 def skip_pair_counts(spark, d):
-    return X.hashed_counts(table(spark, d, "documents"), "doc_id", X.skip_pairs(X.words(F.col("text")), 2), 2048)
+    return X.hashed_counts(X.with_words(table(spark, d, "documents"), "doc_id"), "doc_id", X.skip_pairs(F.col("ws"), 2), 2048)
 
 
 @query(f"""{_W}, t AS (SELECT DISTINCT doc_id, {_bucket('token', 167)} AS bucket FROM (SELECT doc_id, unnest(ws) AS token FROM w))
 SELECT doc_id, count(*)::BIGINT AS n_bits, CAST(sum(bucket) AS BIGINT) AS total FROM t GROUP BY 1""")
 def presence_bits(spark, d):
-    counts = X.hashed_counts(table(spark, d, "documents"), "doc_id", X.words(F.col("text")), 167)
+    counts = X.hashed_counts(X.with_words(table(spark, d, "documents"), "doc_id"), "doc_id", F.col("ws"), 167)
     bits = X.dense(counts, "doc_id", 167, presence=True)
     on = F.filter(F.transform("values", lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
     return bits.select("doc_id", F.size(on).cast("long").alias("n_bits"), F.aggregate(on, F.lit(0).cast("long"), lambda a, i: a + i).alias("total"))
