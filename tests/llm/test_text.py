@@ -8,12 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.llm import components as C
 from plumbline.llm import jaccard as J
 from plumbline.llm import langid as L
 from plumbline.llm import mixing as M
 from plumbline.llm import repeats as R
 from plumbline.llm import toxicity as T
-from plumbline.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -62,11 +62,13 @@ def test_bucket_counts_never_undercount():
     assert J.most_shared(J.bucket_counts(x[:600]), J.bucket_counts(x[600:1200])) < 510
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [C.SMALL, -1])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(C, "SMALL", small)  # -1: the steps for many edges
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)] + [(200, i) for i in range(201, 240)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}, **{i: 200 for i in range(200, 240)}}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def kept(rows):
