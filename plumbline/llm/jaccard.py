@@ -6,7 +6,7 @@
 3. The matrix has a cell (token, group) for the union of the members' prefixes. Tokens are ordered by (heavy or not, how
    heavy, hash); of two sets that link, the prefixes of n - ceil(t n) + 1 tokens share one. A cell holds the extreme
    sizes and numbers of tokens left of its members, and is combined before the shuffle.
-4. Groups that share tokens and whose bounds on the overlap allow a link are candidates; for single sets, counts of their
+4. Groups that share a token and whose bounds on the overlap allow a link are candidates; for single sets, counts of their
    tokens in hash buckets bound it once more. Of each pair, the group with fewer members
    asks: a member opens a page of the other group only if at least t of its tokens lie in the page's token union. In
    opened pages sets are compared exactly, until one link is found.
@@ -198,7 +198,7 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
     """Packed cells of the token-group matrix by token bucket.
 
     A cell has its token (48 bits of it), group, least size of the members with the token in their prefix, how much
-    larger the largest is, the most tokens that a member has left from there on, and whether the group has several sets.
+    larger the largest is, and the most tokens that a member has left from there on.
     """
     rows, lookup = _mapped(docs, known, groups, "gid")
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
@@ -207,17 +207,17 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
         held, total, seen = [], 0, set()
 
         def cells() -> pa.RecordBatch:
-            token, gid, n, left, multi = (np.concatenate(c) for c in zip(*held, strict=True))
+            token, gid, n, left = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((gid, token))
-            token, gid, n, left, multi = token[order], gid[order], n[order], left[order], multi[order]
+            token, gid, n, left = token[order], gid[order], n[order], left[order]
             first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])]))
             lo, hi, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(left, first)
-            token, gid, multi = token[first], gid[first], multi[first]
+            token, gid = token[first], gid[first]
             bucket = ((token >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
             used, at = np.unique(bucket, return_index=True)
             ends = np.append(at[1:], len(bucket))
             held.clear()
-            packed = [_pack(*(x[i:j] for x in (token >> U(16), gid, lo, hi - lo, most, multi))) for i, j in zip(at, ends, strict=True)]
+            packed = [_pack(*(x[i:j] for x in (token >> U(16), gid, lo, hi - lo, most))) for i, j in zip(at, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array((ends - at).astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "n", "cells"])
 
         for batch in batches:
@@ -229,7 +229,7 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
                 n = len(s)
                 prefix = n - -(-percent * n // 100) + 1
                 gid = _look(lookup, sid, given[j])
-                held.append((_order(s, sent.value)[:prefix], np.full(prefix, sid if gid is None else gid, np.int64), np.full(prefix, n), n - np.arange(prefix), np.full(prefix, gid is not None)))
+                held.append((_order(s, sent.value)[:prefix], np.full(prefix, sid if gid is None else gid, np.int64), np.full(prefix, n), n - np.arange(prefix)))
                 total += prefix
             if total > 1_000_000:
                 yield cells()
@@ -240,7 +240,7 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
     return rows.mapInArrow(run, "bucket int, n int, cells binary")
 
 
-_PLANES = (("<u8", 8), ("<i8", 1), ("<u4", 4), ("<u4", 4), ("<u4", 4), ("u1", 1))
+_PLANES = (("<u8", 8), ("<i8", 1), ("<u4", 4), ("<u4", 4), ("<u4", 4))
 
 
 def _pack(token: np.ndarray, *more: np.ndarray) -> bytes:
@@ -264,49 +264,48 @@ def _unpack(data: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
-def candidate_groups(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs (g, h), g < h, of groups that share cell tokens and whose bounds allow a link.
+def candidate_groups(cells: DataFrame, percent: int, block: int = 1_000_000) -> DataFrame:
+    """Pairs (g, h), g < h, of groups that share a cell token whose bounds allow a link.
 
-    Two sets of n and m tokens link only if they share need = p (n + m) / (100 + p) at least. At their first common
-    prefix token they can still share what either has left; and in all, the common prefix tokens plus what is left after
-    the last one. For groups the bounds take the members' extremes.
+    Sets of n and m tokens link only if they share need = p (n + m) / (100 + p), and at their first common token they
+    can share no more than either has left. So a cell reaches partners between p n / 100 and a largest size only; with
+    the cells of a token in order of size these are a range, and no others are looked at. For groups the bounds take
+    the members' extremes.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(x, n) for x, n in zip(pdf["cells"], pdf["n"], strict=True)]
-        token, gid, lo, more, left, multi = (np.concatenate(c) for c in zip(*parts, strict=True))
+        token, gid, lo, more, left = (np.concatenate(c) for c in zip(*parts, strict=True))
         lo, left = lo.astype(np.int64), left.astype(np.int64)
         hi = lo + more
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(edge, len(token)))
-        names, held = ["g", "h", "shared", "least", "most", "fits", "need", "multi"], []
-
-        def merged() -> pd.DataFrame:
-            df = pd.DataFrame(np.concatenate([np.zeros((0, 8), np.int64), *held]), columns=names)
-            return df.groupby(["g", "h"], as_index=False).agg(shared=("shared", "sum"), least=("least", "min"), most=("most", "max"), fits=("fits", "max"), need=("need", "min"), multi=("multi", "max"))
-
-        for n in np.unique(size[size > 1]).tolist():  # all lists of one length at once, in blocks
-            starts = edge[size == n]
-            for at in range(0, len(starts), max(1, 2_000_000 // n)):
-                rows = order[starts[at : at + max(1, 2_000_000 // n), None] + np.arange(n)]
-                g, a, b, r, m = gid[rows], lo[rows], hi[rows], left[rows], multi[rows]
-                for d in range(1, n):
-                    x, y = slice(None, n - d), slice(d, None)
-                    ok = (g[:, x] != g[:, y]) & (100 * b[:, x] >= percent * a[:, y]) & (100 * b[:, y] >= percent * a[:, x])
-                    if ok.any():
-                        p, q, rest = g[:, x][ok], g[:, y][ok], np.minimum(r[:, x], r[:, y])[ok]
-                        need = -(-percent * (a[:, x] + a[:, y])[ok] // (100 + percent))
-                        held.append(np.stack([np.minimum(p, q), np.maximum(p, q), np.ones(len(p), np.int64), rest, rest, rest >= need, need, (m[:, x] | m[:, y])[ok]], axis=1))
-                        if sum(map(len, held)) > 1_000_000:
-                            held = [merged().to_numpy(np.int64)]
-        return merged()
-
-    each = cells.groupBy("bucket").applyInPandas(run, "g long, h long, shared long, least long, most long, fits long, need long, multi long")
-    both = each.groupBy("g", "h").agg(F.sum("shared").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("fits").alias("fits"), F.min("need").alias("need"), F.max("multi").alias("multi"))
-    after = F.when(F.col("multi") == 1, F.col("most")).otherwise(F.col("least"))
-    return both.where((F.col("fits") == 1) & (F.col("c") - 1 + after >= F.col("need"))).select("g", "h")
+        order = np.lexsort((gid, token))
+        token, gid = token[order], gid[order]
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])]))
+        token, gid, lo, hi, left = token[first], gid[first], np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first), np.maximum.reduceat(left[order], first)
+        number = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+        order = np.lexsort((lo, number))
+        number, gid, lo, hi, left = number[order], gid[order], lo[order], hi[order], left[order]
+        room = int(hi.max(initial=0)) + 2
+        place = number * room + lo
+        cap = np.minimum(left * (100 + percent) // percent - lo, lo)
+        least = np.maximum(percent * lo // 100 - int((hi - lo).max(initial=0)), 0)
+        at = np.searchsorted(place, number * room + least, side="left")
+        to = np.minimum(np.searchsorted(place, number * room + np.maximum(cap, -1), side="right"), np.arange(len(place)))
+        reach = np.maximum(to - at, 0)
+        found, ends = [np.zeros((0, 2), np.int64)], np.cumsum(reach)
+        k = 0
+        while k < len(reach):
+            stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + block, side="right")))
+            x = np.repeat(np.arange(k, stop), reach[k:stop])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(reach[k:stop]) - reach[k:stop], reach[k:stop]) + np.repeat(at[k:stop], reach[k:stop])
+            need = -(-percent * (lo[x] + lo[y]) // (100 + percent))
+            ok = (gid[x] != gid[y]) & (np.minimum(left[x], left[y]) >= need) & (100 * hi[y] >= percent * lo[x]) & (100 * hi[x] >= percent * lo[y])
+            g, h = gid[x[ok]], gid[y[ok]]
+            found = [np.unique(np.concatenate([*found, np.stack([np.minimum(g, h), np.maximum(g, h)], axis=1)]), axis=0)]
+            k = stop
+        return pd.DataFrame(found[0], columns=["g", "h"])
+
+    return cells.groupBy("bucket").applyInPandas(run, "g long, h long").distinct()
 
 
 def bounded_pairs(pairs: DataFrame, known: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
