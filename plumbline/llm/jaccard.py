@@ -1,7 +1,7 @@
 """Operator 5: exact n-gram Jaccard join through a token-group matrix.
 
 1. Every text becomes a set of shingle hashes; equal sets share a 64-bit set id, so copies count once from here on.
-2. Grouping: sets that share one of a few min-hashes are compared with the least set of that min-hash; verified links
+2. Grouping: sets that share one of a few min-hashes are compared with one set of that min-hash; verified links
    form groups of similar sets. (This only decides what the groups are; no link depends on it.)
 3. The matrix has a cell (token, group) for the union of the members' prefixes. Tokens are ordered by (heavy or not, how
    heavy, hash); of two sets that link, the prefixes of n - ceil(t n) + 1 tokens share one. A cell holds the extreme
@@ -169,11 +169,12 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def seed_links(docs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links between sets and the least set of each of their min-hashes."""
+    """Verified links between sets and one set of each of their min-hashes, the pivot."""
     spark = docs.sparkSession
     one = known.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
     each = one.select("sid", "n", F.posexplode("mins").alias("i", "m"))
-    pivot = each.groupBy("i", "m").agg(F.min(F.struct("sid", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "m", "p")
+    first = F.min(F.struct(F.xxhash64("sid", "i").alias("o"), "sid", "n"))  # an order of its own for each min-hash, so that a set has several pivots
+    pivot = each.groupBy("i", "m").agg(first.alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "m", "p")
     near = F.least("n", F.col("p.n")) * 100 >= F.greatest("n", F.col("p.n")) * percent
     pairs, at = written(each.join(pivot, ["i", "m"]).where((F.col("sid") != F.col("p.sid")) & near).select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct(), "seed-pairs")
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
