@@ -1,18 +1,19 @@
 """Operator 5: exact n-gram Jaccard join through a token-group matrix.
 
 1. Every text becomes a set of shingle hashes; equal sets share a 64-bit set id, so copies count once from here on.
-2. Grouping: sets that share one of a few min-hashes are compared with one set of that min-hash; verified links
-   form groups of similar sets. (This only decides what the groups are; no link depends on it.)
+2. Grouping: sets that share one of a few min-hashes are compared with one set of that min-hash, the pivot. Verified
+   links form groups that are one class already; sets without a link that are at least half like a pivot form blocks of
+   about ``PAGE`` sets of similar size around it. (This only decides what the groups are; no link depends on it.)
 3. The matrix has a cell (token, group) for the union of the members' prefixes. Tokens are ordered by (heavy or not, how
    heavy, hash); of two sets that link, the prefixes of n - ceil(t n) + 1 tokens share one. A cell holds the extreme
    sizes and numbers of tokens left of its members, and is combined before the shuffle.
-4. Groups that share a token and whose bounds on the overlap allow a link are candidates; for single sets, counts of their
-   tokens in hash buckets bound it once more. Of each pair, the group with fewer members
+4. Groups that share a token and whose bounds on the overlap allow a link are candidates, blocks also with themselves; for
+   single sets, counts of their tokens in hash buckets bound it once more. Of each pair, the group with fewer members
    asks: a member opens a page of the other group only if at least t of its tokens lie in the page's token union. In
-   opened pages sets are compared exactly, until one link is found.
-5. Components of all links. Two groups need one link to be one class, so links inside classes are not listed.
+   opened pages sets are compared exactly; of the links found, those that join what is apart are kept.
+5. Components of all links. Links inside classes are not all listed.
 
-Nothing is capped: heavy tokens only change the order, large groups are split into pages. At most ``HEAVY``
+Nothing is capped: heavy tokens only change the order, large groups and their askers are split into pages. At most ``HEAVY``
 heavy tokens are broadcast; tasks load set-id maps of at most ``MAPPED`` entries, beyond which a join is used.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -31,6 +32,7 @@ from .files import drop, load_sorted, written
 from .words import Words, mix, slices
 
 SEEDS, HEAVY, MAPPED, PAGE = 4, 200_000, 2_000_000, 64
+LOOSE, ROOM = 50, 200_000  # similarity to a pivot that puts a set into its block; tokens of a page
 NO_ID = -(1 << 63)
 U = np.uint64
 _ZERO = np.zeros(0, U)
@@ -68,14 +70,11 @@ def most_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
 
 
-def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets link: 100 * intersection >= percent * union."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens two sorted sets share."""
     both = np.concatenate([a, b])
     both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= percent * (len(both) - shared)
+    return int((both[1:] == both[:-1]).sum())
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
@@ -158,18 +157,21 @@ def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, k: int) -> Dat
 
 
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the rows (a, b, ta, tb) whose sets link."""
+    """(a, b, linked) of the rows (a, b, ta, tb) whose sets are alike by ``LOOSE`` percent or link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [links(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            sets = ((np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(batch.column(2), batch.column(3), strict=True))
+            found = [(in_common(x, y), len(x) + len(y)) for x, y in sets]
+            near = pa.array([100 * c >= min(LOOSE, percent) * (n - c) for c, n in found], pa.bool_())
+            linked = pa.array([100 * c >= percent * (n - c) for c, n in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), linked], ["a", "b", "linked"]).filter(near)
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def seed_links(docs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links between sets and one set of each of their min-hashes, the pivot."""
+def seed_pairs(docs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, linked): sets a and a pivot b of one of their min-hashes, where they are alike."""
     spark = docs.sparkSession
     one = known.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
     each = one.select("sid", "n", F.posexplode("mins").alias("i", "m"))
@@ -185,6 +187,25 @@ def seed_links(docs: DataFrame, known: DataFrame, k: int, percent: int) -> DataF
     return out
 
 
+def _parts(c: Column, n: Column) -> Column:
+    """Into how many pages c sets of n tokens together go."""
+    return F.ceil(F.greatest(c / PAGE, n / ROOM))
+
+
+def blocks(alike: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sid, gid) of sets in no group: each joins the pivot that most of them are like, by size and in pages."""
+    near = alike.where(~F.col("linked"))
+    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), "b")).distinct()
+    near = near.join(groups.select(F.col("sid").alias("a")), "a", "left_anti")
+    degree = near.groupBy("b").agg(F.count(F.lit(1)).alias("d"))
+    own = near.join(degree, "b").groupBy("a").agg(F.max(F.struct("d", "b")).alias("p")).select(F.col("a").alias("sid"), F.col("p.b").alias("b"))
+    own = own.join(sizes, "sid").withColumn("s", F.floor(8 * F.log2("n")))
+    parts = own.groupBy("b", "s").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    block = F.xxhash64("b", "s", F.pmod(F.xxhash64("sid"), "parts"))
+    placed = own.join(parts, ["b", "s"]).select("sid", block.alias("gid"))
+    return placed.join(placed.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gid"), "gid").select("sid", "gid")
+
+
 def _order(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Tokens by (weight class, hash); those that aren't heavy come first."""
     ids, weight = heavy
@@ -310,7 +331,7 @@ def candidate_groups(cells: DataFrame, percent: int, block: int = 1_000_000) ->
 
 
 def bounded_pairs(pairs: DataFrame, known: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Leaves out pairs of single sets whose bucket counts rule a link out; pairs with a larger group stay."""
+    """Leaves out pairs of single sets whose bucket counts rule a link out; pairs with a group or block stay."""
     many = groups.select(F.col("gid").alias("sid")).distinct()
     wanted = pairs.select(F.col("g").alias("sid")).unionByName(pairs.select(F.col("h").alias("sid"))).distinct()
     told = known.join(wanted, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
@@ -323,34 +344,58 @@ def bounded_pairs(pairs: DataFrame, known: DataFrame, groups: DataFrame, percent
             ok = [a is None or b is None or (100 + percent) * most_shared(a, b) >= percent * (n + m) for n, a, m, b in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["g", "h"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(side("g", "n", "a"), "g").join(side("h", "m", "b"), "h").select("g", "h", "n", "a", "m", "b")
+    both = pairs.join(side("g", "n", "a"), "g", "left").join(side("h", "m", "b"), "h", "left").select("g", "h", "n", "a", "m", "b")
     out, _ = written(both.mapInArrow(run, "g long, h long"), "jaccard-pairs")
     drop(known.sparkSession, at)
     return out
 
 
-def open_groups(asked: DataFrame, sets: DataFrame, pages: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that members q find in pages of other groups; rows (q, page) ask."""
-    stored = pages.join(sets, "sid").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("sid", "tokens"))).alias("members"))
+def open_groups(asked: DataFrame, sets: DataFrame, pages: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members q and those of pages they ask: rows (q, page) and (page, sid, one).
+
+    ``one`` tells pages whose members are one class. A page's askers come in parts of about a page; from each part the
+    links that join what was apart are given, at most one for each asker and member.
+    """
+    stored = pages.join(sets, "sid").groupBy("page").agg(F.first("one").alias("one"), F.collect_list(F.struct("sid", "tokens")).alias("members"))
+    asked = asked.join(sizes.select(F.col("sid").alias("q"), "n"), "q")
+    parts = asked.groupBy("page").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    dealt = asked.join(parts, "page").select("q", "page", F.pmod(F.xxhash64("q"), "parts").alias("part"))
+    queries = dealt.join(sets.select(F.col("sid").alias("q"), "tokens"), "q").groupBy("page", "part").agg(F.collect_list(F.struct("q", "tokens")).alias("asks"))
+
+    def found(asks: list[dict], members: list[dict], one: bool) -> Iterator[tuple[int, int]]:
+        sids, tokens = [m["sid"] for m in members], [np.frombuffer(m["tokens"], U) for m in members]
+        count = np.array([len(t) for t in tokens])
+        union, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), count)
+        order = np.argsort(union, kind="stable")
+        union, owner = union[order], owner[order]
+        root = {s: sids[0] if one else s for s in sids}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for ask in asks:
+            q = np.frombuffer(ask["tokens"], U)
+            at = np.searchsorted(union, q, side="left")
+            width = np.searchsorted(union, q, side="right") - at
+            if 100 * np.count_nonzero(width) < percent * len(q):
+                continue
+            places = np.repeat(at - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+            shared = np.bincount(owner[places], minlength=len(sids))
+            for k in np.flatnonzero(100 * shared >= percent * (len(q) + count - shared)).tolist():
+                a, b = top(ask["q"]), top(sids[k])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    yield ask["q"], sids[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for k in range(batch.num_rows):
-                q = np.frombuffer(batch.column(1)[k].as_buffer(), U)
-                members = [(m["sid"], np.frombuffer(m["tokens"], U)) for m in batch.column(2)[k].as_py()]
-                union = np.unique(np.concatenate([t for _, t in members])) if len(members) > 1 else members[0][1]
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                if 100 * int((union[at] == q).sum()) < percent * len(q):
-                    continue
-                hit = next((sid for sid, t in members if links(q, t, percent)), None)
-                if hit is not None:
-                    a.append(batch.column(0)[k].as_py())
-                    b.append(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            rows = (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows))
+            pairs = [p for row in rows for p in found(*row)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    queries = sets.select(F.col("sid").alias("q"), F.col("tokens").alias("tq"))
-    return asked.join(queries, "q").join(stored, "page").select("q", "tq", "members").mapInArrow(run, "a long, b long")
+    return queries.join(stored, "page").select("asks", "members", "one").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -370,27 +415,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     weight = np.log2(np.maximum(heavy["n"].to_numpy(np.float64), 2)).astype(np.int64)
     heavy = (ids[at], weight[at])
 
-    seeds = seed_links(docs, known, k, percent)
-    grouped = components(seeds).select(F.col("node").alias("sid"), F.col("root").alias("gid"))
-    groups, _ = written(grouped, "jaccard-groups")
+    sizes, _ = written(known.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n")), "jaccard-sizes")
+    alike = seed_pairs(docs, known, k, percent)
+    seeds = alike.where("linked").select("a", "b")
+    verified, _ = written(components(seeds).select(F.col("node").alias("sid"), F.col("root").alias("gid")), "jaccard-groups")
+    loose, _ = written(blocks(alike, verified, sizes), "jaccard-blocks")
+    groups = verified.withColumn("one", F.lit(True)).unionByName(loose.withColumn("one", F.lit(False)))
     buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs, _ = written(candidate_groups(matrix_cells(docs, known, groups, heavy, k, percent, buckets), percent), "jaccard-candidates")
-    pairs = bounded_pairs(pairs, known, groups, percent)
+    inner = loose.select(F.col("gid").alias("g"), F.col("gid").alias("h")).distinct()
+    pairs = bounded_pairs(pairs, known, groups, percent).unionByName(inner)
 
     # members and pages of the groups that take part; a group that is not listed is a single set
     part = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).distinct()
-    counts = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("c"))
-    sized = part.join(counts, "gid", "left").select("gid", F.coalesce("c", F.lit(1)).alias("c"))
-    members = sized.join(groups, "gid", "left").select("gid", "c", F.coalesce("sid", "gid").alias("sid"))
-    page = F.xxhash64("gid", F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / PAGE)))
-    members, _ = written(members.withColumn("page", F.when(F.col("c") == 1, F.col("gid")).otherwise(page)), "jaccard-members")
-    sizes = sized.select(F.col("gid"), "c")
-    two = pairs.join(sizes.select(F.col("gid").alias("g"), F.col("c").alias("cg")), "g").join(sizes.select(F.col("gid").alias("h"), F.col("c").alias("ch")), "h")
+    counts = groups.join(sizes, "sid").groupBy("gid").agg(F.count(F.lit(1)).alias("c"), _parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    sized = part.join(counts, "gid", "left").select("gid", F.coalesce("c", F.lit(1)).alias("c"), "parts")
+    members = sized.join(groups, "gid", "left").select("gid", "parts", F.coalesce("one", F.lit(True)).alias("one"), F.coalesce("sid", "gid").alias("sid"))
+    page = F.when(F.col("one") & (F.col("parts") > 1), F.xxhash64("gid", F.pmod(F.xxhash64("sid"), "parts"))).otherwise(F.col("gid"))
+    members, _ = written(members.withColumn("page", page), "jaccard-members")
+    two = pairs.join(sized.select(F.col("gid").alias("g"), F.col("c").alias("cg")), "g").join(sized.select(F.col("gid").alias("h"), F.col("c").alias("ch")), "h")
     few = F.col("cg") <= F.col("ch")
     asks = two.select(F.when(few, F.col("g")).otherwise(F.col("h")).alias("gid"), F.when(few, F.col("h")).otherwise(F.col("g")).alias("other"))
     asked = asks.join(members.select("gid", F.col("sid").alias("q")), "gid").join(members.select(F.col("gid").alias("other"), "page").distinct(), "other").select("q", "page")
     sets, _ = written(sets_of(docs, known, members.select("sid").distinct(), k), "jaccard-member-sets")
-    more, _ = written(open_groups(asked, sets, members.select("page", "sid"), percent), "jaccard-links")
+    more, _ = written(open_groups(asked, sets, members.select("page", "sid", "one"), sizes, percent), "jaccard-links")
 
     roots = components(seeds.unionByName(more)).select(F.col("node").alias("sid"), "root")
     least = known.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("d")).join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "d")
