@@ -353,8 +353,8 @@ def bounded_pairs(pairs: DataFrame, known: DataFrame, groups: DataFrame, percent
 def open_groups(asked: DataFrame, sets: DataFrame, pages: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members q and those of pages they ask: rows (q, page) and (page, sid, one).
 
-    ``one`` tells pages whose members are one class. A page's askers come in parts of about a page; from each part the
-    links that join what was apart are given, at most one for each asker and member.
+    ``one`` tells pages whose members are one class; the others' members also ask their own page. A page's askers come in
+    parts of about a page; from each part the links that join what was apart are given, at most one for each asker and member.
     """
     stored = pages.join(sets, "sid").groupBy("page").agg(F.first("one").alias("one"), F.collect_list(F.struct("sid", "tokens")).alias("members"))
     asked = asked.join(sizes.select(F.col("sid").alias("q"), "n"), "q")
@@ -395,7 +395,8 @@ def open_groups(asked: DataFrame, sets: DataFrame, pages: DataFrame, sizes: Data
             pairs = [p for row in rows for p in found(*row)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return queries.join(stored, "page").select("asks", "members", "one").mapInArrow(run, "a long, b long")
+    own = stored.where(~F.col("one")).select(F.transform("members", lambda m: F.struct(m["sid"].alias("q"), m["tokens"].alias("tokens"))).alias("asks"), "members", "one")
+    return queries.join(stored, "page").select("asks", "members", "one").unionByName(own).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -423,11 +424,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     groups = verified.withColumn("one", F.lit(True)).unionByName(loose.withColumn("one", F.lit(False)))
     buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs, _ = written(candidate_groups(matrix_cells(docs, known, groups, heavy, k, percent, buckets), percent), "jaccard-candidates")
-    inner = loose.select(F.col("gid").alias("g"), F.col("gid").alias("h")).distinct()
-    pairs = bounded_pairs(pairs, known, groups, percent).unionByName(inner)
+    pairs = bounded_pairs(pairs, known, groups, percent)
 
     # members and pages of the groups that take part; a group that is not listed is a single set
-    part = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).distinct()
+    part = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).unionByName(loose.select("gid")).distinct()
     counts = groups.join(sizes, "sid").groupBy("gid").agg(F.count(F.lit(1)).alias("c"), _parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
     sized = part.join(counts, "gid", "left").select("gid", F.coalesce("c", F.lit(1)).alias("c"), "parts")
     members = sized.join(groups, "gid", "left").select("gid", "parts", F.coalesce("one", F.lit(True)).alias("one"), F.coalesce("sid", "gid").alias("sid"))
