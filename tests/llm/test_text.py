@@ -53,6 +53,19 @@ def test_near_duplicates(docs, rows, empty, monkeypatch, mapped):
         assert J.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_about_the_threshold(spark):
+    """Copies of one unseen text with a word or two changed: some link, some only resemble each other and form blocks."""
+    rng = np.random.default_rng(3)
+    base, data = [f"b{i}" for i in range(90)], []
+    for i in range(240):
+        words = list(base)
+        for at in rng.integers(0, 90, rng.integers(1, 5)):
+            words[at] = f"x{i}"
+        data.append((i, " ".join(words)))
+    got = [tuple(g) for g in J.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got, key=str) == classes(data)
+
+
 def test_bucket_counts_never_undercount():
     rng = np.random.default_rng(0)
     for n, m, shared in [(5, 9, 3), (500, 600, 450), (90, 4000, 80)]:
