@@ -77,19 +77,25 @@ def in_common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row_key): rows of one key have the same id and text but for clashes of the hash."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of kind 0: doc_id, n_shingles, sid (null without words) and min-hashes; of kind 1: tokens frequent within a task (sid, n)."""
+    """Rows of kind 0: doc_id, n_shingles, sid (null without words), min-hashes and row key; of kind 1: tokens frequent within a task (sid, n)."""
     salts = mix(np.arange(1, SEEDS + 1, dtype=U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "sid", "mins", "counts"]
+        names = ["kind", "doc_id", "n", "sid", "mins", "counts", "row_key"]
         held, size, seen = [], 0, set()
 
         def heavy() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held) if held else _ZERO, return_counts=True)
             tokens, n = tokens[n >= 4].view(np.int64), n[n >= 4]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int64)), pa.array(tokens), pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int64)), pa.array(tokens), pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.int64())], names)
 
         for batch in batches:
             n, sids, mins, counts = [], [], [], []
@@ -102,29 +108,30 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     seen.add(sids[-1])
                     held.append(s)
                     size += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(counts, pa.binary()), batch.column(2)], names)
             if size > 2_000_000:
                 yield heavy()
                 size = 0
         yield heavy()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "kind int, doc_id long, n long, sid long, mins array<long>, counts binary")
+    return _rows(docs).mapInArrow(run, "kind int, doc_id long, n long, sid long, mins array<long>, counts binary, row_key long")
 
 
 def _mapped(docs: DataFrame, known: DataFrame, by_sid: DataFrame, value: str) -> tuple[DataFrame, str | None]:
-    """(text, v, doc_id) and where to look up the values of set ids: in a table that tasks load if it is small, else v."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(text, given, doc_id) and where to look up the values of set ids: in a table that tasks load if it is small, else in
+    ``given``, the (sid, v) of the row's key. The set id goes along, so a row takes no value of another set.
+    """
+    rows = _rows(docs)
     by_sid, folder = written(by_sid.select("sid", F.col(value).alias("v")), "jaccard-map")
     if by_sid.count() <= MAPPED:
-        return rows.select("text", F.lit(None).cast("long").alias("v"), "doc_id"), folder
-    each = known.join(by_sid, "sid").select("doc_id", "v").distinct()
-    return rows.join(each, rows["doc_id"].eqNullSafe(each["doc_id"]), "left").select("text", "v", rows["doc_id"]), None
+        return rows.select("text", F.lit(None).cast("array<struct<sid:long,v:long>>").alias("given"), "doc_id"), folder
+    each = known.join(by_sid, "sid").groupBy("row_key").agg(F.collect_set(F.struct("sid", "v")).alias("given"))
+    return rows.join(each, "row_key", "left").select("text", "given", "doc_id"), None
 
 
-def _look(folder: str | None, sid: int, given: int | None) -> int | None:
+def _look(folder: str | None, sid: int, given: list[dict] | None) -> int | None:
     if folder is None:
-        return given
+        return next((g["v"] for g in given or () if g["sid"] == sid), None)
     ids, values = load_sorted(folder, ("sid", "v"))
     at = int(np.searchsorted(ids, sid))
     return int(values[at]) if at < len(ids) and ids[at] == sid else None

@@ -66,6 +66,22 @@ def test_near_copies_about_the_threshold(spark):
     assert sorted(got, key=str) == classes(data)
 
 
+@pytest.mark.parametrize("mapped", [J.MAPPED, -1])
+def test_texts_that_share_an_id(spark, monkeypatch, mapped):
+    """Different texts under one doc_id and under null ids each stay with their own set, in the map and in the join."""
+    monkeypatch.setattr(J, "MAPPED", mapped)
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(360):
+        words = [f"b{i % 3}.{j}" for j in range(90)]
+        for at in rng.integers(0, 90, rng.integers(1, 5)):
+            words[at] = f"x{i}"
+        data.append((None if i % 4 == 3 else i // 8, " ".join(words)))
+    data += [(None, data[3][1]), (0, data[0][1]), (7, None), (None, ""), (7, "few words")]
+    got = [tuple(g) for g in J.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got, key=str) == classes(data)
+
+
 def test_bucket_counts_never_undercount():
     rng = np.random.default_rng(0)
     for n, m, shared in [(5, 9, 3), (500, 600, 450), (90, 4000, 80)]:
