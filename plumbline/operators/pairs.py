@@ -1,12 +1,13 @@
 """Operators on pairs of rows within a batch, and batch losses.
 
-All-pair forms are for training batches: they take at most ``most`` rows and fail beyond, since their output is quadratic
-by definition. Whole tables use rank forms instead (AUROC from average ranks, Spearman from rank correlation).
+All-pair forms are for training batches: with ``size`` they deal a whole table into batches of so many rows and pair rows
+within each; else the table is one batch of at most ``most`` rows, and they fail beyond. Rank forms (AUROC from average
+ranks, Spearman from rank correlation) compare the rows of a whole table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid, softplus
@@ -19,20 +20,34 @@ def _batch(df: DataFrame, most: int) -> DataFrame:
     return df.withColumn("_batch", F.lit(0))
 
 
-def margin_losses(df: DataFrame, most: int = 1024) -> DataFrame:
+def batches(df: DataFrame, size: int = 64, cell_rows: int = 50_000) -> DataFrame:
+    """Adds ``_batch``: all rows in hash order, ``size`` to a batch, the last one with what is left.
+
+    Positions come from a window within each hash cell of about ``cell_rows`` rows and the sums of the cells before it.
+    """
+    columns = df.columns
+    cells = max(1, -(-df.count() // cell_rows))
+    rows = df.withColumn("_h", F.xxhash64(*columns)).withColumn("_cell", F.pmod("_h", F.lit(cells)))
+    upto = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_cell"))  # a row for each cell
+    starts = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).select("_cell", (upto - F.col("_n")).alias("_base"))
+    at = F.col("_base") + F.row_number().over(Window.partitionBy("_cell").orderBy("_h", *columns)) - 1
+    return rows.join(F.broadcast(starts), "_cell").withColumn("_batch", F.floor(at / size)).select(*columns, "_batch")
+
+
+def margin_losses(df: DataFrame, most: int = 1024, size: int | None = None) -> DataFrame:
     """(pos_id, neg_id, loss): softplus of the negative margin of each positive and negative of a batch (row_id, y, score)."""
-    b = _batch(df, most)
+    b = batches(df, size) if size else _batch(df, most)
     pos = b.where("y = 1").select("_batch", F.col("row_id").alias("pos_id"), F.col("score").alias("_p"))
     neg = b.where("y = 0").select("_batch", F.col("row_id").alias("neg_id"), F.col("score").alias("_n"))
     return pos.join(neg, "_batch").select("pos_id", "neg_id", softplus(F.col("_n") - F.col("_p")).alias("loss"))
 
 
-def soft_ranks(df: DataFrame, temperature: float = 1.0, most: int = 1024) -> DataFrame:
+def soft_ranks(df: DataFrame, temperature: float = 1.0, most: int = 1024, size: int | None = None) -> DataFrame:
     """(row_id, soft_rank): 1 plus the sum of sigmoids of score differences to the other rows of a batch."""
-    b = _batch(df, most)
+    b = batches(df, size) if size else _batch(df, most)
     other = b.select("_batch", F.col("row_id").alias("_o"), F.col("score").alias("_s"))
     term = F.when(F.col("row_id") == F.col("_o"), 0.0).otherwise(sigmoid((F.col("score") - F.col("_s")) / temperature))
-    return b.join(other, "_batch").groupBy("row_id").agg((1 + F.sum(term)).alias("soft_rank"))
+    return b.join(other, "_batch").groupBy("_batch", "row_id").agg((1 + F.sum(term)).alias("soft_rank")).drop("_batch")
 
 
 def head_cosines(df: DataFrame) -> DataFrame:

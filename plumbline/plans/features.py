@@ -90,6 +90,20 @@ def soft_rank(spark, d):
     return P.soft_ranks(df, 0.1, most=100).withColumn("soft_rank", F.round("soft_rank", 6))
 
 
+@query()
+def pairwise_margin_batches(spark, d):
+    """The losses over the whole table, in batches of the recorded 64 rows; pairwise_margin's SQL ends at vec_id 100."""
+    df = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") >= 5).cast("int").alias("y"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
+    return P.margin_losses(df, size=64)
+
+
+@query()
+def soft_rank_batches(spark, d):
+    """The soft ranks over the whole table, in batches of the recorded 64 rows; soft_rank's SQL ends at vec_id 100."""
+    df = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
+    return P.soft_ranks(df, 0.1, size=64)
+
+
 @query("""
 WITH h AS (SELECT vec_id, label, unnest([1, 2, 3, 4]) AS head, unnest([embedding[1], embedding[2], embedding[3], embedding[4]])::DOUBLE AS v FROM embeddings)
 SELECT a.head AS head_a, b.head AS head_b, round(power(sum(a.v * b.v), 2) / (sum(a.v * a.v) * sum(b.v * b.v)), 9) AS cosine2

@@ -55,3 +55,27 @@ def test_plateau_rates_fall_only_after_patience(spark):
 
     df = spark.createDataFrame([(1, i, m) for i, m in enumerate([1.0, 2.0, 2.0, 1.0, 3.0, 0.0, 0.0])], "run long, epoch int, metric double")
     assert plateau_rates(df, 1.0, 0.5, 1).orderBy("epoch").toPandas()["rate"].tolist() == [1, 1, 1, 0.5, 0.5, 0.5, 0.25]
+
+
+def test_batch_pairs_cover_the_whole_table(spark, duck, sf_dir):
+    from plumbline.operators import pairs as P
+
+    label, x = {}, {}
+    for i, y, v in duck.sql("SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) FROM embeddings").fetchall():
+        label[i], x[i] = int(y >= 5), v
+    dealt = []
+    for names in (["row_id", "y", "score"], ["row_id", "score"]):
+        df = spark.createDataFrame([(i, label[i], x[i]) for i in x], "row_id long, y int, score double").select(*names)
+        found = [sorted((r["row_id"], r["_batch"]) for r in P.batches(df.repartition(n), 64, cell_rows).collect()) for n, cell_rows in ((3, 50_000), (7, 50_000), (2, 50))]
+        assert found[0] == found[1]
+        for rows_ in found:
+            assert [i for i, _ in rows_] == sorted(x)
+            n = np.bincount([b for _, b in rows_])
+            assert (n[:-1] == 64).all() and n[-1] == (len(x) - 1) % 64 + 1
+        dealt.append(dict(found[0]))
+    got = {(r["pos_id"], r["neg_id"]): r["loss"] for r in catalog.QUERIES["pairwise_margin_batches"](spark, sf_dir).collect()}
+    want = {(a, b): np.log1p(np.exp(x[b] - x[a])) for a in x for b in x if label[a] and not label[b] and dealt[0][a] == dealt[0][b]}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    got = {r["row_id"]: r["soft_rank"] for r in catalog.QUERIES["soft_rank_batches"](spark, sf_dir).collect()}
+    want = {a: 1 + sum(1 / (1 + np.exp(-(x[a] - x[b]) / 0.1)) for b in x if b != a and dealt[1][a] == dealt[1][b]) for a in x}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
