@@ -99,3 +99,26 @@ def test_sources(spark, tmp_path):
     (tmp_path / "r" / "dili.json").write_text('{"metric": "auroc",\n "seed": 3}')
     assert S.lookup_one(S.read_registry(spark, str(tmp_path / "r")), task="dili").collect()[0]["seed"] == 3
     assert S.split_union({"train": df, "test": df}).groupBy("split").count().count() == 2
+
+
+def test_bags_are_registered_with_the_recorded_sizes(spark, sf_dir, monkeypatch):
+    from plumbline.operators import models as M
+    from plumbline.plans import models as Q
+
+    asked, fold_bag, seed_bag = [], M.fold_bag, M.seed_bag
+
+    def small_fold(train, query, folds, kind, classification, seeds, size):
+        asked.append((kind, seeds, size, folds.select("fold").distinct().count()))
+        return fold_bag(train, query, folds, kind, classification, seeds[:1], 2)
+
+    def small_seed(train, query, seeds, size):
+        asked.append(("seeds", seeds, size))
+        return seed_bag(train, query, seeds[:2], 2)
+
+    monkeypatch.setattr(M, "fold_bag", small_fold)
+    monkeypatch.setattr(M, "seed_bag", small_seed)
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    for f in (Q.fold_bag_gbt, Q.fold_bag_forest, Q.seed_bag_forest):
+        got = [r["score"] for r in f(spark, sf_dir).collect()]
+        assert len(got) == n and all(0 <= v <= 1 for v in got)
+    assert asked == [("gbt", [11, 22, 33, 44, 55], 500, 3), ("forest", [101], 900, 3), ("seeds", [1, 2, 3, 4, 5], 800)]
