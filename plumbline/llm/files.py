@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +17,12 @@ _FALLBACK = "/tmp/checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; sets a local one only where none is configured."""
+    """The session's checkpoint folder; sets one on this machine only where none is configured and the master is local."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(_FALLBACK)
         found = sc.getCheckpointDir()
     return found if ":" in found.split("/")[0] else f"file://{found}"
@@ -30,11 +33,20 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch that a Python task gets while a table is written; texts can be long.
+BATCH = "1000"
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: (table, folder). Cuts the lineage."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(rows := "spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(rows, BATCH)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -46,10 +58,29 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def task_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a Python task uses for a folder URI of Spark, and the path there; raises where there is none."""
+    kind, _, rest = uri.partition(":")
+    if kind in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif kind == "dbfs":  # mounted on every node
+        uri = f"file:///dbfs/{rest.lstrip('/')}"
+    return pafs.FileSystem.from_uri(uri)
+
+
+def loadable(uri: str) -> bool:
+    """Whether tasks can read tables below this URI themselves."""
+    try:
+        task_store(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
 def put(uri: str, data: bytes) -> None:
     """Write one side file from a task: temporary name, then rename."""
     folder, _, name = uri.rpartition("/")
-    store, at = pafs.FileSystem.from_uri(folder)
+    store, at = task_store(folder)
     store.create_dir(at, recursive=True)
     part = f"{at}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
@@ -69,7 +100,7 @@ def load_sorted(folder: str, columns: tuple[str, ...]) -> list:
         import numpy as np
         import pyarrow.parquet as pq
 
-        store, at = pafs.FileSystem.from_uri(folder)
+        store, at = task_store(folder)
         names = sorted(f.path for f in store.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
         parts = [pq.read_table(n, columns=list(columns), filesystem=store) for n in names]
         cols = [np.concatenate([np.zeros(0, np.int64), *(p[c].to_numpy() for p in parts)]) for c in columns]

@@ -7,14 +7,15 @@
 3. The matrix has a cell (token, group) for the union of the members' prefixes. Tokens are ordered by (heavy or not, how
    heavy, hash); of two sets that link, the prefixes of n - ceil(t n) + 1 tokens share one. A cell holds the extreme
    sizes and numbers of tokens left of its members, and is combined before the shuffle.
-4. Groups that share a token and whose bounds on the overlap allow a link are candidates, blocks also with themselves; for
-   single sets, counts of their tokens in hash buckets bound it once more. Of each pair, the group with fewer members
-   asks: a member opens a page of the other group only if at least t of its tokens lie in the page's token union. In
-   opened pages sets are compared exactly; of the links found, those that join what is apart are kept.
+4. Groups that share a token and whose bounds on the overlap allow a link are candidates, blocks also with themselves. Of
+   each pair, the group with fewer members asks the pages of the other one. Counts in hash buckets of the asker's tokens
+   and of the page's token union bound the overlap once more; only then tokens are sent, each set once for each page it
+   asks. A page is opened if at least t of the asker's tokens lie in its union, and its sets are compared exactly; of the
+   links found, those that join what is apart are kept.
 5. Components of all links. Links inside classes are not all listed.
 
 Nothing is capped: heavy tokens only change the order, large groups and their askers are split into pages. At most ``HEAVY``
-heavy tokens are broadcast; tasks load set-id maps of at most ``MAPPED`` entries, beyond which a join is used.
+heavy tokens are broadcast; tasks load maps of at most ``MAPPED`` entries, beyond which a join with the rows is used.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .files import drop, load_sorted, written
+from .files import drop, load_sorted, loadable, written
 from .words import Words, mix, slices
 
 SEEDS, HEAVY, MAPPED, PAGE = 4, 200_000, 2_000_000, 64
 LOOSE, ROOM = 50, 200_000  # similarity to a pivot that puts a set into its block; tokens of a page
-NO_ID = -(1 << 63)
+FLUSH = 800_000  # tokens that a task holds before it counts them
+LAST = (1 << 63) - 1
 U = np.uint64
 _ZERO = np.zeros(0, U)
 
@@ -93,7 +95,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
 
         def heavy() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held) if held else _ZERO, return_counts=True)
-            tokens, n = tokens[n >= 4].view(np.int64), n[n >= 4]
+            tokens, n = tokens[n >= 2].view(np.int64), n[n >= 2]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int64)), pa.array(tokens), pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.int64())], names)
 
@@ -102,14 +104,15 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 sids.append(set_id(s) if len(s) else None)
-                mins.append([int(x) for x in mix(s[None, :] ^ salts[:, None]).min(axis=1).view(np.int64)] if len(s) else None)
-                counts.append(bucket_counts(s))
-                if len(s) and sids[-1] not in seen:
+                new = len(s) and sids[-1] not in seen
+                mins.append(mix(s[None, :] ^ salts[:, None]).min(axis=1).view(np.int64).tolist() if new else None)
+                counts.append(bucket_counts(s) if new else None)
+                if new:
                     seen.add(sids[-1])
                     held.append(s)
                     size += len(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(counts, pa.binary()), batch.column(2)], names)
-            if size > 2_000_000:
+            if size > FLUSH:
                 yield heavy()
                 size = 0
         yield heavy()
@@ -117,80 +120,92 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return _rows(docs).mapInArrow(run, "kind int, doc_id long, n long, sid long, mins array<long>, counts binary, row_key long")
 
 
-def _mapped(docs: DataFrame, known: DataFrame, by_sid: DataFrame, value: str) -> tuple[DataFrame, str | None]:
-    """(text, given, doc_id) and where to look up the values of set ids: in a table that tasks load if it is small, else in
-    ``given``, the (sid, v) of the row's key. The set id goes along, so a row takes no value of another set.
-    """
-    rows = _rows(docs)
-    by_sid, folder = written(by_sid.select("sid", F.col(value).alias("v")), "jaccard-map")
-    if by_sid.count() <= MAPPED:
-        return rows.select("text", F.lit(None).cast("array<struct<sid:long,v:long>>").alias("given"), "doc_id"), folder
-    each = known.join(by_sid, "sid").groupBy("row_key").agg(F.collect_set(F.struct("sid", "v")).alias("given"))
-    return rows.join(each, "row_key", "left").select("text", "given", "doc_id"), None
-
-
-def _look(folder: str | None, sid: int, given: list[dict] | None) -> int | None:
-    if folder is None:
-        return next((g["v"] for g in given or () if g["sid"] == sid), None)
-    ids, values = load_sorted(folder, ("sid", "v"))
-    at = int(np.searchsorted(ids, sid))
-    return int(values[at]) if at < len(ids) and ids[at] == sid else None
+def routed(docs: DataFrame, sets: DataFrame, routes: DataFrame, k: int) -> DataFrame:
+    """(key, part, asks, one, sid, tokens) for each route (sid, key, part, asks, one), all of a (key, part) in one run, askers last.
 
-
-def sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(sid, tokens binary) of the wanted set ids, from the document of least doc_id that has the set.
-
-    Rows that share that doc_id, and sets of documents without ids, can give a set more than once.
+    A set's tokens are computed from the row that stands for it and sent once for each route, in one shuffle. Rows that
+    share id and text can send a set twice.
     """
-    from_ = known.join(wanted, "sid").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("v"))
-    rows, lookup = _mapped(docs, known, from_, "v")
+    place = F.col("part") * 4 + F.col("one").cast("int") * 2 + F.col("asks").cast("int")
+    table, folder = written(routes.join(sets.select("sid", "row_key"), "sid").select("row_key", "sid", "key", place.alias("place")), "jaccard-routes")
+    rows = _rows(docs).select("row_key", "text")
+    loaded = loadable(folder) and table.count() <= MAPPED
+    if loaded:
+        rows = rows.select("row_key", "text", F.lit(None).cast("array<struct<sid:long,key:long,place:long>>").alias("given"))
+    else:
+        rows = rows.join(table.groupBy("row_key").agg(F.collect_list(F.struct("sid", "key", "place")).alias("given")), "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            given, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            sids, out = [], []
-            for j, s in shingle_sets(batch.column(0), k):
-                sid = set_id(s) if len(s) else None
-                if sid is None or sid in seen or (head := _look(lookup, sid, given[j])) is None:
-                    continue
-                if head == (NO_ID if ids[j] is None else ids[j]):
-                    seen.add(sid)
-                    sids.append(sid)
-                    out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(out, pa.binary())], ["sid", "tokens"])
-
-    return rows.mapInArrow(run, "sid long, tokens binary")
+        seen, out, size = set(), [], 0
 
+        def full() -> pa.RecordBatch:
+            key, place, sid, tokens = zip(*out, strict=True)
+            at = np.array(place, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at >> 2), pa.array((at & 1) > 0), pa.array((at & 2) > 0), pa.array(sid, pa.int64()), pa.array(tokens, pa.binary())], ["key", "part", "asks", "one", "sid", "tokens"])
 
-def _verify(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of the rows (a, b, ta, tb) whose sets are alike by ``LOOSE`` percent or link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = ((np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(batch.column(2), batch.column(3), strict=True))
-            found = [(in_common(x, y), len(x) + len(y)) for x, y in sets]
-            near = pa.array([100 * c >= min(LOOSE, percent) * (n - c) for c, n in found], pa.bool_())
-            linked = pa.array([100 * c >= percent * (n - c) for c, n in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), linked], ["a", "b", "linked"]).filter(near)
-
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def seed_pairs(docs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked): sets a and a pivot b of one of their min-hashes, where they are alike."""
-    spark = docs.sparkSession
-    one = known.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("mins").alias("mins"))
-    each = one.select("sid", "n", F.posexplode("mins").alias("i", "m"))
+            keys = batch.column(0).to_numpy()
+            if loaded:
+                known, sids, to, places = load_sorted(folder, ("row_key", "sid", "key", "place"))
+                lo, hi = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+                hits = np.flatnonzero(hi > lo)
+            else:
+                hits = np.arange(len(keys))
+            hits = np.array([h for h in hits.tolist() if keys[h] not in seen and not seen.add(keys[h])], np.int64)
+            for j, s in shingle_sets(batch.column(1).take(pa.array(hits)), k):
+                h = hits[j]
+                if loaded:
+                    ways = zip(to[lo[h] : hi[h]].tolist(), places[lo[h] : hi[h]].tolist(), sids[lo[h] : hi[h]].tolist(), strict=True)
+                else:
+                    ways = [(g["key"], g["place"], g["sid"]) for g in batch.column(2)[int(h)].as_py()]
+                tokens = s.tobytes()
+                for way in ways:
+                    out.append((*way, tokens))
+                    size += len(tokens)
+                    if size > 1 << 22:
+                        yield full()
+                        out, size = [], 0
+        if out:
+            yield full()
+
+    sent = rows.mapInArrow(run, "key long, part long, asks boolean, one boolean, sid long, tokens binary")
+    return sent.repartition("key", "part").sortWithinPartitions("key", "part", "asks")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, bool, int, np.ndarray]]:
+    """(new, asks, one, sid, tokens) of the rows of :func:`routed`; ``new`` at the first row of a (key, part)."""
+    last = None
+    for batch in batches:
+        key, part, asks, one, sid = (c.to_pylist() for c in batch.columns[:5])
+        for j, tokens in enumerate(batch.column(5)):
+            new, last = (key[j], part[j]) != last, (key[j], part[j])
+            yield new, asks[j], one[j], sid[j], np.frombuffer(tokens.as_buffer(), U)
+
+
+def seed_pairs(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, linked): sets a and a pivot b of one of their min-hashes, where they are alike by ``LOOSE`` percent or link."""
+    each = sets.select("sid", "n", F.posexplode("mins").alias("i", "m"))
     first = F.min(F.struct(F.xxhash64("sid", "i").alias("o"), "sid", "n"))  # an order of its own for each min-hash, so that a set has several pivots
     pivot = each.groupBy("i", "m").agg(first.alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "m", "p")
     near = F.least("n", F.col("p.n")) * 100 >= F.greatest("n", F.col("p.n")) * percent
-    pairs, at = written(each.join(pivot, ["i", "m"]).where((F.col("sid") != F.col("p.sid")) & near).select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct(), "seed-pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets, at_sets = written(sets_of(docs, known, wanted, k), "seed-sets")
-    a, b = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    out, _ = written(_verify(pairs.join(a, "a").join(b, "b"), percent), "seed-links")
-    drop(spark, at, at_sets)
+    pairs, at = written(each.join(pivot, ["i", "m"]).where((F.col("sid") != F.col("p.sid")) & near).select(F.col("sid").alias("a"), F.col("p.sid").alias("b"), "n").distinct(), "seed-pairs")
+    parts = pairs.groupBy("b").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    asks = pairs.join(parts, "b").select(F.col("a").alias("sid"), F.col("b").alias("key"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.lit(True).alias("asks"), F.lit(True).alias("one"))
+    own = parts.select(F.col("b").alias("sid"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), F.lit(True).alias("one"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, pivot, b = [], _ZERO, 0
+        for _, asking, _, sid, tokens in runs(batches):
+            if not asking:
+                pivot, b = tokens, sid
+                continue
+            c, n = in_common(tokens, pivot), len(tokens) + len(pivot)
+            if 100 * c >= min(LOOSE, percent) * (n - c):
+                out.append((sid, b, 100 * c >= percent * (n - c)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
+
+    out, _ = written(routed(docs, sets, asks.unionByName(own), k).mapInArrow(run, "a long, b long, linked boolean"), "seed-links")
+    drop(docs.sparkSession, at)
     return out
 
 
@@ -223,20 +238,27 @@ def _order(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return tokens[np.argsort(rank, kind="stable")] if rank.any() else tokens
 
 
-def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, buckets: int) -> DataFrame:
+def matrix_cells(docs: DataFrame, sets: DataFrame, groups: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, percent: int, buckets: int) -> DataFrame:
     """Packed cells of the token-group matrix by token bucket.
 
     A cell has its token (48 bits of it), group, least size of the members with the token in their prefix, how much
     larger the largest is, and the most tokens that a member has left from there on.
     """
-    rows, lookup = _mapped(docs, known, groups, "gid")
+    table, folder = written(groups.select("sid", "gid"), "jaccard-map")
+    loaded = loadable(folder) and table.count() <= MAPPED
+    rows = _rows(docs).select("row_key", "text")
+    if loaded:
+        rows = rows.select("text", F.lit(None).cast("long").alias("gid"))
+    else:  # only the rows that stand for a set
+        rows = rows.join(sets.select("sid", "row_key").join(table, "sid", "left").select("row_key", "gid"), "row_key").select("text", "gid")
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
 
         def cells() -> pa.RecordBatch:
-            token, gid, n, left = (np.concatenate(c) for c in zip(*held, strict=True))
+            token, gid, n, left = (np.concatenate([h[c] for h in held]) for c in range(4))
+            held.clear()
             order = np.lexsort((gid, token))
             token, gid, n, left = token[order], gid[order], n[order], left[order]
             first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])]))
@@ -245,24 +267,25 @@ def matrix_cells(docs: DataFrame, known: DataFrame, groups: DataFrame, heavy: tu
             bucket = ((token >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
             used, at = np.unique(bucket, return_index=True)
             ends = np.append(at[1:], len(bucket))
-            held.clear()
             packed = [_pack(*(x[i:j] for x in (token >> U(16), gid, lo, hi - lo, most))) for i, j in zip(at, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array((ends - at).astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "n", "cells"])
 
         for batch in batches:
             given = batch.column(1).to_pylist()
+            ids, values = load_sorted(folder, ("sid", "gid")) if loaded else (_ZERO.view(np.int64),) * 2
             for j, s in shingle_sets(batch.column(0), k):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 seen.add(sid)
-                n = len(s)
+                n, gid = len(s), given[j]
+                if loaded and (at := int(np.searchsorted(ids, sid))) < len(ids) and ids[at] == sid:
+                    gid = values[at]
                 prefix = n - -(-percent * n // 100) + 1
-                gid = _look(lookup, sid, given[j])
-                held.append((_order(s, sent.value)[:prefix], np.full(prefix, sid if gid is None else gid, np.int64), np.full(prefix, n), n - np.arange(prefix)))
+                held.append((_order(s, sent.value)[:prefix].copy(), np.full(prefix, sid if gid is None else gid, np.int64), np.full(prefix, n, np.int32), n - np.arange(prefix, dtype=np.int32)))
                 total += prefix
-            if total > 1_000_000:
-                yield cells()
-                total = 0
+                if total > FLUSH // 2:
+                    yield cells()
+                    total = 0
         if held:
             yield cells()
 
@@ -337,73 +360,116 @@ def candidate_groups(cells: DataFrame, percent: int, block: int = 1_000_000) ->
     return cells.groupBy("bucket").applyInPandas(run, "g long, h long").distinct()
 
 
-def bounded_pairs(pairs: DataFrame, known: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Leaves out pairs of single sets whose bucket counts rule a link out; pairs with a group or block stay."""
-    many = groups.select(F.col("gid").alias("sid")).distinct()
-    wanted = pairs.select(F.col("g").alias("sid")).unionByName(pairs.select(F.col("h").alias("sid"))).distinct()
-    told = known.join(wanted, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
-    told, at = written(told.join(many.withColumn("m", F.lit(True)), "sid", "left").select("sid", "n", F.when(F.col("m").isNull(), F.col("counts")).alias("c")), "jaccard-counts")
-    side = lambda k, n, c: told.select(F.col("sid").alias(k), F.col("n").alias(n), F.col("c").alias(c))
+def page_bounds(members: DataFrame) -> DataFrame:
+    """(page, lo, hi, union) of rows (page, n, counts): sizes of the members and, in each hash bucket, the largest count.
+
+    No member shares more with a set than the sum of the smaller counts. ``union`` is null where a member has no counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, page, lo, hi, most = [], None, 0, 0, None
+
+        def close() -> None:
+            if page is not None:
+                out.append((page, lo, hi, most.astype(np.uint8).tobytes() if most is not None and most.max() < 256 else None))
+
         for batch in batches:
-            cols = (c.to_pylist() for c in batch.columns[2:])
-            ok = [a is None or b is None or (100 + percent) * most_shared(a, b) >= percent * (n + m) for n, a, m, b in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["g", "h"]).filter(pa.array(ok, pa.bool_()))
+            for p, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = None if counts is None else np.frombuffer(counts, np.uint8).astype(np.int64)
+                if p != page:
+                    close()
+                    page, lo, hi, most = p, n, n, table
+                    continue
+                lo, hi = min(lo, n), max(hi, n)
+                if most is not None and table is not None:
+                    width = min(len(most), len(table))
+                    most = np.maximum(most.reshape(-1, width).sum(axis=0), table.reshape(-1, width).sum(axis=0))
+                else:
+                    most = None
+        close()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], ["page", "lo", "hi", "union"])
 
-    both = pairs.join(side("g", "n", "a"), "g", "left").join(side("h", "m", "b"), "h", "left").select("g", "h", "n", "a", "m", "b")
-    out, _ = written(both.mapInArrow(run, "g long, h long"), "jaccard-pairs")
-    drop(known.sparkSession, at)
-    return out
+    dealt = members.where("c > 1").select("page", "n", "counts").repartition("page").sortWithinPartitions("page")
+    many = dealt.mapInArrow(run, "page long, lo long, hi long, union binary")
+    return many.unionByName(members.where("c = 1").select("page", F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("counts").alias("union")))
+
+
+def bounded(asked: DataFrame, sets: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """The rows (q, page) whose sizes and bucket counts allow that set q links with a member of the page."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, a, lo, b in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                need = percent * (n + max(lo, -(-percent * n // 100)))
+                ok.append(a is None or b is None or (100 + percent) * most_shared(a, b) >= need)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["q", "page"]).filter(pa.array(ok, pa.bool_()))
 
-def open_groups(asked: DataFrame, sets: DataFrame, pages: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members q and those of pages they ask: rows (q, page) and (page, sid, one).
+    sized = asked.join(sets.select(F.col("sid").alias("q"), "n", "counts"), "q").join(bounds, "page")
+    sized = sized.where((F.col("hi") * 100 >= F.col("n") * percent) & (F.col("lo") * percent <= F.col("n") * 100))
+    return sized.select("q", "page", "n", "counts", "lo", "union").mapInArrow(run, "q long, page long")
+
+
+def open_groups(docs: DataFrame, sets: DataFrame, asked: DataFrame, pages: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets q and members of pages they ask: rows (q, page) and (page, sid, one).
 
     ``one`` tells pages whose members are one class; the others' members also ask their own page. A page's askers come in
-    parts of about a page; from each part the links that join what was apart are given, at most one for each asker and member.
+    parts of about a page; each part gets the members and gives the links that join what was apart there.
     """
-    stored = pages.join(sets, "sid").groupBy("page").agg(F.first("one").alias("one"), F.collect_list(F.struct("sid", "tokens")).alias("members"))
-    asked = asked.join(sizes.select(F.col("sid").alias("q"), "n"), "q")
-    parts = asked.groupBy("page").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
-    dealt = asked.join(parts, "page").select("q", "page", F.pmod(F.xxhash64("q"), "parts").alias("part"))
-    queries = dealt.join(sets.select(F.col("sid").alias("q"), "tokens"), "q").groupBy("page", "part").agg(F.collect_list(F.struct("q", "tokens")).alias("asks"))
-
-    def found(asks: list[dict], members: list[dict], one: bool) -> Iterator[tuple[int, int]]:
-        sids, tokens = [m["sid"] for m in members], [np.frombuffer(m["tokens"], U) for m in members]
-        count = np.array([len(t) for t in tokens])
-        union, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), count)
-        order = np.argsort(union, kind="stable")
-        union, owner = union[order], owner[order]
-        root = {s: sids[0] if one else s for s in sids}
+    sized = asked.join(sets.select(F.col("sid").alias("q"), "n"), "q")
+    parts = sized.groupBy("page").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    asks = asked.join(parts, "page").select(F.col("q").alias("sid"), F.col("page").alias("key"), F.pmod(F.xxhash64("q"), "parts").alias("part"), F.lit(True).alias("asks"), F.lit(False).alias("one"))
+    held = pages.join(parts, "page", "left").where("parts IS NOT NULL OR NOT one")
+    held = held.select("sid", F.col("page").alias("key"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(False).alias("asks"), "one")
+
+    def found(q: int, tokens: np.ndarray, page: dict) -> Iterator[tuple[int, int]]:
+        if "union" not in page:
+            page["count"] = np.array([len(t) for t in page["tokens"]])
+            union, owner = np.concatenate(page["tokens"]), np.repeat(np.arange(len(page["sids"])), page["count"])
+            order = np.argsort(union, kind="stable")
+            page["union"], page["owner"] = union[order], owner[order]
+        union, count, root = page["union"], page["count"], page["root"]
 
         def top(x: int) -> int:
             while root.setdefault(x, x) != x:
                 x = root[x]
             return x
 
-        for ask in asks:
-            q = np.frombuffer(ask["tokens"], U)
-            at = np.searchsorted(union, q, side="left")
-            width = np.searchsorted(union, q, side="right") - at
-            if 100 * np.count_nonzero(width) < percent * len(q):
-                continue
-            places = np.repeat(at - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
-            shared = np.bincount(owner[places], minlength=len(sids))
-            for k in np.flatnonzero(100 * shared >= percent * (len(q) + count - shared)).tolist():
-                a, b = top(ask["q"]), top(sids[k])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    yield ask["q"], sids[k]
+        at = np.searchsorted(union, tokens, side="left")
+        width = np.searchsorted(union, tokens, side="right") - at
+        if 100 * np.count_nonzero(width) < percent * len(tokens):
+            return
+        places = np.repeat(at - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        shared = np.bincount(page["owner"][places], minlength=len(count))
+        for j in np.flatnonzero(100 * shared >= percent * (len(tokens) + count - shared)).tolist():
+            a, b = top(q), top(page["sids"][j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                yield q, page["sids"][j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows))
-            pairs = [p for row in rows for p in found(*row)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out, page = [], {}
+
+        def close() -> None:
+            if page and not page["one"] and len(page["sids"]) > 1:
+                for q, tokens in zip(page["sids"], page["tokens"], strict=True):
+                    out.extend(found(q, tokens, page))
 
-    own = stored.where(~F.col("one")).select(F.transform("members", lambda m: F.struct(m["sid"].alias("q"), m["tokens"].alias("tokens"))).alias("asks"), "members", "one")
-    return queries.join(stored, "page").select("asks", "members", "one").unionByName(own).mapInArrow(run, "a long, b long")
+        for new, asking, one, sid, tokens in runs(batches):
+            if new:
+                close()
+                page = {"sids": [], "tokens": [], "one": one, "root": {}}
+            if asking:
+                out.extend(found(sid, tokens, page))
+            elif sid not in page["root"]:
+                page["sids"].append(sid)
+                page["tokens"].append(tokens)
+                page["root"][sid] = page["sids"][0] if one else sid
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return routed(docs, sets, asks.unionByName(held), k).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -414,8 +480,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     they get null. Repeated doc_ids are separate rows of which each gets the class of its own text. Other columns are
     not read; an empty table gives an empty table.
     """
+    rows = classes(docs, k, percent)
+    return rows.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """Per row: doc_id, row_key, n_shingles, class (null without words) and the class's component_id and least row key ``head``.
+
+    ``head`` is the row key of the class's row with the least doc_id (null last, ties by key).
+    """
     spark = docs.sparkSession
-    told, _ = written(describe(docs, k), "jaccard-sets")
+    told, at_told = written(describe(docs, k), "jaccard-rows")
     known = told.where("kind = 0").drop("kind")
     heavy = told.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "sid").limit(HEAVY).toPandas()
     ids = heavy["sid"].to_numpy(np.int64).view(U)
@@ -423,31 +498,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     weight = np.log2(np.maximum(heavy["n"].to_numpy(np.float64), 2)).astype(np.int64)
     heavy = (ids[at], weight[at])
 
-    sizes, _ = written(known.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n")), "jaccard-sizes")
-    alike = seed_pairs(docs, known, k, percent)
+    row = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("doc_id").isNull().alias("x"), F.col("row_key").alias("row_key")))
+    some = lambda c: F.first(c, ignorenulls=True).alias(c)
+    sets = known.where("sid IS NOT NULL").groupBy("sid").agg(row.alias("row"), some("n"), some("mins"), some("counts"))
+    sets, _ = written(sets.select("sid", "row", F.col("row.row_key").alias("row_key"), "n", "mins", "counts"), "jaccard-sets")
+    alike = seed_pairs(docs, sets, k, percent)
     seeds = alike.where("linked").select("a", "b")
-    verified, _ = written(components(seeds).select(F.col("node").alias("sid"), F.col("root").alias("gid")), "jaccard-groups")
-    loose, _ = written(blocks(alike, verified, sizes), "jaccard-blocks")
+    verified, at_verified = written(components(seeds).select(F.col("node").alias("sid"), F.col("root").alias("gid")), "jaccard-groups")
+    loose, at_loose = written(blocks(alike, verified, sets.select("sid", "n")), "jaccard-blocks")
     groups = verified.withColumn("one", F.lit(True)).unionByName(loose.withColumn("one", F.lit(False)))
     buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs, _ = written(candidate_groups(matrix_cells(docs, known, groups, heavy, k, percent, buckets), percent), "jaccard-candidates")
-    pairs = bounded_pairs(pairs, known, groups, percent)
+    pairs, at_pairs = written(candidate_groups(matrix_cells(docs, sets, groups, heavy, k, percent, buckets), percent), "jaccard-candidates")
 
     # members and pages of the groups that take part; a group that is not listed is a single set
     part = pairs.select(F.col("g").alias("gid")).unionByName(pairs.select(F.col("h").alias("gid"))).unionByName(loose.select("gid")).distinct()
-    counts = groups.join(sizes, "sid").groupBy("gid").agg(F.count(F.lit(1)).alias("c"), _parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    counts = groups.join(sets.select("sid", "n"), "sid").groupBy("gid").agg(F.count(F.lit(1)).alias("c"), _parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
     sized = part.join(counts, "gid", "left").select("gid", F.coalesce("c", F.lit(1)).alias("c"), "parts")
-    members = sized.join(groups, "gid", "left").select("gid", "parts", F.coalesce("one", F.lit(True)).alias("one"), F.coalesce("sid", "gid").alias("sid"))
+    members = sized.join(groups, "gid", "left").select("gid", "c", "parts", F.coalesce("one", F.lit(True)).alias("one"), F.coalesce("sid", "gid").alias("sid"))
     page = F.when(F.col("one") & (F.col("parts") > 1), F.xxhash64("gid", F.pmod(F.xxhash64("sid"), "parts"))).otherwise(F.col("gid"))
-    members, _ = written(members.withColumn("page", page), "jaccard-members")
+    members, at_members = written(members.withColumn("page", page).join(sets.select("sid", "n", "counts"), "sid"), "jaccard-members")
     two = pairs.join(sized.select(F.col("gid").alias("g"), F.col("c").alias("cg")), "g").join(sized.select(F.col("gid").alias("h"), F.col("c").alias("ch")), "h")
     few = F.col("cg") <= F.col("ch")
     asks = two.select(F.when(few, F.col("g")).otherwise(F.col("h")).alias("gid"), F.when(few, F.col("h")).otherwise(F.col("g")).alias("other"))
     asked = asks.join(members.select("gid", F.col("sid").alias("q")), "gid").join(members.select(F.col("gid").alias("other"), "page").distinct(), "other").select("q", "page")
-    sets, _ = written(sets_of(docs, known, members.select("sid").distinct(), k), "jaccard-member-sets")
-    more, _ = written(open_groups(asked, sets, members.select("page", "sid", "one"), sizes, percent), "jaccard-links")
+    asked, at_asked = written(bounded(asked, sets, page_bounds(members), percent), "jaccard-asked")
+    more, _ = written(open_groups(docs, sets, asked, members.select("page", "sid", "one"), k, percent), "jaccard-links")
+    drop(spark, at_verified, at_loose, at_pairs, at_members, at_asked)
 
     roots = components(seeds.unionByName(more)).select(F.col("node").alias("sid"), "root")
-    least = known.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("d")).join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "d")
-    classes = least.join(least.groupBy("root").agg(F.min("d").alias("component_id")), "root").select("sid", "component_id")
-    return known.join(classes, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = sets.select("sid", "row").join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "row")
+    named = least.join(least.groupBy("root").agg(F.min("row").alias("top")), "root").select("sid", F.col("root").alias("class"), F.when(~F.col("top.x"), F.col("top.d")).alias("component_id"), F.col("top.row_key").alias("head"))
+    return known.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "sid").join(named, "sid", "left").drop("sid")

@@ -33,7 +33,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, (1 << 20) + (1 << 16))
+        n = max(n + n // 4, (1 << 18) + (1 << 16))
         _POWERS[:] = [np.concatenate([np.ones(1, U), np.cumprod(np.full(n, b, U))]) for b in (U(_BASE), U(pow(_BASE, -1, 1 << 64)))]
     return _POWERS[0], _POWERS[1]
 
@@ -74,7 +74,7 @@ class Words:
         return mix(out)
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges (from, to) of at most ``most`` bytes of text, or of one row."""
     import pyarrow.compute as pc
 
