@@ -2,12 +2,14 @@
 
 A byte-level BPE never merges across its pre-tokens, and one space followed by a non-space always starts a pre-token.
 So a text is cut at such spaces, each distinct piece is encoded once per Python worker, and the ids of a text are the
-joined ids of its pieces: the same ids as encoding the whole text (tests compare them). The caches are bounded; a full
-one is emptied, which costs time, not correctness.
+joined ids of its pieces: the same ids as encoding the whole text (tests compare them). Literals of the vocabulary's
+added tokens (such as an end-of-text mark) get their own id, as the library does by itself; the text between them is
+encoded apart. The caches are bounded; a full one is emptied, which costs time, not correctness.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 
@@ -46,7 +48,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path)
-        self.tok.encode_special_tokens = True
+        self._require_byte_level(json.loads(self.tok.to_str()))
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.dtype = np.dtype(f"<u{self.width}")
@@ -57,9 +59,22 @@ class TextEncoder:
         self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in kept)}
         self.odd = regex.compile(r" (?:\s|$)").search
         self.cut = regex.compile(r" (?=\S)").split
+        self.added = {t.content: array(self.code, [i]).tobytes() for i, t in self.tok.get_added_tokens_decoder().items()}
+        # the leftmost literal counts, of those that start together the longest
+        literals = sorted(self.added, key=len, reverse=True)
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, literals)) + ")").split if literals else None
         self.words: dict[str, bytes] = {}
         self.pieces = Pieces(self)
 
+    @staticmethod
+    def _require_byte_level(spec: dict) -> None:
+        """ValueError unless cutting texts at spaces gives the ids of the whole text for this tokenizer."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model["type"] == "BPE"
+        odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        if not plain or odd or spec.get("normalizer") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+            raise ValueError("this encoder takes byte-level BPE tokenizers without normalizer, prefix space or stripping added tokens")
+
     def _ids(self, word: str) -> bytes:
         """Ids of one pre-token, by the tokenizer's own merges over its byte alphabet."""
         if word.isascii() and word[1:].isalpha():
@@ -82,17 +97,22 @@ class TextEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as bytes."""
-        out, get = [], self.pieces.__getitem__
+        out = []
         for text in texts:
-            parts = self._parts(text)
-            first = self._first(parts[0])
-            out.append(first + b"".join(map(get, parts[1:])))
+            if self.marks and any(m in text for m in self.added):
+                out.append(b"".join(self.added.get(t) or self._plain(t) for t in self.marks(text) if t))
+            else:
+                out.append(self._plain(text))
             if len(self.pieces) > PIECES:
                 self.pieces.clear()
             if len(self.words) > WORDS:
                 self.words.clear()
         return out
 
+    def _plain(self, text: str) -> bytes:
+        parts = self._parts(text)
+        return self._first(parts[0]) + b"".join(map(self.pieces.__getitem__, parts[1:]))
+
     def _first(self, piece: str) -> bytes:
         return b"".join(self.words.get(w) or self._ids(w) for w in self.split(piece))
 

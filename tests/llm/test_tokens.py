@@ -10,7 +10,7 @@ from plumbline.llm import huffman as H
 from plumbline.llm.packing import pack_documents, pack_group
 from plumbline.llm.tokens import TextEncoder
 
-ODD = ["", " ", "  a  b \n c\t d  ", "a\n b  \n\n c <|endoftext|> it's  don't　x   y", "x" * 500, "日本 語 テスト  ", " \n a", "ÀÉ é ñ", "a b", "\x1c x \x85 y"]
+ODD = ["", " ", "  a  b \n c\t d  ", "a\n b  \n\n c <|endoftext|> it's  don't　x   y", "x" * 500, "日本 語 テスト  ", " \n a", "ÀÉ é ñ", "a b", "\x1c x \x85 y", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>  <|endoftext| >", "x<|endoftext|>\n <|endo"]
 
 
 @pytest.fixture(scope="module")
@@ -18,13 +18,28 @@ def encoder(tokenizer):
     return TextEncoder(tokenizer)
 
 
-def plain(encoder, text):
-    return encoder.tok.encode(text or "", add_special_tokens=False).ids
+@pytest.fixture(scope="module")
+def fresh(tokenizer):
+    """The library's tokenizer as it comes from the file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer)
+
+
+def plain(fresh, text):
+    return fresh.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ODD)
-def test_pieces_give_the_ids_of_the_whole_text(encoder, text):
-    assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == plain(encoder, text)
+def test_pieces_give_the_ids_of_the_whole_text(encoder, fresh, text):
+    assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == plain(fresh, text)
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    from plumbline.llm.queries import tokenizer_path
+
+    with pytest.raises(ValueError, match="byte-level"):
+        TextEncoder(tokenizer_path("word_bpe_49k.json"))
 
 
 def test_code_lengths_are_limited_and_complete():
@@ -61,9 +76,9 @@ def test_file_round_trip_and_faults():
             H.unpack_file(bad)
 
 
-def test_huffman_corpus(spark, docs, rows, empty, tokenizer, encoder):
+def test_huffman_corpus(spark, docs, rows, empty, tokenizer, encoder, fresh):
     got = H.encode_corpus(docs, tokenizer).orderBy("start").collect()
-    want = sorted(((r[0] is not None, r[0] or 0, np.array([*plain(encoder, r[1]), 2], "<u4").tobytes()) for r in rows), key=lambda x: x[:2])
+    want = sorted(((r[0] is not None, r[0] or 0, np.array([*plain(fresh, r[1]), 2], "<u4").tobytes()) for r in rows), key=lambda x: x[:2])
     assert [(g["doc_id"] is not None, g["doc_id"] or 0) for g in got] == [w[:2] for w in want]
     assert sorted(bytes(g["ids"]) for g in got) == sorted(w[2] for w in want)
     at = 0
@@ -104,7 +119,7 @@ def test_pack_group_balances_cost():
     assert cost.std() / cost.mean() < 0.15
 
 
-def test_pack_documents(spark, docs, rows, empty, tokenizer, encoder):
+def test_pack_documents(spark, docs, rows, empty, tokenizer, encoder, fresh):
     got = pack_documents(docs, tokenizer).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for g in got:
@@ -113,7 +128,7 @@ def test_pack_documents(spark, docs, rows, empty, tokenizer, encoder):
         assert len(g["ids"]) == 4 * g["length"]
     want = defaultdict(list)
     for r in rows:
-        ids = np.array([*plain(encoder, r[1]), 0], "<u4")
+        ids = np.array([*plain(fresh, r[1]), 0], "<u4")
         want[(r[0], len(ids))].append(ids.tobytes())
     assert sum(g["length"] for g in got) == sum(k[1] * len(v) for k, v in want.items())
     for key, texts in want.items():
