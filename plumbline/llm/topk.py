@@ -20,12 +20,14 @@ from .files import written
 BINS = 1024
 EXACT = float(1 << 53)
 NONE = -(1 << 63)
+MOST = (1 << 62) - 1
 
 
 def integer_vectors(table: DataFrame, scale: float = 256.0, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """(vec_id, vec binary of little-endian 64-bit floats that hold integers): floor(scale * x).
 
-    Rows with a null id, a null vector, or a null or non-finite component are left out; so is an empty vector.
+    Rows with a null id, a null vector, or a null or non-finite component are left out; so are an empty vector and one
+    with a component that is not finite any more when scaled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,8 +35,10 @@ def integer_vectors(table: DataFrame, scale: float = 256.0, id_col: str = "vec_i
             ids, out = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = np.array([np.nan if c is None else c for c in v.as_py()] if v.values.null_count else v.values.to_numpy(zero_copy_only=False), np.float64)
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * x)
                 if len(x) and np.isfinite(x).all():
-                    ids.append(i), out.append(np.floor(scale * x).astype("<f8").tobytes())
+                    ids.append(i), out.append(x.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -42,12 +46,14 @@ def integer_vectors(table: DataFrame, scale: float = 256.0, id_col: str = "vec_i
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products as 64-bit integers; products that floats can't hold exactly are taken as Python integers."""
-    bound = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
+    """Inner products as 64-bit integers, held within +-``MOST``; what floats can't hold exactly is taken as Python integers."""
+    with np.errstate(over="ignore"):
+        bound = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
     if bound < EXACT:
         return (queries @ vectors.T).astype(np.int64)
     as_int = lambda m: np.array([[int(c) for c in r] for r in m], object).reshape(m.shape)
-    return (as_int(queries) @ as_int(vectors).T).astype(np.int64)
+    exact = as_int(queries) @ as_int(vectors).T
+    return np.minimum(np.maximum(exact, -MOST), MOST).astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], dim: int, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,7 +80,7 @@ def _each(batches: Iterator[pa.RecordBatch], qids: np.ndarray, qvecs: np.ndarray
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """For each query (vec_id, vec) its k best other vectors: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
-    Both inputs come from :func:`integer_vectors`. A candidate with the query's own id is not its neighbour; a query
+    Both inputs come from :func:`integer_vectors`. Scores beyond 62 bits count as the largest or smallest one, +-``MOST``. A candidate with the query's own id is not its neighbour; a query
     without candidates gets no row. A repeated id is one candidate for each row, and as a query it is asked once.
     """
     spark = vectors.sparkSession
@@ -102,7 +108,7 @@ def _search_block(vectors: DataFrame, qids: np.ndarray, qvecs: np.ndarray, k: in
         yield pa.RecordBatch.from_arrays([pa.array([most])], ["most"])
 
     most = vectors.mapInArrow(largest, "most double").agg(F.max("most").alias("m")).collect()[0]["m"] or 0.0
-    bound = int(qvecs.shape[1] * np.abs(qvecs).max(initial=0) * most) + 1
+    bound = min(MOST, int(qvecs.shape[1]) * int(np.abs(qvecs).max(initial=0)) * int(most) + 1)
     lo, hi, want = [-bound] * n, [bound] * n, [k] * n
     while any(h > a for a, h in zip(lo, hi, strict=True)):
         step = [max(1, -(-(h - a + 1) // BINS)) for a, h in zip(lo, hi, strict=True)]
