@@ -18,6 +18,7 @@ from .files import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
+EPOCHS = 3
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -26,7 +27,7 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
 
 
-def source_targets(sizes: DataFrame, max_epochs: int = 3, cycle: int = 3) -> DataFrame:
+def source_targets(sizes: DataFrame, max_epochs: int = EPOCHS, cycle: int = 3) -> DataFrame:
     """From (source, source_size), a row for each source, adds target and epochs.
 
     Sources in code point order, null last, weigh 1 .. cycle, repeating. The shares come from one sort by
@@ -92,7 +93,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame, buckets: int = 4096, seed:
     both = ranked.alias("r").join(known.alias("k"), F.expr("r.source <=> k.source AND r.bucket = k.bucket"))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     more = (F.col("before") + F.col("within") + F.col("size") / 2 <= rest).cast("long")
-    return both.select("r.doc_id", "r.source", "r.size", "k.source_size", "k.target", (F.col("epochs") + more).alias("copies"), (F.col("r.size") * (F.col("epochs") + more)).alias("taken"), "r.rid")
+    copies = F.least(F.col("epochs") + more, F.lit(EPOCHS))  # a text without words fits even where nothing is left
+    return both.select("r.doc_id", "r.source", "r.size", "k.source_size", "k.target", copies.alias("copies"), (F.col("r.size") * copies).alias("taken"), "r.rid")
 
 
 ORACLE = rf"""
