@@ -82,8 +82,9 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, grades: int, l
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int = 512, least_df: int = 5, lift: float = 3.0) -> OrdinalModel:
     """Fit on a bounded sample of labelled documents.
 
-    A document with several labels counts as toxic if any says so; null ids and labels are left out. Without both labels
-    the model has no features and calls nothing toxic.
+    A document with several labels counts as toxic if any says so; null ids and labels are left out. Rows of a doc_id
+    that repeat are examples of their own, equal ones one example; the sample has about twice ``per_class`` rows of a
+    label at most. Without both labels the model has no features and calls nothing toxic.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -92,8 +93,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, feat
         return none
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.where(" OR ".join(f"toxic = {k}" for k in sizes)).where(share < F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0])))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    sample, _ = written(sample, "toxicity-sample")  # about 2 * per_class ids were broadcast for it
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample, _ = written(sample.dropDuplicates(["doc_id", "toxic", "text"]).withColumn("h", F.xxhash64("text", "doc_id")), "toxicity-sample")  # about 2 * per_class ids were broadcast for it
+    rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
+    sample = sample.where(part < F.when(F.col("toxic") == 1, 2 * per_class / rows.get(1, 1)).otherwise(2 * per_class / rows.get(0, 1))).select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,6 +157,11 @@ def severity(model: OrdinalModel, text: Column) -> Column:
     return score(text)
 
 
+def is_toxic(model: OrdinalModel, text: Column, at_least: float = 0.5) -> Column:
+    """Whether P(grade >= 1) is ``at_least`` for a text; false for null and empty ones."""
+    return severity(model, text.cast("string"))["p_toxic"] >= at_least
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel, at_least: float = 0.5) -> DataFrame:
     """``docs`` with one more struct column ``_toxicity`` (expected_severity, severity_grade, p_toxic, toxic).
 
