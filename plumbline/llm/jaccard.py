@@ -492,7 +492,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     told, at_told = written(describe(docs, k), "jaccard-rows")
     known = told.where("kind = 0").drop("kind")
-    heavy = told.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "sid").limit(HEAVY).toPandas()
+    heavy, at_heavy = written(told.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "sid").limit(HEAVY), "jaccard-heavy")
+    heavy = heavy.toPandas()  # the written table has the rows of all tasks cut to HEAVY
+    drop(spark, at_heavy)
     ids = heavy["sid"].to_numpy(np.int64).view(U)
     at = np.argsort(ids)
     weight = np.log2(np.maximum(heavy["n"].to_numpy(np.float64), 2)).astype(np.int64)
