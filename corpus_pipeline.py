@@ -1,8 +1,8 @@
 """A corpus pipeline: drop toxic documents, keep one of each near-duplicate class, cut repeated passages, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a table with the columns of ``documents``, the last one the packed
-pieces; the caller writes each result and hands it to the next stage. doc_id names a document: rows that share one are
-kept or dropped together by the near-duplicate stage.
+pieces; the caller writes each result and hands it to the next stage. Rows may have null and repeated doc_ids and any
+other columns; columns other than text and n_chars are handed on as they are.
 """
 
 from __future__ import annotations
@@ -10,36 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.files import written
-from plumbline.llm.jaccard import near_duplicates
+from plumbline.llm.files import drop, written
+from plumbline.llm.jaccard import classes
 from plumbline.llm.mixing import mixed_documents, quality_weights
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.queries import table, tokenizer_path
 from plumbline.llm.repeats import without_repeats
-from plumbline.llm.toxicity import fit_toxicity, score_toxicity
+from plumbline.llm.toxicity import fit_toxicity, is_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on labelled ones among them, calls toxic go; null texts stay."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where(~F.col("_toxicity.toxic")).select(*docs.columns)
+    return docs.where(~is_toxic(model, F.col("text")))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id stays; a class without any id stays whole."""
-    classes = near_duplicates(docs)
-    heads = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Of each class of linked documents one row stays: that with the least doc_id, null last, ties by a hash of the row.
+
+    Rows without words are linked with nothing and all stay.
+    """
+    told = classes(docs)
+    heads = told.where("class IS NULL OR row_key = head").groupBy("row_key").agg(F.max(F.col("class").isNotNull()).alias("linked"), F.count(F.lit(1)).alias("n"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key")).join(heads, "row_key")
+    again = F.col("linked") & (F.col("n") > 1)  # equal rows of one id
+    once = rows.where(again).dropDuplicates(["row_key"])
+    return rows.where(~again).select("row.*").unionByName(once.select("row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words or more that occurred before are cut; a document that lost words is its words left."""
+    """Passages of 20 words or more that occurred before are cut.
+
+    A document that lost words is its words left, joined by one space, and n_chars, if there is such a column, their
+    length; all other rows stay as they are.
+    """
     rows = without_repeats(docs, carry=docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    done = rows.select("row", text.alias("new")).select("row.*", "new")
-    changed = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
-    return done.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    lost, row = F.col("n_removed") > 0, F.col("row")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    cols = [F.when(lost, new[c].cast(kind)).otherwise(row[c]) if c in new else row[c] for c, kind in docs.dtypes]
+    return rows.select(*(c.alias(name) for c, name in zip(cols, docs.columns, strict=True)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs, at = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before:
+            drop(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
