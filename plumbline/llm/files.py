@@ -94,7 +94,7 @@ _LOADED: dict[str, list] = {}
 def load_sorted(folder: str, columns: tuple[str, ...]) -> list:
     """In a task: the long columns of a small table of the shared folder as numpy arrays, sorted by the first one.
 
-    A worker process keeps the table it read last. The caller has checked the table's size.
+    A worker process keeps the two tables it read last. The caller has checked the table's size.
     """
     if folder not in _LOADED:
         import numpy as np
@@ -105,6 +105,7 @@ def load_sorted(folder: str, columns: tuple[str, ...]) -> list:
         parts = [pq.read_table(n, columns=list(columns), filesystem=store) for n in names]
         cols = [np.concatenate([np.zeros(0, np.int64), *(p[c].to_numpy() for p in parts)]) for c in columns]
         order = np.argsort(cols[0], kind="stable")
-        _LOADED.clear()
+        while len(_LOADED) > 1:  # the two tables read last stay
+            _LOADED.pop(next(iter(_LOADED)))
         _LOADED[folder] = [c[order] for c in cols]
     return _LOADED[folder]

@@ -117,18 +117,41 @@ def kept(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("loaded", "often"), [(R.LOADED, R.OFTEN), (-1, R.OFTEN), (R.LOADED, 2)])
+@pytest.mark.parametrize(("loaded", "often"), [(R.LOADED, R.OFTEN), (-1, R.OFTEN), (R.LOADED, 2), (-1, 2)])
 def test_without_repeats(docs, rows, empty, monkeypatch, loaded, often):
-    monkeypatch.setattr(R, "LOADED", loaded)  # -1: anchors by a join
+    monkeypatch.setattr(R, "LOADED", loaded)  # -1: anchors by a join, frequent prefixes all as long as a window
     monkeypatch.setattr(R, "OFTEN", often)  # 2: longer prefixes for nearly all
-    got = [tuple(g) for g in R.without_repeats(docs).collect()]
-    assert sorted(got, key=str) == kept(rows)
+    monkeypatch.setattr(R, "ROWS", 30)  # many small subtrees
+    got = R.without_repeats(docs).collect()
+    assert sorted((tuple(g)[:4] for g in got), key=str) == kept(rows)
+    assert all(sum(s["to"] - s["from"] for s in g["spans"]) == g["n_removed"] for g in got)
     assert R.without_repeats(empty).count() == 0
 
 
+def test_windows_whose_words_collide_in_half_their_hash(spark):
+    """Two words with the same upper half of their hash are different words, within a task and across tasks."""
+    import pyarrow as pa
+
+    from plumbline.llm.words import Words
+
+    seen, pair = {}, None
+    for j in range(0, 1_000_000, 50_000):
+        words = [f"w{k}" for k in range(j, j + 50_000)]
+        for word, h in zip(words, (Words(pa.array([" ".join(words)])).hashes >> np.uint64(32)).tolist(), strict=True):
+            pair = pair or ((seen[h], word) if h in seen else None)
+            seen[h] = word
+        if pair:
+            break
+    line = [f"c{i}" for i in range(30)]
+    data = [(i, " ".join([*line[:12], pair[i % 2], *line[13:]])) for i in range(4)] + [(9, " ".join(line))]
+    for parts in (1, 5):
+        got = R.without_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((tuple(g)[:4] for g in got), key=str) == kept(data)
+
+
 def test_subtree_nodes():
     rng = np.random.default_rng(0)
-    words = rng.integers(0, 2, (400, R.WINDOW)).astype(">u4")
+    words = rng.integers(0, 2, (400, R.WINDOW)).astype(np.uint64)
     words[:, 6:] = 0
     key, start = rng.integers(0, 5, 400), rng.integers(0, 50, 400)
     first = {}
