@@ -22,7 +22,7 @@ def blend(df: DataFrame, weights: dict[str, float], mode: str = "raw", keys: tup
     """Sum of weight * f(score) for each (keys, row_id) as ``score``.
 
     Only listed components count; a row that lacks one is an error when the result is read. Each (keys, component) is
-    ranked or scaled in a window of its own.
+    ranked or scaled by itself.
     """
     keys = list(keys)
     rule = F.broadcast(weight_table(df, weights))  # one row for each component of the rule
@@ -46,10 +46,11 @@ def seedwise_zscore_blend(df: DataFrame, weights: dict[str, float], keys: tuple[
     return seed_mean(per_seed, keys)
 
 
-def nested_rank_blend(df: DataFrame, stages: list[tuple[str, dict[str, float]]], keys: tuple[str, ...] = ()) -> DataFrame:
+def nested_rank_blend(df: DataFrame, stages: list[tuple[str, dict[str, float]]], keys: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """Stages in order, each a weighted sum of normalised ranks of columns or earlier stages; the last one is ``score``.
 
-    ``df`` is wide: keys, row_id and a column for each input. Every stage ranks again what the stage before it made.
+    ``df`` is wide: keys, row_id and a column for each input. Every stage ranks again what the stage before it made, in
+    one sort of each set of keys. With ``digits`` the sums are rounded, so that equal ones tie in any order of addition.
     """
     for name, weights in stages:
         total = None
@@ -57,6 +58,7 @@ def nested_rank_blend(df: DataFrame, stages: list[tuple[str, dict[str, float]]],
             df = df.withColumn(f"_r_{k}", normalized_rank(k, list(keys)))
             term = F.lit(float(w)) * F.col(f"_r_{k}")
             total = term if total is None else total + term
+        total = total if digits is None else F.round(total, digits)
         df = df.withColumn(name, total).drop(*[f"_r_{k}" for k in weights])
     return df.select(*keys, "row_id", F.col(stages[-1][0]).alias("score"))
 

@@ -33,9 +33,11 @@ def verdict(difference: Column, eps: float = 1e-9) -> Column:
 
 def overlap_audit(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """One row: rows and distinct keys of the source, and how many of either also occur in the target."""
-    marked = source.select(key).join(target.select(F.col(key)).distinct().withColumn("_hit", F.lit(1)), key, "left")
+    counts = source.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))  # a common key is one row from here on
+    marked = counts.join(target.select(F.col(key)).distinct().withColumn("_hit", F.lit(1)), key, "left")
     hit = F.col("_hit").isNotNull()
-    return marked.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys"), F.coalesce(F.sum(hit.cast("long")), F.lit(0)).alias("rows_shared"), F.countDistinct(F.when(hit, F.col(key))).alias("keys_shared"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return marked.agg(total("_n").alias("rows"), F.count(key).alias("keys"), total(F.when(hit, F.col("_n"))).alias("rows_shared"), F.count(F.when(hit, F.col(key))).alias("keys_shared"))
 
 
 def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, value: str, resamples: int = 200, level: float = 0.95) -> DataFrame:

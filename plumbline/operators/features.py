@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bucket_of
+from ..functions.scalars import bucket_of, is_finite
+from .ranks import joined_back
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Widths of the block families that a profile is made of (fixed values of the recorded profiles).
-WIDTHS = {"morgan": 1024, "avalon": 1024, "erg": 315, "descriptors": 200, "maccs": 167}
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
@@ -56,17 +51,96 @@ def text_descriptors(text: Column) -> list[Column]:
     ]
 
 
-def block_names(blocks: dict[str, int]) -> list[str]:
-    """prefix.i for each column, in block order; prefixes must differ."""
-    return [f"{p}.{i}" for p, n in blocks.items() for i in range(n)]
+def column_names(blocks: DataFrame) -> DataFrame:
+    """(name, idx): prefix.i for each column of the blocks (pos, prefix, width), numbered in the order of pos."""
+    start = F.sum("width").over(Window.partitionBy(F.lit(1)).orderBy("pos")) - F.col("width")  # a row for each block
+    each = blocks.withColumn("_start", start).where("width > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1)))
+    return each.select(F.concat_ws(".", "prefix", F.col("_i").cast("string")).alias("name"), (F.col("_start") + F.col("_i")).cast("int").alias("idx"))
 
 
-def parse_profile(name: str) -> dict[str, object]:
-    """Split a component name into profile, embedding candidate and whether a base prediction is the last column."""
-    base = name.endswith("_base_pred")
-    name = name.removesuffix("_base_pred").removeprefix("xl_v4_")
-    m = re.fullmatch(r"(?:(embed)_)?chem_(.+)", name)
-    return {"profile": m[2] if m else name, "embedding": bool(m and m[1]), "base_prediction": base}
+def parse_profile(block: Column, family: Column) -> list[Column]:
+    """profile, candidate and base_prediction from the names of a feature block and its family.
+
+    The block's prefix says whether an embedding goes first; its candidate is the family without the version prefix.
+    """
+    bare = F.regexp_replace(block, "^(embed_chem_|chem_)", "")
+    return [
+        F.regexp_replace(bare, "_base_pred$", "").alias("profile"),
+        F.when(F.startswith(block, F.lit("embed_chem_")), F.regexp_replace(family, "^xl_v4_", "")).alias("candidate"),
+        F.endswith(bare, F.lit("_base_pred")).alias("base_prediction"),
+    ]
+
+
+# Fixed values of the recorded profiles: blocks in order with their widths, and the blocks of the embedding candidates.
+CORE = [("morgan_count_r2", 1024), ("avalon_count", 1024), ("erg", 315), ("rdkit", 200)]
+STANDARD = {
+    "core_maccs_fcfp": [("maccs", 167), ("fcfp_count_r2", 1024)],
+    "core_pair_torsion": [("atom_pair_count", 1024), ("torsion_count", 1024)],
+    "core_path": [("rdkit_path", 1024)],
+    "wide_chem": [("maccs", 167), ("morgan_count_r3", 1024), ("fcfp_count_r2", 1024), ("atom_pair_count", 1024), ("torsion_count", 1024), ("rdkit_path", 1024)],
+}
+XL_MORGAN = [("morgan_count_r1", 2048), ("morgan_count_r2", 2048), ("morgan_count_r3", 2048), ("fcfp_count_r2", 2048), ("fcfp_count_r3", 2048)]
+XL_TOPOLOGY = [("atom_pair_count", 2048), ("torsion_count", 2048), ("rdkit_path", 2048), ("layered", 2048), ("pattern", 2048)]
+SINGLE = {"descriptors": 3, "morgan1024": 0, "avalon1024": 1, "erg": 2}
+CANDIDATES = {
+    "chemberta": "C", "kpgt": "K", "ept": "E", "chemberta_kpgt": "CK", "chemberta_ept": "CE", "kpgt_ept": "KE", "chemberta_kpgt_ept_gated": "CKE",
+}
+MASKS = {"all": "CKE", "chemberta": "C", "kpgt": "K", "ept": "E", "chemberta_kpgt": "CK", "ept_kpgt": "KE", "chemberta_ept": "CE"}
+
+
+def profile_blocks(profile: str) -> list[tuple[str, int]]:
+    """The blocks (prefix, width) of a profile in order; an unknown profile is an error."""
+    if profile == "core":
+        return CORE
+    if profile in SINGLE:
+        return [CORE[SINGLE[profile]]]
+    if profile in STANDARD:
+        return CORE + STANDARD[profile]
+    large = {"xl_morgan_family": XL_MORGAN, "xl_topology_family": XL_TOPOLOGY, "xl_full_chemical_prior": XL_MORGAN + XL_TOPOLOGY}
+    if profile not in large:
+        raise ValueError(f"unknown profile {profile}")
+    return CORE + [(f"xl.{p}", n) for p, n in [("maccs", 167), *large[profile]]]
+
+
+def assembled(blocks: dict[str, Column], order: list[str], embedding: Column | None = None, base: Column | None = None) -> Column:
+    """One array: the embedding first, the blocks in order, the base prediction last; a missing block is an error."""
+    if missing := [b for b in order if b not in blocks]:
+        raise ValueError(f"missing blocks: {missing}")
+    parts = [embedding] if embedding is not None else []
+    parts += [blocks[b] for b in order]
+    return F.concat(*parts, *([F.array(base.cast("float"))] if base is not None else []))
+
+
+def candidate_blocks(candidate: str) -> list[str]:
+    """The embedding blocks of a candidate in order; an unknown one is an error."""
+    if candidate not in CANDIDATES:
+        raise ValueError(f"unknown candidate {candidate}")
+    return list(CANDIDATES[candidate])
+
+
+def modality_mask(name: str) -> tuple[bool, bool, bool]:
+    """Which of the blocks C, K, E a named mask leaves on; an unknown name is an error."""
+    if name not in MASKS:
+        raise ValueError(f"unknown modalities {name}")
+    return tuple(b in MASKS[name] for b in "CKE")
+
+
+def masked_blocks(blocks: list[tuple[Column, int]], on: tuple[bool, ...]) -> Column:
+    """All blocks (array, width) in one array, zeros where a block is off; all off is an error."""
+    if not any(on):
+        raise ValueError("at least one modality must be on")
+    return F.concat(*[x if o else F.array_repeat(F.lit(0.0).cast("float"), n) for (x, n), o in zip(blocks, on, strict=True)])
+
+
+def token_classes(ws: Column) -> Column:
+    """The class of each word: digits (d), upper case first (U), letters (l), others (o)."""
+    kind = lambda w: F.when(w.rlike("^[0-9]+$"), "d").when(w.rlike("^[A-Z]"), "U").when(w.rlike("^[a-z]+$"), "l").otherwise("o")
+    return F.transform(ws, kind)
+
+
+def group_key(key: Column, raw: Column) -> Column:
+    """A group key; rows without one are groups of their own, by their raw value."""
+    return F.coalesce(key, F.concat(F.lit("invalid::"), raw))
 
 
 def clip_and_standardize(df: DataFrame, values: str, train: Column, q: float = 0.999, bounds: tuple[float, float] = (50.0, 1e4)) -> DataFrame:
@@ -76,7 +150,8 @@ def clip_and_standardize(df: DataFrame, values: str, train: Column, q: float = 0
     idx, z. What is broadcast is one limit and a row for each column.
     """
     long = df.select("row_id", train.alias("_train"), F.posexplode(values).alias("idx", "x")).withColumn("x", F.col("x").cast("double"))
-    limit = long.where("_train").agg(F.least(F.lit(bounds[1]), F.greatest(F.lit(bounds[0]), F.percentile(F.abs("x"), F.lit(q)))).alias("_limit"))
+    limit = high_percentile(long.where("_train").select(F.abs("x").alias("x")), "x", q)
+    limit = limit.select(F.least(F.lit(bounds[1]), F.greatest(F.lit(bounds[0]), F.col("p"))).alias("_limit"))
     cut = long.crossJoin(F.broadcast(limit)).withColumn("x", F.greatest(-F.col("_limit"), F.least(F.col("_limit"), F.col("x"))))  # one row
     mean = cut.where("_train").groupBy("idx").agg(F.avg("x").alias("_m"))
     both = cut.join(F.broadcast(mean), "idx")
@@ -85,9 +160,35 @@ def clip_and_standardize(df: DataFrame, values: str, train: Column, q: float = 0
     return out.select("row_id", "idx", ((F.col("x") - F.col("_m")) / F.when(F.col("_s") < 1e-6, 1.0).otherwise(F.col("_s"))).alias("z"))
 
 
+def high_percentile(df: DataFrame, x: str, q: float) -> DataFrame:
+    """One row ``p``: the exact, interpolated ``q`` percentile of a column without nulls, for q near 1.
+
+    An approximate percentile a little lower is found first; only the tail above it, counted, meets in one task.
+    """
+    lower = df.agg(F.percentile_approx(x, 2 * q - 1, 20_000).alias("v")).collect()[0]["v"]
+    if lower is None:
+        return df.agg(F.percentile(x, F.lit(q)).alias("p"))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(x) < lower).alias("below")).collect()[0]
+    at = (row["n"] - 1) * q - row["below"]  # the place in the tail
+    if at < 0:
+        return df.agg(F.percentile(x, F.lit(q)).alias("p"))
+    tail = df.where(F.col(x) >= lower).groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
+    return tail.agg(F.percentile(x, F.lit(at / max(1, row["n"] - row["below"] - 1)), F.col("_n")).alias("p"))
+
+
 def median_impute(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
-    """Nulls and NaN become the exact median of the keys' other values; a column without any stays null."""
-    for c in cols:
-        clean = F.when(~F.isnan(c), F.col(c))
-        df = df.withColumn(c, F.coalesce(clean, F.percentile(clean, F.lit(0.5)).over(Window.partitionBy(*keys))))
-    return df
+    """Nulls and NaN become the exact median of the keys' other values; a column without any stays null.
+
+    The medians are an aggregate with partial counts of distinct values, joined back to the rows.
+    """
+    clean = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
+    medians = df.groupBy(*keys).agg(*[F.percentile(clean[c], F.lit(0.5)).alias(f"_m_{c}") for c in cols])
+    out = joined_back(df, medians, keys)
+    return out.withColumns({c: F.coalesce(clean[c], F.col(f"_m_{c}")) for c in cols}).drop(*[f"_m_{c}" for c in cols])
+
+
+def standardized_labels(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Adds label_mean, label_std (population, + 1e-8, of the finite labels; 0 and 1 where there are none) and z."""
+    y = F.when(is_finite(F.col(label)), F.col(label))
+    stats = df.groupBy(*keys).agg(F.coalesce(F.avg(y), F.lit(0.0)).alias("label_mean"), F.coalesce(F.stddev_pop(y) + 1e-8, F.lit(1.0)).alias("label_std"))
+    return joined_back(df, stats, keys).withColumn("z", (F.col(label) - F.col("label_mean")) / F.col("label_std"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import average_rank
+from .ranks import rank_table, with_ranks
 
 NAN = float("nan")
 
@@ -21,12 +21,12 @@ def accuracy(df: DataFrame, keys: list[str], at: float = 0.5) -> DataFrame:
 
 def auroc(df: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve from average ranks; NaN with one class."""
-    ranked = df.withColumn("_r", average_rank("score", keys))
-    pos = F.sum((F.col("y") == 1).cast("double"))
-    neg = F.sum((F.col("y") == 0).cast("double"))
-    got = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("y") == 1, F.col("_r")).otherwise(0.0)).alias("_s"), pos.alias("_p"), neg.alias("_n"))
-    area = (F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * F.col("_n"))
-    return got.select(*keys, _or_nan((F.col("_p") > 0) & (F.col("_n") > 0), area).alias("auroc"))
+    pos = F.sum((F.col("y") == 1).cast("double")).alias("_pos")
+    neg = F.sum((F.col("y") == 0).cast("double")).alias("_neg")
+    ranked = rank_table(df.select(*keys, "y", "score"), "score", keys, (pos, neg))
+    got = ranked.groupBy(*keys).agg(F.sum(F.col("_pos") * F.col("_rank")).alias("_s"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
+    area = (F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * F.col("_q"))
+    return got.select(*keys, _or_nan((F.col("_p") > 0) & (F.col("_q") > 0), area).alias("auroc"))
 
 
 def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def mae_rmse(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, keys: list[str]) -> DataFrame:
     """Pearson correlation of average ranks; NaN with fewer than two rows, non-finite values or a constant side."""
-    ranked = df.withColumn("_a", average_rank("y", keys)).withColumn("_b", average_rank("score", keys))
+    ranked = with_ranks(df.select(*keys, "y", "score"), {"y": "_a", "score": "_b"}, keys)
     bad = F.max((F.isnan("y") | F.isnan("score") | F.col("y").isNull() | F.col("score").isNull() | (F.abs("y") == float("inf")) | (F.abs("score") == float("inf"))).cast("int"))
     got = ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("_c"), F.count(F.lit(1)).alias("_n"), bad.alias("_bad"), F.min("_a").alias("_a0"), F.max("_a").alias("_a1"), F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
     ok = (F.col("_n") > 1) & (F.col("_bad") == 0) & (F.col("_a0") < F.col("_a1")) & (F.col("_b0") < F.col("_b1"))

@@ -34,17 +34,24 @@ def batches(df: DataFrame, size: int = 64, cell_rows: int = 50_000) -> DataFrame
     return rows.join(F.broadcast(starts), "_cell").withColumn("_batch", F.floor(at / size)).select(*columns, "_batch")
 
 
-def margin_losses(df: DataFrame, most: int = 1024, size: int | None = None) -> DataFrame:
-    """(pos_id, neg_id, loss): softplus of the negative margin of each positive and negative of a batch (row_id, y, score)."""
-    b = batches(df, size) if size else _batch(df, most)
+def _batched(df: DataFrame, most: int, size: int | None, by: Column | None) -> DataFrame:
+    return df.withColumn("_batch", by) if by is not None else batches(df, size) if size else _batch(df, most)
+
+
+def margin_losses(df: DataFrame, most: int = 1024, size: int | None = None, by: Column | None = None) -> DataFrame:
+    """(pos_id, neg_id, loss): softplus of the negative margin of each positive and negative of a batch (row_id, y, score).
+
+    ``by`` is the number of a row's training batch where the table tells it.
+    """
+    b = _batched(df, most, size, by)
     pos = b.where("y = 1").select("_batch", F.col("row_id").alias("pos_id"), F.col("score").alias("_p"))
     neg = b.where("y = 0").select("_batch", F.col("row_id").alias("neg_id"), F.col("score").alias("_n"))
     return pos.join(neg, "_batch").select("pos_id", "neg_id", softplus(F.col("_n") - F.col("_p")).alias("loss"))
 
 
-def soft_ranks(df: DataFrame, temperature: float = 1.0, most: int = 1024, size: int | None = None) -> DataFrame:
+def soft_ranks(df: DataFrame, temperature: float = 1.0, most: int = 1024, size: int | None = None, by: Column | None = None) -> DataFrame:
     """(row_id, soft_rank): 1 plus the sum of sigmoids of score differences to the other rows of a batch."""
-    b = batches(df, size) if size else _batch(df, most)
+    b = _batched(df, most, size, by)
     other = b.select("_batch", F.col("row_id").alias("_o"), F.col("score").alias("_s"))
     term = F.when(F.col("row_id") == F.col("_o"), 0.0).otherwise(sigmoid((F.col("score") - F.col("_s")) / temperature))
     return b.join(other, "_batch").groupBy("_batch", "row_id").agg((1 + F.sum(term)).alias("soft_rank")).drop("_batch")

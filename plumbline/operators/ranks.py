@@ -1,7 +1,13 @@
-"""Ranks and z-scores of a score within keys; each set of keys is one window partition."""
+"""Ranks and z-scores of a score within keys.
+
+A key may hold any share of the rows. Ranks come from counts of distinct scores in ranges of about equal size, whose
+sums are added up before the ranges meet; z-scores from one aggregate for each key. Both are joined back to the rows.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,37 +15,73 @@ from ..functions.scalars import logit
 
 
 def average_rank(score: str, keys: list[str]) -> Column:
-    """Ranks from 1; ties share their mean rank. Rank and number of rows up to the ties come from one sort."""
+    """Ranks from 1 in one window; ties share their mean rank. For keys of a bounded number of rows."""
     w = Window.partitionBy(*keys).orderBy(score)
     upto = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return (F.rank().over(w) + upto) / F.lit(2.0)
 
 
 def normalized_rank(score: str, keys: list[str]) -> Column:
-    """Average rank divided by the number of rows."""
+    """Average rank divided by the number of rows, in one window."""
     return average_rank(score, keys) / F.count(F.lit(1)).over(Window.partitionBy(*keys))
 
 
+def joined_back(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of ``other``, a row for each set of keys; null keys meet null keys."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other))  # one row
+    for k in keys:
+        other = other.withColumnRenamed(k, f"_j_{k}")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    return df.join(other, same).drop(*[f"_j_{k}" for k in keys])
+
+
+def rank_table(df: DataFrame, score: str, keys: list[str], more: tuple[Column, ...] = (), ranges: int = 256) -> DataFrame:
+    """(keys, score, _n, _rank, _all) and the aggregates ``more`` for each distinct score: its rows, average rank, all rows of the keys.
+
+    Nulls rank first and NaN last, as in a sort. No task sees more of a key than one of about ``ranges`` ranges of its
+    distinct scores and a row for each range.
+    """
+    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), *more)
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(F.col(score).cast("double"), [k / ranges for k in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda x: x < F.col(score)))
+    dealt = joined_back(counts, cuts, keys).withColumn("_range", F.when(F.col("_cuts").isNull() | F.col(score).isNull(), 0).otherwise(below)).drop("_cuts")
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_s"))
+    line = Window.partitionBy(*keys).orderBy("_range")
+    starts = sums.select(*keys, "_range", (F.sum("_s").over(line) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy(*keys)).alias("_all"))
+    within = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(score))
+    ranked = joined_back(dealt.withColumn("_upto", within), starts, [*keys, "_range"])
+    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
+    return ranked.withColumn("_rank", rank).drop("_range", "_before", "_upto")
+
+
+def with_ranks(df: DataFrame, columns: dict[str, str], keys: list[str], normalized: bool = False) -> DataFrame:
+    """Adds the average ranks (from 1, ties share their mean; divided by the number of rows if ``normalized``) of columns under new names."""
+    out = df
+    for score, name in columns.items():
+        rank = F.col("_rank") / F.col("_all") if normalized else F.col("_rank")
+        ranks = rank_table(df, score, keys).select(*keys, score, rank.alias(name))
+        out = joined_back(out, ranks, [*keys, score])
+    return out
+
+
 def _spread(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
-    """Adds _mean and _sd, the population deviation in two passes; sums run in row_id order where there is one."""
-    every = Window.partitionBy(*keys)
-    if "row_id" in df.columns:
-        every = every.orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumn("_mean", F.avg(F.col(score).cast("double")).over(every))
-    df = df.withColumn("_sq", (F.col(score) - F.col("_mean")) * (F.col(score) - F.col("_mean")))
-    return df.withColumn("_sd", F.sqrt(F.avg("_sq").over(every)))
+    """Adds _mean and _sd, the population deviation in two passes."""
+    df = joined_back(df, df.groupBy(*keys).agg(F.avg(F.col(score).cast("double")).alias("_mean")), keys)
+    off = F.col(score) - F.col("_mean")
+    return joined_back(df, df.groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("_sd")), keys)
 
 
 def zscore64(df: DataFrame, score: str, keys: list[str], to: str = "z") -> DataFrame:
     """Double z-scores; zeros only where the deviation is exactly 0."""
     z = F.when(F.col("_sd") == 0, F.lit(0.0)).otherwise((F.col(score) - F.col("_mean")) / F.col("_sd"))
-    return _spread(df, score, keys).withColumn(to, z).drop("_mean", "_sq", "_sd")
+    return _spread(df, score, keys).withColumn(to, z).drop("_mean", "_sd")
 
 
 def zscore32(df: DataFrame, score: str, keys: list[str], to: str = "z") -> DataFrame:
     """Float z-scores; zeros where the deviation is below 1e-12."""
     z = F.when(F.col("_sd") < 1e-12, F.lit(0.0)).otherwise((F.col(score) - F.col("_mean")) / F.col("_sd")).cast("float")
-    return _spread(df, score, keys).withColumn(to, z).drop("_mean", "_sq", "_sd")
+    return _spread(df, score, keys).withColumn(to, z).drop("_mean", "_sd")
 
 
 def transformed(df: DataFrame, score: str, keys: list[str], mode: str, to: str = "f") -> DataFrame:
@@ -47,9 +89,9 @@ def transformed(df: DataFrame, score: str, keys: list[str], mode: str, to: str =
     if mode == "raw":
         return df.withColumn(to, F.col(score).cast("double"))
     if mode == "rank":
-        return df.withColumn(to, average_rank(score, keys))
+        return with_ranks(df, {score: to}, keys)
     if mode == "rank_n":
-        return df.withColumn(to, normalized_rank(score, keys))
+        return with_ranks(df, {score: to}, keys, normalized=True)
     if mode == "logit":
         return df.withColumn(to, logit(F.col(score).cast("double")))
     if mode == "zscore":

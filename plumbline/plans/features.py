@@ -74,32 +74,32 @@ def median_impute(spark, d):
 
 @query("""
 SELECT a.vec_id AS pos_id, b.vec_id AS neg_id, round(ln(1 + exp(-(CAST(a.embedding[1] AS DOUBLE) - b.embedding[1]))), 9) AS loss
-FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND b.vec_id < 100 AND a.label >= 5 AND b.label < 5
+FROM embeddings a JOIN embeddings b ON a.vec_id // 64 = b.vec_id // 64 WHERE a.label >= 5 AND b.label < 5
 """)
 def pairwise_margin(spark, d):
-    df = table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("row_id"), (F.col("label") >= 5).cast("int").alias("y"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
-    return P.margin_losses(df, most=100).withColumn("loss", F.round("loss", 9))
+    df = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") >= 5).cast("int").alias("y"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
+    return P.margin_losses(df, by=F.floor(F.col("row_id") / 64)).withColumn("loss", F.round("loss", 9))
 
 
 @query("""
 SELECT a.vec_id AS row_id, round(1 + sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE 1 / (1 + exp(-(CAST(a.embedding[1] AS DOUBLE) - b.embedding[1]) / 0.1)) END), 6) AS soft_rank
-FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND b.vec_id < 100 GROUP BY 1
+FROM embeddings a JOIN embeddings b ON a.vec_id // 64 = b.vec_id // 64 GROUP BY 1
 """)
 def soft_rank(spark, d):
-    df = table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("row_id"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
-    return P.soft_ranks(df, 0.1, most=100).withColumn("soft_rank", F.round("soft_rank", 6))
+    df = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
+    return P.soft_ranks(df, 0.1, by=F.floor(F.col("row_id") / 64)).withColumn("soft_rank", F.round("soft_rank", 6))
 
 
 @query()
 def pairwise_margin_batches(spark, d):
-    """The losses over the whole table, in batches of the recorded 64 rows; pairwise_margin's SQL ends at vec_id 100."""
+    """The losses over the whole table, in batches of 64 rows by a hash instead of by id."""
     df = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") >= 5).cast("int").alias("y"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
     return P.margin_losses(df, size=64)
 
 
 @query()
 def soft_rank_batches(spark, d):
-    """The soft ranks over the whole table, in batches of the recorded 64 rows; soft_rank's SQL ends at vec_id 100."""
+    """The soft ranks over the whole table, in batches of 64 rows by a hash instead of by id."""
     df = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
     return P.soft_ranks(df, 0.1, size=64)
 
@@ -153,20 +153,113 @@ def plateau_schedule(spark, d):
     return A.plateau_rates(df, first=0.1, factor=0.5, patience=1)
 
 
-@query("SELECT * FROM (VALUES ('embed_chem_core', 'core', true, false), ('chem_wide_base_pred', 'wide', false, true), ('xl_v4_chem_full', 'full', false, false)) v(name, profile, embedding, base_prediction)")
+_NAMES = "WITH n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'embed_chem_' ELSE 'chem_' END || replace(lower(n_name), ' ', '_') || CASE WHEN n_nationkey % 3 = 0 THEN '_base_pred' ELSE '' END AS block, CASE WHEN n_nationkey % 4 = 0 THEN 'xl_v4_' ELSE '' END || replace(lower(n_name), ' ', '_') || '_family' AS family FROM nation)"
+
+
+@query(_NAMES + """ SELECT block, regexp_replace(regexp_replace(block, '^(embed_chem_|chem_)', ''), '_base_pred$', '') AS profile,
+CASE WHEN starts_with(block, 'embed_chem_') THEN regexp_replace(family, '^xl_v4_', '') END AS candidate, regexp_matches(block, '_base_pred$') AS base_prediction FROM n""")
 def profile_parser(spark, d):
-    names = ["embed_chem_core", "chem_wide_base_pred", "xl_v4_chem_full"]
-    return spark.createDataFrame([(n, *(p := X.parse_profile(n)).values()) for n in names], "name string, profile string, embedding boolean, base_prediction boolean")
+    """Component names of every nation, as a table of recorded feature blocks and families."""
+    k, name = F.col("n_nationkey"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("_"))
+    block = F.concat(F.when(k % 2 == 0, "embed_chem_").otherwise("chem_"), name, F.when(k % 3 == 0, "_base_pred").otherwise(""))
+    family = F.concat(F.when(k % 4 == 0, "xl_v4_").otherwise(""), name, F.lit("_family"))
+    named = table(spark, d, "nation").select(block.alias("block"), family.alias("family"))
+    return named.select("block", *X.parse_profile(F.col("block"), F.col("family")))
 
 
-@query("SELECT 'b.' || CAST(i AS VARCHAR) AS name, CAST(i + 3 AS INTEGER) AS idx FROM range(2) r(i) UNION ALL SELECT 'a.' || CAST(i AS VARCHAR), CAST(i AS INTEGER) FROM range(3) r(i)")
+@query("""
+WITH b AS (SELECT r_regionkey AS pos, replace(lower(r_name), ' ', '_') AS prefix, (r_regionkey * 37) % 5 AS width FROM region), s AS (SELECT *, sum(width) OVER (ORDER BY pos) - width AS base FROM b)
+SELECT prefix || '.' || CAST(i AS VARCHAR) AS name, CAST(base + i AS INTEGER) AS idx FROM (SELECT prefix, base, unnest(range(CAST(width AS BIGINT))) AS i FROM s)
+""")
 def column_names(spark, d):
-    return spark.createDataFrame([(n, i) for i, n in enumerate(X.block_names({"a": 3, "b": 2}))], "name string, idx int")
+    blocks = table(spark, d, "region").select(F.col("r_regionkey").alias("pos"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("_")).alias("prefix"), (F.col("r_regionkey") * 37 % 5).alias("width"))
+    return X.column_names(blocks)
+
+
+_CUT = {"C": (1, 8), "K": (9, 16), "E": (25, 40)}  # start and width of the stand-ins of three encoders in a vector
+
+
+def _sql_blocks(letters: str) -> str:
+    return " || ".join(f"embedding[{_CUT[c][0]}:{_CUT[c][0] + _CUT[c][1] - 1}]" for c in letters)
+
+
+@query("SELECT vec_id, candidate, CAST(len(m) AS INTEGER) AS width, CAST(m[1] AS DOUBLE) AS first, CAST(m[len(m)] AS DOUBLE) AS last FROM (" + " UNION ALL ".join(f"SELECT vec_id, '{c}' AS candidate, {_sql_blocks(b)} AS m FROM embeddings" for c, b in X.CANDIDATES.items()) + ")")
+def embedding_candidates(spark, d):
+    """The blocks of each embedding candidate in their order."""
+    blocks = {c: F.slice("embedding", at, n) for c, (at, n) in _CUT.items()}
+    each = F.array(*[F.struct(F.lit(c).alias("candidate"), X.assembled(blocks, X.candidate_blocks(c)).alias("m")) for c in X.CANDIDATES])
+    out = table(spark, d, "embeddings").select("vec_id", F.inline(each))
+    return out.select("vec_id", "candidate", F.size("m").alias("width"), F.get("m", F.lit(0)).cast("double").alias("first"), F.element_at("m", -1).cast("double").alias("last"))
+
+
+@query("SELECT vec_id, mask, CAST(len(m) AS INTEGER) AS width, round(list_sum(list_transform(m, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM (" + " UNION ALL ".join("SELECT vec_id, '" + name + "' AS mask, " + " || ".join(_sql_blocks(c) if c in on else f"list_transform(range({_CUT[c][1]}), lambda i: 0.0::FLOAT)" for c in "CKE") + " AS m FROM embeddings" for name, on in X.MASKS.items()) + ")")
+def named_modality_masks(spark, d):
+    """The seven named masks over three blocks."""
+    blocks = [(F.slice("embedding", at, n), n) for at, n in _CUT.values()]
+    each = F.array(*[F.struct(F.lit(name).alias("mask"), X.masked_blocks(blocks, X.modality_mask(name)).alias("m")) for name in X.MASKS])
+    out = table(spark, d, "embeddings").select("vec_id", F.inline(each))
+    return out.select("vec_id", "mask", F.size("m").alias("width"), F.round(S.array_sum(F.col("m")), 6).alias("total"))
+
+
+_ORDER = ["kpgt", "chemberta"]
+
+
+@query("SELECT vec_id, CAST(len(m) AS INTEGER) AS width, CAST(m[1] AS DOUBLE) AS first, CAST(m[9] AS DOUBLE) AS middle, CAST(m[len(m)] AS DOUBLE) AS last FROM (SELECT vec_id, embedding[57:64] || embedding[9:24] || embedding[1:8] || [CAST(label AS FLOAT)] AS m FROM embeddings)")
+def assembled_features(spark, d):
+    """Embedding first, blocks in their order, base prediction last."""
+    blocks = {"chemberta": F.slice("embedding", 1, 8), "kpgt": F.slice("embedding", 9, 16)}
+    m = X.assembled(blocks, _ORDER, embedding=F.slice("embedding", 57, 8), base=F.col("label"))
+    out = table(spark, d, "embeddings").select("vec_id", m.alias("m"))
+    return out.select("vec_id", F.size("m").alias("width"), *[F.element_at("m", i).cast("double").alias(n) for i, n in ((1, "first"), (9, "middle"), (-1, "last"))])
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN 'd' WHEN regexp_matches(x, '^[A-Z]') THEN 'U' WHEN regexp_matches(x, '^[a-z]+$') THEN 'l' ELSE 'o' END) AS ws FROM documents),
+t AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS token FROM w WHERE len(ws) >= 3)
+SELECT doc_id, {_bucket('token', 1024)} AS bucket, count(*) AS n FROM t GROUP BY 1, 2""")
+def token_class_counts(spark, d):
+    """Hashed counts of runs of three word classes."""
+    ws = F.regexp_extract_all("text", F.lit(f"({X.WORD})"), 1)
+    classes = table(spark, d, "documents").select("doc_id", F.inline(F.array(F.struct(X.token_classes(ws).alias("ws")))))
+    return X.hashed_counts(classes, "doc_id", X.grams(F.col("ws"), 3), 1024)
+
+
+@query(f"""{_W}, t AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS token FROM w WHERE len(ws) >= 3)
+SELECT doc_id, {_bucket('token', 2048)} AS bucket, count(*) AS n FROM t GROUP BY 1, 2""")
+def hashed_trigram_counts(spark, d):
+    """The order above :func:`hashed_ngram_counts`."""
+    return X.hashed_counts(X.with_words(table(spark, d, "documents"), "doc_id"), "doc_id", X.grams(F.col("ws"), 3), 2048)
+
+
+@query("""
+SELECT key, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, coalesce(nullif(regexp_extract(text, '^([A-Z][a-z]+) ', 1), ''), 'invalid::' || CAST(doc_id AS VARCHAR)) AS key FROM documents) GROUP BY key
+""")
+def single_invalid_groups(spark, d):
+    """Groups by a leading capitalised word; documents without one are groups of their own."""
+    key = F.nullif(F.regexp_extract("text", "^([A-Z][a-z]+) ", 1), F.lit(""))
+    rows = table(spark, d, "documents").select("doc_id", X.group_key(key, F.col("doc_id").cast("string")).alias("key"))
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+_LABELS = "CASE event_id % 11 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN NULL ELSE value END"
+
+
+@query(f"""
+WITH y AS (SELECT event_id, event_type, {_LABELS} AS y FROM events), s AS (SELECT event_type, avg(y) AS m, stddev_pop(y) + 1e-8 AS s FROM y WHERE isfinite(y) GROUP BY 1)
+SELECT event_id, round((y - m) / s, 5) + 0.0 AS z, round((y - m) / s * s + m, 6) AS back FROM y JOIN s USING (event_type) WHERE isfinite(y)
+""")
+def label_transform(spark, d):
+    """Labels standardised by their finite values, deviation + 1e-8, and turned back."""
+    m = F.col("event_id") % 11
+    y = F.when(m == 0, F.lit(float("nan"))).when(m == 1, F.lit(float("inf"))).when(m == 2, F.lit(None).cast("double")).otherwise(F.col("value"))
+    df = table(spark, d, "events").select("event_id", "event_type", y.alias("y"))
+    out = X.standardized_labels(df, "y", ["event_type"]).where(S.is_finite(F.col("y")))
+    back = S.denormalize(F.col("z"), F.col("label_mean"), F.col("label_std"))
+    return out.select("event_id", (F.round("z", 5) + 0.0).alias("z"), F.round(back, 6).alias("back"))
 
 
 @query("SELECT 'absent.parquet' AS name, 'missing' AS fault UNION ALL SELECT 'region.parquet', 'size'")
 def manifest_check(spark, d):
-    files = file_hashes(spark, f"{d}/[nr]*.parquet")
+    files = file_hashes(spark, f"{d}/*.parquet")
     listed = files.select("name", F.when(F.col("name") == "region.parquet", F.col("size") + 1).otherwise(F.col("size")).alias("size"), "sha256")
     more = spark.createDataFrame([("absent.parquet", 1, "")], "name string, size long, sha256 string")
     return manifest_faults(listed.unionByName(more), files)

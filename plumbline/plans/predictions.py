@@ -126,7 +126,7 @@ def nan_inf_counters(spark, d):
 
 @query("SELECT event_id, (rank() OVER w + count(*) OVER w) / 2.0::DOUBLE AS r FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value)")
 def avg_rank(spark, d):
-    return table(spark, d, "events").select("event_id", R.average_rank("value", ["event_type"]).alias("r"))
+    return R.with_ranks(table(spark, d, "events").select("event_id", "event_type", "value"), {"value": "r"}, ["event_type"]).select("event_id", "r")
 
 
 @query("""
@@ -134,7 +134,8 @@ SELECT event_id, round((rank() OVER w + count(*) OVER w) / 2.0::DOUBLE / count(*
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value)
 """)
 def rank_norm(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(R.normalized_rank("value", ["event_type"]), 9).alias("r"))
+    ranked = R.with_ranks(table(spark, d, "events").select("event_id", "event_type", "value"), {"value": "r"}, ["event_type"], normalized=True)
+    return ranked.select("event_id", F.round("r", 9).alias("r"))
 
 
 _Z = """
@@ -252,12 +253,8 @@ SELECT row_id, round(0.75::DOUBLE * (%s / n) + 0.25::DOUBLE * (%s / n), 6) AS sc
 """ % tuple(_ar(c) for c in ("a", "b", "c", "base", "d", "prior", "e", "staged", "f")))
 def nested_rank_blend(spark, d):
     df = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("row_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abcdef")])
-    first = B.nested_rank_blend(df, [("base", {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3})], ("label",))
-    rest = df.join(first.select("row_id", F.round("score", 12).alias("base")), "row_id")  # rounding makes ties of sums equal in any order of addition
-    for name, weights in (("prior", {"base": 0.5, "d": 0.5}), ("staged", {"prior": 0.75, "e": 0.25})):
-        one = B.nested_rank_blend(rest, [(name, weights)], ("label",)).select("row_id", F.round("score", 12).alias(name))
-        rest = rest.join(one, "row_id")
-    return B.nested_rank_blend(rest, [("out", {"staged": 0.75, "f": 0.25})], ("label",)).select("row_id", F.round("score", 6).alias("score"))
+    stages = [("base", {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}), ("prior", {"base": 0.5, "d": 0.5}), ("staged", {"prior": 0.75, "e": 0.25}), ("out", {"staged": 0.75, "f": 0.25})]
+    return B.nested_rank_blend(df, stages, ("label",), digits=12).select("row_id", F.round("score", 6).alias("score"))
 
 
 @query("""
