@@ -66,10 +66,18 @@ def with_ranks(df: DataFrame, columns: dict[str, str], keys: list[str], normaliz
 
 
 def _spread(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
-    """Adds _mean and _sd, the population deviation in two passes."""
-    df = joined_back(df, df.groupBy(*keys).agg(F.avg(F.col(score).cast("double")).alias("_mean")), keys)
-    off = F.col(score) - F.col("_mean")
-    return joined_back(df, df.groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("_sd")), keys)
+    """Adds _mean and _sd, the population deviation, in two passes.
+
+    The second pass also gives what the first mean is off by, so the order of additions doesn't show in the result.
+    """
+    x = F.col(score).cast("double")
+    near = joined_back(df.select(*keys, x.alias(score)), df.groupBy(*keys).agg(F.avg(x).alias("_m")), keys)
+    off = F.col(score) - F.col("_m")
+    sums = near.groupBy(*keys).agg(F.first("_m").alias("_m"), F.avg(off).alias("_d"), F.avg(off * off).alias("_v"))
+    mean = F.col("_m") + F.col("_d")
+    step = mean - F.col("_m")  # as rounded; the deviation is about the rounded mean
+    sd = F.sqrt(F.greatest(F.col("_v") - 2 * step * F.col("_d") + step * step, F.lit(0.0)))
+    return joined_back(df, sums.select(*keys, mean.alias("_mean"), sd.alias("_sd")), keys)
 
 
 def zscore64(df: DataFrame, score: str, keys: list[str], to: str = "z") -> DataFrame:
