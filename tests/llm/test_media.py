@@ -89,6 +89,15 @@ def test_large_scores_are_exact():
     assert K._scores(q, v).tolist() == [[2**61 + 3]]
 
 
+def test_scores_beyond_the_range(spark):
+    """Products that leave 64 bits are held at the ends; components that overflow when scaled take no part."""
+    rows = [(1, [1e300, 1.0]), (2, [1e300, 0.0]), (3, [-1e300, 0.0]), (4, [1e12, 1e12]), (5, [1e307, 0.0])]
+    vecs = K.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in K.top_k(vecs, vecs, k=5).collect()}
+    assert got[1, 2] == K.MOST and got[2, 3] == -K.MOST and got[4, 3] == -K.MOST
+    assert all(5 not in pair for pair in got) and len(got) == 12
+
+
 def test_warc(spark):
     page = lambda i, h: (i, f"https://e.org/{i}", h, "x")
     rows = [page(i, f"<p>{'é' * (i % 3)}{i % 5}</p>" * 9) for i in range(40)] + [page(90, None), page(91, ""), (None, None, "only", "x"), (92, None, "<p>0</p>" * 9, "x"), page(93, "a" * 300_000)]
