@@ -122,3 +122,61 @@ def test_bags_are_registered_with_the_recorded_sizes(spark, sf_dir, monkeypatch)
         got = [r["score"] for r in f(spark, sf_dir).collect()]
         assert len(got) == n and all(0 <= v <= 1 for v in got)
     assert asked == [("gbt", [11, 22, 33, 44, 55], 500, 3), ("forest", [101], 900, 3), ("seeds", [1, 2, 3, 4, 5], 800)]
+
+
+def test_models_are_written_once_and_read_if_unchanged(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from plumbline.sources import artifacts as A
+
+    df = spark.createDataFrame([(float(i), float(i > 5)) for i in range(12)], "x double, label double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LogisticRegression()]).fit(df)
+    A.save_model(model, str(tmp_path / "m"), {"seed": 3})
+    back, settings = A.load_model(spark, str(tmp_path / "m"))
+    assert settings == {"seed": 3}
+    assert [r["prediction"] for r in back.transform(df).collect()] == [r["prediction"] for r in model.transform(df).collect()]
+    with pytest.raises(Exception, match="(?i)exist"):
+        A.save_model(model, str(tmp_path / "m"), {"seed": 4})
+    (tmp_path / "m" / "model" / "metadata" / "more").write_text("x")
+    with pytest.raises(ValueError, match="differ"):
+        A.load_model(spark, str(tmp_path / "m"))
+
+
+def test_feature_assembly_rules():
+    from plumbline.operators import features as X
+
+    width = lambda p: sum(n for _, n in X.profile_blocks(p))
+    assert [width(p) for p in ("core", "descriptors", "erg", "core_path", "wide_chem")] == [2563, 200, 315, 3587, 2563 + 167 + 5 * 1024]
+    assert width("xl_full_chemical_prior") == 2563 + 167 + 10 * 2048
+    assert X.candidate_blocks("chemberta_kpgt_ept_gated") == ["C", "K", "E"] and X.modality_mask("ept_kpgt") == (False, True, True)
+    for f, bad in ((X.profile_blocks, "none"), (X.candidate_blocks, "ept_chemberta"), (X.modality_mask, "none")):
+        with pytest.raises(ValueError, match="unknown"):
+            f(bad)
+    with pytest.raises(ValueError, match="missing blocks"):
+        X.assembled({}, ["C"])
+    with pytest.raises(ValueError, match="at least one"):
+        X.masked_blocks([(F.lit(None), 3)], (False,))
+
+
+def test_ranks_match_windows_for_nulls_and_ties(spark):
+    from plumbline.operators import ranks as K
+
+    data = [(k, None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i * 7 % 17)) for k in ("a", "b", None) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(3)
+    got = K.with_ranks(df, {"x": "r"}, ["k"]).select("k", "x", "r").collect()
+    want = df.select("k", "x", K.average_rank("x", ["k"]).alias("r")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(data)
+
+
+def test_high_percentile_is_exact(spark):
+    import numpy as np
+
+    from plumbline.operators.features import high_percentile
+
+    for n in (1, 7, 900, 20_000):
+        x = np.random.default_rng(n).lognormal(size=n).round(2)
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        assert high_percentile(df, "x", 0.999).collect()[0]["p"] == pytest.approx(np.quantile(x, 0.999), rel=1e-12)
+    assert high_percentile(df.where("false"), "x", 0.999).collect()[0]["p"] is None
