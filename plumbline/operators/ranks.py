@@ -44,8 +44,12 @@ def rank_table(df: DataFrame, score: str, keys: list[str], more: tuple[Column, .
     """
     counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), *more)
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(F.col(score).cast("double"), [k / ranges for k in range(1, ranges)], 10 * ranges).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda x: x < F.col(score)))
-    dealt = joined_back(counts, cuts, keys).withColumn("_range", F.when(F.col("_cuts").isNull() | F.col(score).isNull(), 0).otherwise(below)).drop("_cuts")
+    # cuts below a score: first among every 16th, then among the 16 that follow
+    some = F.transform(F.sequence(F.lit(16), F.lit(ranges - 1), F.lit(16)), lambda i: F.get("_cuts", i - 1))
+    cuts = cuts.withColumn("_some", some)
+    whole = 16 * F.size(F.filter("_some", lambda x: x < F.col(score)))
+    below = whole + F.size(F.filter(F.slice("_cuts", whole + 1, F.lit(16)), lambda x: x < F.col(score)))
+    dealt = joined_back(counts, cuts, keys).withColumn("_range", F.when(F.col("_cuts").isNull() | F.col(score).isNull(), 0).otherwise(below)).drop("_cuts", "_some")
     sums = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_s"))
     line = Window.partitionBy(*keys).orderBy("_range")
     starts = sums.select(*keys, "_range", (F.sum("_s").over(line) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy(*keys)).alias("_all"))
