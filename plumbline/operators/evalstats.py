@@ -40,22 +40,45 @@ def overlap_audit(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return marked.agg(total("_n").alias("rows"), F.count(key).alias("keys"), total(F.when(hit, F.col("_n"))).alias("rows_shared"), F.count(F.when(hit, F.col(key))).alias("keys_shared"))
 
 
-def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, value: str, resamples: int = 200, level: float = 0.95) -> DataFrame:
+#: Distribution function of Poisson(1) at 0, 1, ... 6 (fixed values).
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+
+
+def _resampled(sums: DataFrame, keys: list[str], resamples: int, level: float, means: dict[str, Column]) -> DataFrame:
+    """(keys, low, high): percentile interval of the statistic ``_m`` over resamples of clusters; sums of ``means`` by weight ``_t``."""
+    draws = sums.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u = uniform_of(F.concat_ws("|", F.col("_b").cast("string"), F.col("_c").cast("string")))
+    times = sum(((u >= s).cast("int") for s in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+    each = draws.withColumn("_t", times).groupBy(*keys, "_b").agg(*[F.sum(c * F.col("_t")).alias(k) for k, c in means.items()])
+    stat = each.withColumn("_m", F.try_divide("_sum", "_count"))
+    return stat.groupBy(*keys).agg(F.percentile("_m", F.lit((1 - level) / 2)).alias("low"), F.percentile("_m", F.lit((1 + level) / 2)).alias("high"))
+
+
+def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, value: str, resamples: int = 2000, level: float = 0.95) -> DataFrame:
     """(keys, mean, low, high): percentile interval of the mean under resampling of whole clusters.
 
     Each cluster is first summed up to one row, so copies for the resamples number clusters x resamples, never rows. A
     cluster's multiplicity in a resample is a Poisson(1) draw from a hash of (resample, cluster): the same everywhere.
     """
     sums = df.groupBy(*keys, F.col(cluster).alias("_c")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    draws = sums.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = uniform_of(F.concat_ws("|", F.col("_b").cast("string"), F.col("_c").cast("string")))
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    times = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
-    means = draws.withColumn("_t", times).groupBy(*keys, "_b").agg(F.try_divide(F.sum(F.col("_s") * F.col("_t")), F.sum(F.col("_n") * F.col("_t"))).alias("_m"))
-    ends = means.groupBy(*keys).agg(F.percentile("_m", F.lit((1 - level) / 2)).alias("low"), F.percentile("_m", F.lit((1 + level) / 2)).alias("high"))
+    ends = _resampled(sums, keys, resamples, level, {"_sum": F.col("_s"), "_count": F.col("_n")})
     return sums.groupBy(*keys).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("mean")).join(ends, keys)
 
 
+def paired_bootstrap(df: DataFrame, keys: list[str], cluster: str, reference: str, comparator: str, lower_is_better: bool = False, resamples: int = 2000, level: float = 0.95) -> DataFrame:
+    """(keys, delta, low, high, favours): difference of two arms' means on the same rows, and its interval over clusters.
+
+    Both arms get the same resampled clusters. ``delta`` is positive where the reference is better; ``favours`` names the
+    arm that the whole interval is on the side of, else "neither". Rows without either value take no part.
+    """
+    side = F.col(comparator) - F.col(reference) if lower_is_better else F.col(reference) - F.col(comparator)
+    paired = df.select(*keys, F.col(cluster).alias("_c"), side.alias("_d")).where(F.col("_d").isNotNull())
+    sums = paired.groupBy(*keys, "_c").agg(F.sum("_d").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    ends = _resampled(sums, keys, resamples, level, {"_sum": F.col("_s"), "_count": F.col("_n")})
+    out = sums.groupBy(*keys).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("delta")).join(ends, keys)
+    return out.withColumn("favours", F.when(F.col("low") > 0, "reference").when(F.col("high") < 0, "comparator").otherwise("neither"))
+
+
 def best_so_far(df: DataFrame, keys: list[str], order: str, score: str, lower_is_better: bool = False) -> DataFrame:
     """Adds best (so far, this row included), improved (strictly better than all before) and stale (rows since then)."""
     line = Window.partitionBy(*keys).orderBy(order)

@@ -135,7 +135,16 @@ def hashed_group_folds(spark, d):
     return K.hashed_folds(rows, "o_custkey", 5)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE g AS (SELECT o_custkey AS grp, count(*) AS n FROM orders GROUP BY 1),
+o AS (SELECT grp, n, shard, row_number() OVER (PARTITION BY shard ORDER BY n DESC, u, grp) AS pos
+      FROM (SELECT grp, n, {_U} AS u, CAST(floor({_U.replace("'0|'", "'shard|0|'")} * 8) AS BIGINT) AS shard FROM g)),
+d AS (SELECT DISTINCT shard, 0::BIGINT AS pos, NULL::BIGINT AS grp, 0::BIGINT AS n, -1::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads FROM o
+      UNION ALL
+      SELECT shard, pos, grp, n, slot - 1, list_transform(loads, lambda x, i: CASE WHEN i = slot THEN x + n ELSE x END)
+      FROM (SELECT o.shard, o.pos, o.grp, o.n, d.loads, list_position(d.loads, list_min(d.loads)) AS slot FROM d JOIN o ON o.shard = d.shard AND o.pos = d.pos + 1))
+SELECT grp, n, CAST(fold AS INTEGER) AS fold FROM d WHERE pos > 0
+""")
 def greedy_group_folds(spark, d):
     rows = table(spark, d, "orders").withColumnRenamed("o_orderkey", "row_id")
     return K.greedy_folds(rows, "o_custkey", 5, shards=8)
@@ -236,16 +245,33 @@ def overlap_audit(spark, d):
 
 @query("""
 WITH s AS (SELECT event_type, user_id AS c, sum(value) AS s, count(value) AS n FROM events GROUP BY 1, 2),
-u AS (SELECT *, CAST(('0x' || substr(md5(CAST(b AS VARCHAR) || '|' || CAST(c AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM s CROSS JOIN range(200) r(b)),
+u AS (SELECT *, CAST(('0x' || substr(md5(CAST(b AS VARCHAR) || '|' || CAST(c AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM s CROSS JOIN range(2000) r(b)),
 m AS (SELECT event_type, b, sum(s * t) / sum(n * t) AS m FROM (SELECT *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]::DOUBLE[], lambda x: u >= x)) AS t FROM u) GROUP BY 1, 2)
 SELECT event_type, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high
 FROM m JOIN (SELECT event_type, sum(s) / sum(n) AS mean FROM s GROUP BY 1) USING (event_type) GROUP BY event_type, mean
 """)
 def cluster_bootstrap_interval(spark, d):
-    out = E.cluster_bootstrap(table(spark, d, "events"), ["event_type"], "user_id", "value", 200)
+    out = E.cluster_bootstrap(table(spark, d, "events"), ["event_type"], "user_id", "value", 2000)
     return out.select("event_type", F.round("mean", 6).alias("mean"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
+@query(f"""
+WITH e AS (SELECT event_type, user_id AS c, abs(value - floor(value)) - abs(value - floor(value + 0.5)) AS d FROM events),
+s AS (SELECT event_type, c, sum(d) AS s, count(d) AS n FROM e WHERE d IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT *, CAST(('0x' || substr(md5(CAST(b AS VARCHAR) || '|' || CAST(c AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM s CROSS JOIN range(2000) r(b)),
+m AS (SELECT event_type, b, sum(s * t) / sum(n * t) AS m FROM (SELECT *, len(list_filter({E.POISSON}::DOUBLE[], lambda x: u >= x)) AS t FROM u) GROUP BY 1, 2)
+SELECT event_type, round(delta, 6) AS delta, round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high,
+CASE WHEN quantile_cont(m, 0.025) > 0 THEN 'reference' WHEN quantile_cont(m, 0.975) < 0 THEN 'comparator' ELSE 'neither' END AS favours
+FROM m JOIN (SELECT event_type, sum(s) / sum(n) AS delta FROM s GROUP BY 1) USING (event_type) GROUP BY event_type, delta
+""")
+def paired_bootstrap_interval(spark, d):
+    """Errors of two roundings of each event's value, by the same resampled users."""
+    v = F.col("value")
+    arms = table(spark, d, "events").select("event_type", "user_id", F.abs(v - F.floor(v + 0.5)).alias("nearest"), F.abs(v - F.floor(v)).alias("down"))
+    out = E.paired_bootstrap(arms, ["event_type"], "user_id", "nearest", "down", lower_is_better=True)
+    return out.select("event_type", F.round("delta", 6).alias("delta"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "favours")
+
+
 @query(f"""{_RUNS}, m AS (SELECT arm, task, avg(score) AS v FROM r GROUP BY 1, 2)
 SELECT task, round(a.v - b.v, 6) AS difference, CASE WHEN abs(a.v - b.v) <= 1e-9 THEN 'tie' WHEN a.v > b.v THEN 'better' ELSE 'worse' END AS verdict FROM m a JOIN m b USING (task) WHERE a.arm = 'click' AND b.arm = 'view'""")
 def paired_comparison(spark, d):

@@ -146,7 +146,14 @@ def minibatch_numbers(spark, d):
     return df.withColumn("batch", F.floor((F.col("pos") - 1) / 3).cast("int"))
 
 
-@query()
+@query("""
+WITH RECURSIVE m AS (SELECT conv_id AS run, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS epoch, CAST(length(text) AS DOUBLE) AS metric FROM conversations),
+r AS (SELECT run, epoch, metric AS best, 0 AS bad, 0.1::DOUBLE AS rate FROM m WHERE epoch = 1
+      UNION ALL
+      SELECT run, epoch, greatest(best, metric), CASE WHEN stale > 1 THEN 0 ELSE stale END, CASE WHEN stale > 1 THEN rate * 0.5::DOUBLE ELSE rate END
+      FROM (SELECT m.run, m.epoch, m.metric, r.best, r.rate, CASE WHEN m.metric > r.best THEN 0 ELSE r.bad + 1 END AS stale FROM r JOIN m ON m.run = r.run AND m.epoch = r.epoch + 1))
+SELECT run, epoch, rate FROM r
+""")
 def plateau_schedule(spark, d):
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     df = table(spark, d, "conversations").select(F.col("conv_id").alias("run"), pos.alias("epoch"), F.length("text").cast("double").alias("metric"))
