@@ -126,6 +126,26 @@ def loss_values(spark, d):
     return P.losses(df, ["y"], 8)
 
 
+@query("""
+WITH x AS (SELECT vec_id // 64 AS batch, vec_id AS i, label % 2 AS y, CAST(embedding[1] AS DOUBLE) * 3 AS s, CAST(embedding[2] AS DOUBLE) * 3 AS t FROM embeddings),
+c AS (SELECT *, CASE WHEN y = 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, -ln(1 / (1 + exp(CASE WHEN y = 1 THEN -s ELSE s END))) AS ce FROM x),
+b AS (SELECT batch, count(*) AS n, avg(power(1 - exp(-w * ce), 2) * w * ce) AS focal, sum(w * ce) / sum(w) AS ce, avg((s - t) * (s - t)) AS mse FROM c GROUP BY 1),
+h AS (SELECT batch, i, s, exp(s) / sum(exp(s)) OVER (PARTITION BY batch) AS w FROM x WHERE y = 0),
+p AS (SELECT batch, avg(l * w) AS hardest, avg(l) AS even FROM (SELECT a.batch, h.w, ln(1 + exp(0.5 - (a.s - h.s))) AS l FROM x a JOIN h USING (batch) WHERE a.y = 1) GROUP BY 1),
+r AS (SELECT a.batch, a.i, sum(1 / (1 + exp(-10 * (a.s - o.s)))) AS rs, sum(1 / (1 + exp(-10 * (a.t - o.t)))) AS rt,
+      sum(CASE WHEN a.i < o.i THEN greatest(0, 0.1 - sign(a.t - o.t) * (a.s - o.s)) ELSE 0 END) AS miss FROM x a JOIN x o USING (batch) GROUP BY 1, 2),
+k AS (SELECT batch, corr(rs, rt) AS corr, sum(miss) / (count(*) * (count(*) - 1) / 2 + 1e-8) AS ord FROM r GROUP BY 1)
+SELECT batch, CAST(n AS INTEGER) AS n, round(CASE WHEN hardest IS NULL THEN focal ELSE 0.65 * focal + 0.35 * hardest END, 7) AS ap_surrogate, round(CASE WHEN even IS NULL THEN ce ELSE 0.75 * ce + 0.25 * even END, 7) AS auroc_margin,
+       round(0.1 * mse - corr, 7) AS spearman, round(0.5 * mse + 0.5 * ord, 7) AS ranking_mse FROM b JOIN k USING (batch) LEFT JOIN p USING (batch)
+""")
+def ranking_losses(spark, d):
+    """Surrogate losses of all training batches of 64 ids."""
+    c = lambda i: F.get("embedding", F.lit(i)).cast("double") * 3
+    df = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), c(0).alias("s"), c(1).alias("t"))
+    out = P.ranking_losses(df, F.floor(F.col("vec_id") / 64), weights=(1.0, 2.0))
+    return out.select("batch", "n", *[F.round(m, 7).alias(m) for m in ("ap_surrogate", "auroc_margin", "spearman", "ranking_mse")])
+
+
 @query("""
 WITH w AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 4 ELSE 1 END AS w FROM labels), c AS (SELECT doc_id, w, sum(w) OVER (ORDER BY doc_id) - w AS lo, sum(w) OVER (ORDER BY doc_id) AS hi, sum(w) OVER () AS t FROM w),
 n AS (SELECT i, floor(CAST(('0x' || substr(md5('draw|' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * (SELECT sum(w) FROM w)) AS u FROM range((SELECT count(*) FROM w)) r(i))
