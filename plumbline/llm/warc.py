@@ -6,13 +6,15 @@ no task gets all its rows. Each task writes archives of at most about ``file_byt
 
 Reader: Spark's binaryFile source brings each archive; the dictionary is taken from the skippable frame, frame ends are
 found from the block headers, each frame is decoded alone, and WARC version, header names, record type, Content-Length,
-payload length and digest are checked. A bad archive raises ValueError; nothing is skipped.
+payload length and digests are checked. Archives of other writers are read too: all record types, WARC 1.0, frames
+without a size, more skippable frames. A bad archive raises ValueError; no record is skipped.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from .files import drop, put, shared_dir, written
 
 # fixed values of the formats
-SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
-VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437  # the leading frame, frames, trained dictionaries
+VERSION, VERSIONS, PROFILE = b"WARC/1.1", (b"WARC/1.0", b"WARC/1.1"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+NAME = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 CONTENT = "application/http; msgtype=response"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -56,47 +60,85 @@ def record(row: dict, payload: bytes) -> bytes:
     return head + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that starts with white space goes on with the one before."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and name:
+            fields[name] += " " + line.decode().strip()
+            continue
+        key, colon, value = line.decode().partition(":")
+        name = key.lower()
+        if not colon or not NAME.fullmatch(key) or (name in fields and name != "warc-concurrent-to"):
+            raise ValueError(f"bad header line {line[:60]!r}")
+        fields[name] = value.strip()
+    return fields
+
+
+def _checked(given: str | None, data: bytes, what: str) -> None:
+    """A labelled SHA-1 must be that of the data; other algorithms are not checked."""
+    if given and given.startswith("sha1:") and _b32(hashlib.sha1(data).hexdigest()) != given[5:].upper():
+        raise ValueError(f"{what} digest doesn't match")
+
+
 def parse_record(raw: bytes) -> dict:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (None in a revisit); ValueError if anything disagrees."""
+    """url, page_id, payload_bytes, payload_digest, record_type, refers_to, payload (None in a revisit); ValueError if anything disagrees.
+
+    Records of other writers need not have the page and payload fields of ours: page_id and refers_to are then null, and
+    the payload is what follows the HTTP head, or the whole block of a record without one. A payload in chunks is kept
+    as it is and its digest, of unknown form, is not checked.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not gap or lines[0] != VERSION:
-        raise ValueError("no WARC/1.1 header")
-    fields = {}
-    for line in lines[1:]:
-        k, colon, v = line.decode().partition(": ")
-        if not colon or k.lower() in fields:
-            raise ValueError(f"bad header line {line[:60]!r}")
-        fields[k.lower()] = v
-    missing = {"warc-type", "warc-record-id", "warc-date", "warc-page-id", "warc-payload-digest", "warc-payload-length", "content-length"} - fields.keys()
-    if missing:
+    version, *lines = head.split(b"\r\n")
+    if not gap or version not in VERSIONS:
+        raise ValueError("no WARC header")
+    fields = _fields(lines)
+    if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - fields.keys():
         raise ValueError(f"headers missing: {sorted(missing)}")
-    size = int(fields["content-length"])
+    if not fields["content-length"].isdecimal():
+        raise ValueError("Content-Length is no number")
+    size, kind = int(fields["content-length"]), fields["warc-type"].lower()
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError("Content-Length doesn't match the record")
-    kind, length, digest = fields["warc-type"], int(fields["warc-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-    if kind not in ("response", "revisit"):
+    if kind not in TYPES:
         raise ValueError(f"record type {kind}")
-    _, cut, payload = rest[:size].partition(b"\r\n\r\n")
-    if not cut:
-        raise ValueError("no HTTP head")
-    if kind == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-        raise ValueError("payload length or digest doesn't match")
-    if kind == "revisit" and (payload or fields.get("warc-profile") != PROFILE or "warc-refers-to-page-id" not in fields):
-        raise ValueError("bad revisit record")
+    block, http = rest[:size], b""
+    _checked(fields.get("warc-block-digest"), block, "block")
+    payload = block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, cut, payload = block.partition(b"\r\n\r\n")
+        if not cut and kind != "revisit":
+            raise ValueError("no HTTP head")
+    length, digest = fields.get("warc-payload-length"), fields.get("warc-payload-digest")
+    if kind == "revisit":
+        if payload or "warc-profile" not in fields or ("warc-page-id" in fields and "warc-refers-to-page-id" not in fields):
+            raise ValueError("bad revisit record")
+    else:
+        if length is not None and int(length) != len(payload):
+            raise ValueError("payload length doesn't match")
+        if b"\r\ntransfer-encoding:" not in http.lower():
+            _checked(digest, payload, "payload")
+        digest = digest or f"sha1:{_b32(hashlib.sha1(payload).hexdigest())}"
+        length = len(payload)
     number = lambda v: int(v) if v else None
     return {
-        "page_id": number(fields["warc-page-id"]), "payload_bytes": length, "payload_digest": digest, "record_type": kind,
-        "refers_to": number(fields.get("warc-refers-to-page-id")), "payload": payload if kind == "response" else None,
+        "page_id": number(fields.get("warc-page-id")), "payload_bytes": None if length is None else int(length), "payload_digest": digest.removeprefix("sha1:") if digest else None, "record_type": kind,
+        "refers_to": number(fields.get("warc-refers-to-page-id")), "payload": None if kind == "revisit" else payload, "url": fields.get("warc-target-uri"),
     }
 
 
 def frames(data: bytes, at: int) -> Iterator[tuple[int, int]]:
-    """(from, to) of each Zstandard frame from ``at`` on, found by its block headers."""
+    """(from, to) of each Zstandard frame from ``at`` on, found by its block headers; skippable frames are passed over."""
     import zstandard
 
     view = memoryview(data)
     while at < len(data):
+        if len(data) - at >= 8 and data[at + 1 : at + 4] == SKIPPABLE.to_bytes(4, "little")[1:] and data[at] >> 4 == 5:
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                raise ValueError("a skippable frame is cut off")
+            continue
         if len(data) - at < 6 or struct.unpack_from("<I", data, at)[0] != FRAME:
             raise ValueError("no Zstandard frame where one should begin")
         end = at + zstandard.frame_header_size(view[at : at + 18])
@@ -131,24 +173,46 @@ def read_archive(data: bytes) -> Iterator[dict]:
     unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
     view = memoryview(data)
     for a, b in frames(data, 8 + size):
-        yield parse_record(unzip.decompress(view[a:b]))
+        yield parse_record(_unzipped(unzip, view[a:b]))
+
+
+def _unzipped(unzip, frame: memoryview) -> bytes:
+    """One whole frame, also one that doesn't tell its size."""
+    import zstandard
+
+    if zstandard.frame_content_size(frame) >= 0:
+        return unzip.decompress(frame)
+    one = unzip.decompressobj()
+    out = one.decompress(frame)
+    if not one.eof:
+        raise ValueError("a frame is cut off")
+    return out
 
 
 def train_dictionary(pages: DataFrame, samples: int = 256, most: int = 64_000) -> bytes:
     """A compression dictionary from ``samples`` whole payloads at most, those of least hash below ``most`` bytes.
 
-    With too few to train on, the WARC and HTTP heads serve as a plain dictionary.
+    With too few to train on, records of numbered pages made by a rule take their place, so it is a trained one always.
     """
-    import zstandard
-
     small = pages.where(F.col("page_id").isNotNull() & F.length("html").between(1, most))
     ids = [r["page_id"] for r in small.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(samples).collect()]  # ids first: no payload but the chosen ones leaves its task
     few = sorted(small.where(F.col("page_id").isin(ids)).select("page_id", "html").collect()) if ids else []
-    rows = [record({"record_type": "response", "page_id": r["page_id"], "url": "https://example.org/", "sha1": hashlib.sha1(p).hexdigest()}, p) for r in few if (p := r["html"].encode()) is not None]
+    return train_dictionary_from([_sample(r["page_id"], r["html"].encode()) for r in few])
+
+
+def train_dictionary_from(rows: list[bytes]) -> bytes:
+    """A trained dictionary from sample records, or from made ones where these are too few."""
+    import zstandard
+
     try:
         return zstandard.train_dictionary(32_768, rows).as_bytes()
     except zstandard.ZstdError:
-        return record({"record_type": "response", "page_id": 0, "url": "https://example.org/", "sha1": "0" * 40}, b"<html><head><title></title></head><body></body></html>")
+        made = [_sample(k, b"".join(b"<p>%d %s</p>" % (k * j, hashlib.sha1(b"%d.%d" % (k, j)).hexdigest().encode()) for j in range(20))) for k in range(256)]
+        return zstandard.train_dictionary(16_384, made).as_bytes()
+
+
+def _sample(page_id: int, payload: bytes) -> bytes:
+    return record({"record_type": "response", "page_id": page_id, "url": "https://example.org/", "sha1": hashlib.sha1(payload).hexdigest()}, payload)
 
 
 def revisit_plan(pages: DataFrame, least: int = 0, salts: int = 64) -> DataFrame:
@@ -205,10 +269,10 @@ def write_archives(plan: DataFrame, folder: str, dictionary: bytes, level: int =
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives below ``folder``: page_id, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    """All records of the archives below ``folder``, of any WARC type: the fields of :func:`parse_record`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("url", pa.string())])
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows = []
@@ -220,7 +284,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, url string")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -234,5 +298,5 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     manifest = write_archives(plan, folder, train_dictionary(plan))
     drop(spark, at)
     if not manifest.take(1):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, url string")
     return read_archives(spark, folder)

@@ -135,3 +135,77 @@ def test_warc_faults():
     for cut in (data[:-2], data[:4], b"\0" * 8 + data[8:], data + b"\0"):
         with pytest.raises(Exception, match=".+"):
             list(W.read_archive(cut))
+
+
+def test_warc_of_another_writer():
+    """Record types and fields that our writer doesn't use, folded and repeated fields, a frame without its size, more skippable frames."""
+    import zstandard
+
+    def raw(kind, block, *more, version=b"WARC/1.0"):
+        fields = [f"WARC-Type:{kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2021-01-01T00:00:00Z", *more, f"CONTENT-length: {len(block)}"]
+        return b"\r\n".join([version, *map(str.encode, fields)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    http = "Content-Type: application/http; msgtype=response"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nab\r\n0\r\n\r\n"
+    rows = [
+        raw("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields", "WARC-Filename: a\r\n b"),
+        raw("request", b"GET / HTTP/1.1\r\n\r\n", http, "WARC-Target-URI: https://e.org/", "WARC-Concurrent-To: <urn:a>", "WARC-Concurrent-To: <urn:b>"),
+        raw("response", W.HTTP + b"body", http, "WARC-Target-URI: https://e.org/", f"WARC-Payload-Digest: {sha1(b'body')}", f"WARC-Block-Digest: {sha1(W.HTTP + b'body')}", version=b"WARC/1.1"),
+        raw("response", chunked, http, f"WARC-Payload-Digest: {sha1(b'ab')}"),
+        raw("revisit", b"", http, f"WARC-Profile: {W.PROFILE}", f"WARC-Payload-Digest: {sha1(b'body')}"),
+        raw("resource", b"", "Content-Type: text/plain"),
+    ]
+    dictionary = W.train_dictionary_from([])
+    assert struct.unpack_from("<I", dictionary)[0] == W.DICTIONARY
+    z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False)
+    packed = zstandard.ZstdCompressor().compress(dictionary)
+    skip = struct.pack("<II", 0x184D2A50, 3) + b"abc"
+    data = struct.pack("<II", W.SKIPPABLE, len(packed)) + packed + skip + b"".join(z.compress(r) for r in rows) + skip
+    got = list(W.read_archive(data))
+    assert [g["record_type"] for g in got] == ["warcinfo", "request", "response", "response", "revisit", "resource"]
+    assert [g["payload"] for g in got] == [b"software: x\r\n", b"", b"body", b"2\r\nab\r\n0\r\n\r\n", None, b""]
+    assert [g["url"] for g in got] == [None, "https://e.org/", "https://e.org/", None, None, None]
+    assert all(g["page_id"] is None and g["refers_to"] is None for g in got) and "sha1:" + got[4]["payload_digest"] == sha1(b"body")
+    for bad in (raw("reply", b""), raw("resource", b"x", f"WARC-Block-Digest: {sha1(b'y')}"), raw("resource", b"x", "A: 1", "A: 2"), raw("resource", b"x", "Bad name: 1"), raw("response", b"HTTP/1.1 200 OK", http)):
+        with pytest.raises(ValueError):
+            list(W.read_archive(data[: 8 + len(packed)] + z.compress(bad)))
+    with pytest.raises(ValueError, match="cut off"):
+        list(W.read_archive(data[:-1]))
+
+
+@pytest.mark.parametrize(("up", "down"), [(1, 2), (3, 2)])
+def test_features_are_those_of_a_plain_transform(monkeypatch, up, down):
+    """Zeros between samples, one long convolution, every DOWN-th output; a DFT by its sum; triangles on the mel scale."""
+    monkeypatch.setattr(A, "UP", up), monkeypatch.setattr(A, "DOWN", down), monkeypatch.setattr(A, "BLOCK", 7)
+    A._filters.cache_clear()
+    x = np.random.default_rng(up).integers(0, 256, 5760).astype(np.uint8)
+    n = np.arange(up * A.TAPS) - (up * A.TAPS - 1) / 2
+    taps = np.sinc(n / max(up, down)) * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(len(n)) / (len(n) - 1)))
+    taps *= up / taps.sum()
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = (x - 128.0) / 128
+    total = -(-len(x) * up // down)
+    frames = 1 + -(-(total - A.WIN) // A.HOP)
+    y = np.concatenate([np.convolve(stuffed, taps), np.zeros(down * (A.WIN + A.HOP))])[up * A.TAPS // 2 :: down]
+    rate = A.RATE * up / down
+    k, t = np.arange(A.FFT // 2 + 1), np.arange(A.WIN)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * t / (A.WIN - 1))
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = np.linspace(mel(60), mel(rate / 2), A.MELS + 2)
+    hz_of = lambda m: 700 * (10 ** (m / 2595) - 1)
+    want, level = [], []
+    for f in range(frames):
+        frame = y[f * A.HOP : f * A.HOP + A.WIN] * window
+        power = np.abs((frame * np.exp(-2j * np.pi * np.outer(k, t) / A.FFT)).sum(axis=1)) ** 2
+        bands = []
+        for j in range(A.MELS):
+            lo, mid, hi = hz_of(edges[j : j + 3])
+            hz = k * rate / A.FFT
+            bands.append((np.where(hz <= mid, (hz - lo) / (mid - lo), (hi - hz) / (hi - mid)).clip(0) * power).sum())
+        want.append(np.log(np.array(bands) + 1e-6))
+        level.append(10 * np.log10((frame**2).mean() + 1e-10))
+    mels, levels = A.log_mel(x)
+    monkeypatch.undo()
+    A._filters.cache_clear()
+    assert mels.shape == (frames, A.MELS) and np.abs(mels - want).max() < 2e-3 and np.abs(levels - level).max() < 1e-3
