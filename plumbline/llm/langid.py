@@ -1,10 +1,13 @@
 """Operator 7: language identification by the nearest of several centroids per language.
 
-Texts become vectors of hashed byte n-grams (1 to 3 bytes, Latin-1 capitals lowered, all other ASCII one symbol) with weights (1 + ln tf) * idf, of length one.
+Texts become vectors of hashed byte n-grams (1 to 3 bytes, Latin-1 capitals lowered, all other ASCII one symbol) with weights ln(1 + tf) * idf, of length one.
 Document frequencies count all learning documents. Centroids come from spherical k-means within each language, on a
 bounded sample of about ``per_lang`` documents each, those of least hash, whole texts. A text goes to the language of
 the centroid of highest cosine; its score is that cosine. Where the cosine is below what nearly all of the centroid's
-own sample reach, the prediction is marked as not accepted.
+own sample reach, the prediction is marked as not accepted. Equal cosines go to the language first by code point.
+
+Repeated rows are learnt from as often as they occur and equal texts get equal results; texts of any length are read
+whole, in slices.
 """
 
 from __future__ import annotations

@@ -226,3 +226,95 @@ def test_language(spark, sf_dir, docs, empty):
     nothing = L.fit_languages(full.where("false"))
     assert {r["p"]["lang"] for r in docs.select(L.predict_language(nothing, F.col("text")).alias("p")).collect()} == {"und"}
     assert empty.select(L.predict_language(model, F.col("text"))).count() == 0
+
+
+def plain_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate(LOWER))
+
+
+def test_severity_is_the_plain_cumulative_link(spark, docs, rows):
+    """Scores against sums over the distinct words of each text, one document and one grade at a time."""
+    import pyarrow as pa
+
+    from plumbline.llm.words import LETTERS, Words
+
+    vocabulary = ["alpha0", "beta", "délta", "one", "x", "theta", "rho17", "two", "eps"] + [f"gamma{i}" for i in range(40)]
+    hashes = {w: int(Words(pa.array([w]), lower=True, gap=LETTERS).hashes[0]) for w in vocabulary}
+    weight = {w: (i * 7 % 11 - 5) / 4 for i, w in enumerate(vocabulary)}
+    ordered = sorted(vocabulary, key=hashes.get)
+    model = T.OrdinalModel(np.array([hashes[w] for w in ordered], np.uint64), np.array([weight[w] for w in ordered]), np.array([0.3, 1.1]))
+    want = []
+    for r in rows:
+        z = sum(weight[w] for w in set(plain_words(r[1])) & weight.keys())
+        upto = [0.0, *(1 / (1 + np.exp(-(c - z))) for c in model.cuts), 1.0]
+        p = [upto[k + 1] - upto[k] for k in range(3)]
+        want.append((r[0], round(p[1] + 2 * p[2], 9), int(np.argmax(p)), round(p[1] + p[2], 9)))
+    got = [(r["doc_id"], round(r["s"]["expected_severity"], 9), r["s"]["severity_grade"], round(r["s"]["p_toxic"], 9)) for r in docs.select("doc_id", T.severity(model, F.col("text")).alias("s")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({g[1] for g in got}) > 5
+
+
+def test_ordinal_fit_is_at_the_top_of_the_plain_likelihood():
+    """No small step in any weight or cut makes the likelihood, summed row by row, higher."""
+    rng = np.random.default_rng(1)
+    x = (rng.random((250, 4)) < 0.5).astype(float)
+    y = np.digitize(x @ np.array([1.5, -1.0, 0.5, 0.0]) + rng.logistic(size=250), [0.0, 1.5])
+    weight = rng.uniform(0.5, 2, 250)
+    w, cuts = T.fit_ordinal(x, y, weight, 3, steps=3000)
+
+    def likelihood(w, cuts):
+        edges = [-np.inf, *cuts, np.inf]
+        cdf = lambda v: 1 / (1 + np.exp(-v))
+        each = [weight[i] * np.log(cdf(edges[y[i] + 1] - x[i] @ w) - cdf(edges[y[i]] - x[i] @ w)) for i in range(len(y))]
+        return sum(each) - 0.05 * float(w @ w)
+
+    top = likelihood(w, cuts)
+    for k in range(6):
+        for step in (-0.03, 0.03):
+            moved = np.concatenate([w, cuts])
+            moved[k] += step
+            assert likelihood(moved[:4], moved[4:]) < top
+
+
+def plain_grams(text):
+    """Counts of hashed 1- to 3-grams of a text's bytes: Latin-1 capitals lowered, all other ASCII but letters one symbol."""
+    raw, out = list((text or "").encode()), defaultdict(int)
+    lead = [i > 0 and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E for i, b in enumerate(raw)]
+    b = [v + 32 if up or 65 <= v <= 90 else 32 if v < 128 and not chr(v).isalpha() else v for v, up in zip(raw, lead, strict=True)]
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            code = 0
+            for v in b[i : i + n]:
+                code = (code * 0x01000193 + v + 1) % 2**32
+            out[(code * 0x9E3779B1 % 2**32) >> 20] += 1
+    return out
+
+
+def test_language_is_the_plain_nearest_centroid(spark, rows):
+    """Document frequencies, weights and cosines one n-gram at a time; copies, ties, nulls and long texts as any other."""
+    learn = [(i, r[1], "ab"[i % 2]) for i, r in enumerate(rows) if r[1] and len(r[1]) < 1500]
+    learn += [(900, learn[0][1], "a"), (901, learn[0][1], "b"), (None, "not learnt from", "a"), (902, "no language", None), (903, "12 34", "a")]
+    model = L.fit_languages(spark.createDataFrame(learn, "doc_id long, text string, lang string").repartition(3), per_lang=1000)
+    used = [plain_grams(t) for i, t, lang in learn if i is not None and lang and any(map(str.isalpha, t))]
+    df = defaultdict(int)
+    for g in used:
+        for k in g:
+            df[k] += 1
+    assert np.allclose(model.idf, [np.log((1 + len(used)) / (1 + df[k])) + 1 for k in range(L.DIM)], rtol=1e-5)
+    assert set(model.langs) == {"a", "b"} and len(model.langs) > 2 and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+    texts = [r[1] for r in rows]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(4).select("i", L.predict_language(model, F.col("text")).alias("p")).collect()
+    for r in got:
+        text, p = texts[r["i"]], r["p"]
+        if not text or not any(map(str.isalpha, text)):
+            assert tuple(p) == ("und", 0.0, False)
+            continue
+        v = np.zeros(L.DIM)
+        for k, n in plain_grams(text).items():
+            v[k] = np.log1p(n) * model.idf[k]
+        cos = model.centroids.astype(float) @ v / np.linalg.norm(v)
+        near = {model.langs[j] for j in np.flatnonzero(cos > cos.max() - 1e-5)}
+        assert p["lang"] in near and p["score"] == pytest.approx(min(1.0, cos.max()), abs=1e-5)
+    same = defaultdict(set)
+    for r in got:
+        same[texts[r["i"]]].add(tuple(r["p"]))
+    assert all(len(v) == 1 for v in same.values())
