@@ -68,6 +68,13 @@ def task_context(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df.groupBy(*keys).agg(share.alias("positive"), (2 * F.abs(F.lit(0.5) - share)).alias("imbalance"))
 
 
+def context_vector(metric: Column, imbalance: Column) -> dict[str, Column]:
+    """The three numbers of a task's context by its primary metric; the imbalance is that of classification only."""
+    classes = F.upper(metric).isin("AUROC", "AUPRC")
+    number = lambda c: F.when(c, 1.0).otherwise(0.0)
+    return {"classification": number(classes), "precision_metric": number(F.upper(metric) == "AUPRC"), "imbalance": F.when(classes, imbalance).otherwise(0.0)}
+
+
 def positive_weight(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """max(1, negatives / max(positives, 1))."""
     pos, neg = F.sum((F.col(label) == 1).cast("double")), F.sum((F.col(label) == 0).cast("double"))

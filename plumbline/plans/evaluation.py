@@ -72,6 +72,19 @@ def task_context(spark, d):
     return M.task_context(df, ["lang"], "toxic").select("lang", F.round("positive", 9).alias("positive"), F.round("imbalance", 9).alias("imbalance"))
 
 
+@query(f"""
+SELECT lang, metric, CASE WHEN metric IN ('AUROC', 'AUPRC') THEN 1.0::DOUBLE ELSE 0 END AS classification, CASE WHEN metric = 'AUPRC' THEN 1.0::DOUBLE ELSE 0 END AS precision_metric,
+       CASE WHEN metric IN ('AUROC', 'AUPRC') THEN round(2 * abs(0.5 - p), 9) ELSE 0 END AS imbalance
+FROM (SELECT lang, avg(CASE WHEN toxic = 1 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM ({_D}) GROUP BY 1), (SELECT unnest(['AUROC', 'AUPRC', 'MAE']) AS metric)
+""")
+def task_context_vector(spark, d):
+    """The context of each task under each metric: is it classification, is it average precision, and the imbalance."""
+    df = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    each = M.task_context(df, ["lang"], "toxic").withColumn("metric", F.explode(F.array(*map(F.lit, ["AUROC", "AUPRC", "MAE"]))))
+    flags = M.context_vector(F.col("metric"), F.col("imbalance"))
+    return each.select("lang", "metric", *[F.round(v, 9).alias(k) for k, v in flags.items()])
+
+
 @query(f"SELECT lang, round(greatest(1.0::DOUBLE, count(*) FILTER (WHERE toxic = 0) / greatest(count(*) FILTER (WHERE toxic = 1), 1)::DOUBLE), 9) AS scale_pos_weight FROM ({_D}) GROUP BY 1")
 def scale_pos_weight(spark, d):
     df = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")

@@ -5,6 +5,9 @@ Writers never overwrite. Hashes are SHA-256 over file contents or over rows in k
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +73,25 @@ def write_features(df: DataFrame, path: str, names: list[str]) -> None:
     write_new(df, f"{path}/matrix")
     digest = df.select(F.xxhash64("row_id", F.to_json(F.struct("values"))).cast("decimal(38,0)").alias("h")).agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("rows"))
     write_new(digest.select(F.sha2(F.concat_ws("|", "h", "rows").cast("binary"), 256).alias("content"), "rows", F.lit(len(names)).alias("width"), F.array(*map(F.lit, names)).alias("names")), f"{path}/schema", "json")
+
+
+def split_blocks(spark: SparkSession, folder: str, name: str, splits: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
+    """One block's tables <split>_<name>.parquet of all splits with a ``split`` column; ValueError names those that are missing."""
+    found, missing = {}, []
+    for s in splits:
+        try:
+            found[s] = spark.read.parquet(f"{folder}/{s}_{name}.parquet")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            missing.append(f"{s}_{name}.parquet")
+    if missing:
+        raise ValueError(f"missing under {folder}: {missing}")
+    return split_union(found)
+
+
+def write_history(history: DataFrame, meta: dict, path: str) -> None:
+    """A run's epochs as JSON lines in their order, and its settings and metrics as one JSON record; nothing is overwritten."""
+    write_new(history.orderBy("epoch").coalesce(1), f"{path}/history", "json")  # a row for each epoch
+    row = history.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string")
+    write_new(row.coalesce(1), f"{path}/meta", "text")

@@ -180,3 +180,52 @@ def test_high_percentile_is_exact(spark):
         df = spark.createDataFrame([(float(v),) for v in x], "x double")
         assert high_percentile(df, "x", 0.999).collect()[0]["p"] == pytest.approx(np.quantile(x, 0.999), rel=1e-12)
     assert high_percentile(df.where("false"), "x", 0.999).collect()[0]["p"] is None
+
+
+def test_kernel_heads_separate_what_no_line_separates(spark):
+    import numpy as np
+
+    from plumbline.operators import models as M
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 4))
+    y = (np.linalg.norm(x[:, :2], axis=1) > 1.2).astype(float)
+    data = [(i, float(y[i]), [None if (i + j) % 23 == 0 else float("nan") if (i + j) % 29 == 0 else float(v) for j, v in enumerate(x[i])] + [None]) for i in range(400)]
+    df = spark.createDataFrame(data, "row_id long, y double, values array<double>")
+    medians = M.column_medians(df, "values")
+    own = [v[2][1] for v in data if v[2][1] is not None and v[2][1] == v[2][1]]
+    assert medians[4] == 0 and abs(medians[1] - np.median(own)) < 0.02
+    got = {r["row_id"]: r["score"] for r in M.kernel_heads(df, df, [M.Kernel(0, 2, 10.0, 2.0), M.Kernel(0, 5, 10.0, 1.0), M.Kernel(0, 4, 10.0, 1.0, pca=4)]).collect()}
+    s = np.array([got[i] for i in range(400)])
+    assert len(got) == 400 and s.min() > 0 and s.max() <= 1
+    assert (s[y == 1][:, None] > s[y == 0]).mean() > 0.85
+
+
+def test_members_of_a_bag_choose_their_columns(spark):
+    import numpy as np
+
+    from plumbline.operators import models as M
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 6))
+    rows = M.with_vectors(spark.createDataFrame([(i, float(x[i, 3] > 0), i % 9, x[i].tolist()) for i in range(200)], "row_id long, y double, grp int, values array<double>"))
+    folds = spark.createDataFrame([(g, g % 3) for g in range(9)], "grp int, fold int")
+    got = {r["row_id"]: r["score"] for r in M.fold_bag(rows, rows, folds, "gbt", True, [1], 3, extended=True, top=1).collect()}
+    assert all((got[i] > 0.5) == (x[i, 3] > 0) for i in range(200) if abs(x[i, 3]) > 0.2)
+
+
+def test_split_blocks_and_history(spark, tmp_path):
+    from plumbline.sources import tables as S
+
+    for s in ("train", "valid"):
+        spark.createDataFrame([(1, s)], "row_id long, tag string").write.parquet(str(tmp_path / f"{s}_e.parquet"))
+    with pytest.raises(ValueError, match="test_e.parquet"):
+        S.split_blocks(spark, str(tmp_path), "e")
+    spark.createDataFrame([(1, "test")], "row_id long, tag string").write.parquet(str(tmp_path / "test_e.parquet"))
+    assert sorted((r["split"], r["tag"]) for r in S.split_blocks(spark, str(tmp_path), "e").collect()) == [(s, s) for s in ("test", "train", "valid")]
+    history = spark.createDataFrame([(2, 0.3), (1, 0.5)], "epoch int, loss double")
+    S.write_history(history, {"task": "a", "best_epoch": 2}, str(tmp_path / "run"))
+    assert [r["epoch"] for r in spark.read.json(str(tmp_path / "run" / "history")).collect()] == [1, 2]
+    assert spark.read.json(str(tmp_path / "run" / "meta")).collect()[0]["best_epoch"] == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        S.write_history(history, {}, str(tmp_path / "run"))
