@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk
+from . import clustering, filters, mixing, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, held_out, quality_score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_packing": op2_packing,
@@ -101,6 +118,9 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_quality": op11_quality,
+    "op12_clustering": op12_clustering,
+    "op13_filters": op13_filters,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -151,4 +171,4 @@ FROM x
 """
 
 #: Queries without SQL need a tokenizer, a fitted model or media files; tests compare them with plain versions.
-ORACLE_SQL: dict[str, str] = {"op5_jaccard": JACCARD_SQL, "op6_repeats": REPEATS_SQL, "op8_topk": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard": JACCARD_SQL, "op6_repeats": REPEATS_SQL, "op8_topk": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_warc": WARC_SQL, "op12_clustering": clustering.oracle(), "op13_filters": filters.ORACLE}
