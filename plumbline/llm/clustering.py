@@ -58,7 +58,7 @@ def first_centroids(vectors: DataFrame, k: int = 40, seed: int = 2) -> np.ndarra
     """The vectors with the k smallest SHA-256 of ``seed:vec_id``; null ids come last, equal ids by their vectors. Fewer vectors give fewer centroids."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.select("vec", order.alias("h")).orderBy(F.col("h").asc_nulls_last(), "vec").limit(k).collect()
-    return np.array([np.frombuffer(bytes(r["vec"]), "<i4") for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([np.frombuffer(bytes(r["vec"]), "<i4") for r in rows], np.int64) if rows else np.zeros((0, DIM), np.int64)
 
 
 def squared_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
