@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import drop, put, shared_dir, written
-from .tokens import encode_texts
+from .tokens import encode_texts, encoder
 
 MAGIC = b"HUFIDS01"
 HEAD = struct.Struct("<8sBIIQQI")  # magic, max_len, block, documents, ids, bits, bytes of the packed code lengths
@@ -222,9 +222,13 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     return rows.join(base, "name").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
-def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 2, vocab: int = 1 << 16) -> DataFrame:
-    """Tokenise, write the coded files, read them back: doc_id, start, n_tokens, ids. See the functions above for edge cases."""
-    spark = docs.sparkSession
+def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+    """Tokenise, write the coded files, read them back: doc_id, start, n_tokens, ids. See the functions above for edge cases.
+
+    The tokenizer tells how wide its ids are. The files stay in the shared folder: the result reads them.
+    """
+    spark, own = docs.sparkSession, encoder(tokenizer_path)
+    vocab = 1 << 16 if own.width == 2 else max((1 << 16) + 1, end_id + 1, *own.tok.get_vocab(with_added_tokens=True).values(), 0) + 1
     ids, at = written(encode_texts(docs, tokenizer_path, end_id), "token-ids")
     folder = shared_dir(spark, "huffman")
     manifest = write_token_files(ids, vocab, folder)

@@ -2,7 +2,8 @@
 
 A byte-level BPE never merges across its pre-tokens, and one space followed by a non-space always starts a pre-token.
 So a text is cut at such spaces, each distinct piece is encoded once per Python worker, and the ids of a text are the
-joined ids of its pieces: the same ids as encoding the whole text (tests compare them). Literals of the vocabulary's
+joined ids of its pieces: the same ids as encoding the whole text (tests compare them). Pieces of ASCII are split here,
+all others by the library's own pre-tokenizer, since its tables of letters and numbers are those that count. Literals of the vocabulary's
 added tokens (such as an end-of-text mark) get their own id, as the library does by itself; the text between them is
 encoded apart. The caches are bounded; a full one is emptied, which costs time, not correctness.
 """
@@ -26,16 +27,10 @@ class Pieces(dict):
 
     def __init__(self, encoder: TextEncoder):
         super().__init__()
-        self.of, self.words, self.ids = encoder._words, encoder.words, encoder._ids
+        self.of = encoder._joined
 
     def __missing__(self, piece: str) -> bytes:
-        own = b""
-        for w in self.of(" " + piece):
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.words[w] = self.ids(w)
-            own += ids
-        self[piece] = own
+        own = self[piece] = self.of(" " + piece)
         return own
 
 
@@ -53,7 +48,7 @@ class TextEncoder:
         self.code = "H" if self.width == 2 else "I"
         self.dtype = np.dtype(f"<u{self.width}")
         self.split = regex.compile(PATTERN).findall
-        self.merge = self.tok.model.tokenize
+        self.merge, self.library = self.tok.model.tokenize, self.tok.pre_tokenizer.pre_tokenize_str
         # the byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the other bytes follow from 256 on
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in kept)}
@@ -76,20 +71,25 @@ class TextEncoder:
             raise ValueError("this encoder takes byte-level BPE tokenizers without normalizer, prefix space or stripping added tokens")
 
     def _ids(self, word: str) -> bytes:
-        """Ids of one pre-token, by the tokenizer's own merges over its byte alphabet."""
-        if word.isascii() and word[1:].isalpha():
-            own = "\u0120" + word[1:] if word[0] == " " else word if word[0].isalpha() else word.translate(self.alphabet)
-        else:
-            own = word.encode().decode("latin-1").translate(self.alphabet)
-        return array(self.code, [t.id for t in self.merge(own)]).tobytes()
+        """Ids of one pre-token, written in the tokenizer's byte alphabet, by its own merges; kept for the next time."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = array(self.code, [t.id for t in self.merge(word)]).tobytes()
+        return ids
+
+    def _joined(self, piece: str) -> bytes:
+        return b"".join(map(self._ids, self._words(piece)))
 
     def _words(self, piece: str) -> list[str]:
-        """The pre-tokens of a piece; a space and letters, perhaps with one mark at the end, need no pattern."""
+        """The pre-tokens of a piece in the byte alphabet; letters, perhaps with one mark at the end, need no pattern."""
+        if not piece.isascii():
+            return [w for w, _ in self.library(piece)]
+        spelled = piece.translate(self.alphabet)
         if piece[1:].isalpha():
-            return [piece]
-        if piece[-1] in ".,;:!?" and piece[1:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.split(piece)
+            return [spelled]
+        if piece[-1:] in (".", ",", ";", ":", "!", "?") and piece[1:-1].isalpha():
+            return [spelled[:-1], spelled[-1]]
+        return [w.translate(self.alphabet) for w in self.split(piece)]
 
     def _parts(self, text: str) -> list[str]:
         """The pieces of a text, without the space that starts each but the first."""
@@ -114,7 +114,8 @@ class TextEncoder:
         return self._first(parts[0]) + b"".join(map(self.pieces.__getitem__, parts[1:]))
 
     def _first(self, piece: str) -> bytes:
-        return b"".join(self.words.get(w) or self._ids(w) for w in self.split(piece))
+        own = self.split(piece) if piece.isascii() else None
+        return b"".join(map(self._ids, self._words(piece) if own is None else [w.translate(self.alphabet) for w in own]))
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
