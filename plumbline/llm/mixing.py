@@ -2,8 +2,8 @@
 
 Every source gets a target of words by its weight, at most ``max_epochs`` times its size; what a full source cannot take
 is shared among the others by weight until none is above. A target of e whole epochs and a rest takes every document e
-times; the rest goes to the documents with the smallest exponential keys -ln(u) / quality of the source, u a hash of the
-doc_id, as long as the running sum of sizes, up to the middle of the document, stays within it.
+times; the rest goes to the documents with the smallest exponential keys -ln(u) / quality of the source, u a hash of doc_id and
+text, as long as the running sum of sizes, up to the middle of the document, stays within it.
 
 The running sum needs no task that sees a whole source: keys fall into ``buckets`` ranges, (source, bucket) sums give
 what lies before each bucket, and only within a bucket are rows sorted. DataFrame functions only.
@@ -21,9 +21,13 @@ SEED = "mix-1"
 EPOCHS = 3
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1] from the first 52 bits of an MD5 of seed and id; a null id counts as the word null."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1] from the first 52 bits of an MD5 of seed, id and the text's MD5; a null id counts as the word null.
+
+    Rows that share an id, or have none, draw apart unless their texts are equal.
+    """
+    own = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("|"), own).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
 
 
@@ -73,12 +77,12 @@ def mix_sources(docs: DataFrame, weights: DataFrame, buckets: int = 4096, seed:
     """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken and rid, a hash of doc_id, source and text.
 
     ``weights`` (doc_id, quality_weight), at most one row per doc_id, positive; missing ones count as 1. A null or empty
-    text has size 0 and takes 0. Null sources form a source of their own; null doc_ids draw alike. Rows with the same
-    doc_id and size tie: either may be taken first. Other columns are not read. An empty table gives an empty table.
+    text has size 0 and takes 0. Null sources form a source of their own. Rows draw by doc_id and text; ties go by doc_id,
+    size and ``rid``, so that only equal rows tie. Other columns are not read. An empty table gives an empty table.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("rid"))
-    drawn = sized.join(weights, "doc_id", "left").withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("quality_weight", F.lit(1.0)))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("rid"), uniform(F.col("doc_id").cast("long"), F.col("text"), seed).alias("u"))
+    drawn = sized.join(weights, "doc_id", "left").withColumn("key", -F.log("u") / F.coalesce("quality_weight", F.lit(1.0)))
     bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
     rows, _ = written(drawn.select("doc_id", "source", "size", "rid", "key", bucket.alias("bucket")), "mix-keys")
 
@@ -88,7 +92,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, buckets: int = 4096, seed:
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")))
     known = starts.alias("a").join(targets.alias("t"), F.expr("a.source <=> t.source")).select("a.source", "a.bucket", "a.before", "t.source_size", "t.target", "t.epochs")
 
-    own = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0)))
     both = ranked.alias("r").join(known.alias("k"), F.expr("r.source <=> k.source AND r.bucket = k.bucket"))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -99,11 +103,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame, buckets: int = 4096, seed:
 
 ORACLE = rf"""
 WITH sized AS (
-  SELECT d.doc_id, d.source, CAST(coalesce(len(regexp_extract_all(d.text, '{WORD}')), 0) AS BIGINT) AS size,
+  SELECT d.doc_id, d.source, md5(coalesce(d.text, '')) AS tm, CAST(coalesce(len(regexp_extract_all(d.text, '{WORD}')), 0) AS BIGINT) AS size,
          CASE WHEN l.q IS NULL THEN 1.0 WHEN l.q > 0 THEN 2.0 ELSE 0.5 END AS qw
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l ON d.doc_id = l.doc_id
 ), drawn AS (
-  SELECT *, -ln((CAST(('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE) / qw AS k FROM sized
+  SELECT *, -ln((CAST(('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || tm), 1, 13)) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE) / qw AS k FROM sized
 ), s0 AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM drawn GROUP BY source
 ), s1 AS (
