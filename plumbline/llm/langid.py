@@ -6,7 +6,7 @@ bounded sample of about ``per_lang`` documents each, those of least hash, whole
 the centroid of highest cosine; its score is that cosine. Where the cosine is below what nearly all of the centroid's
 own sample reach, the prediction is marked as not accepted. Equal cosines go to the language first by code point.
 
-Repeated rows are learnt from as often as they occur and equal texts get equal results; texts of any length are read
+Equal texts get equal results; texts of any length are read
 whole, in slices.
 """
 
@@ -83,8 +83,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, per_lang: int = 400, centroids: int = 6, reject: float = 0.005) -> LanguageModel:
-    """Learn from (doc_id, text, lang); rows with a null id, text or lang and texts without a letter are left out."""
+def fit_languages(docs: DataFrame, per_lang: int = 400, centroids: int = 6, reject: float = 0.005, languages: int = 200) -> LanguageModel:
+    """Learn from (doc_id, text, lang); rows with a null id, text or lang and texts without a letter are left out.
+
+    The sample takes rows by a hash of id and text, about ``per_lang`` of each of the ``languages`` most frequent languages and
+    twice as many in all at most; equal texts of a language are one example. Frequencies count all rows.
+    """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +104,8 @@ def fit_languages(docs: DataFrame, per_lang: int = 400, centroids: int = 6, reje
         df[r["gram"]] = r["df"]
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.join(F.broadcast(sizes), "lang").where(share < F.lit(float(per_lang)) / F.col("n")).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +114,8 @@ def fit_languages(docs: DataFrame, per_lang: int = 400, centroids: int = 6, reje
                 used = [np.flatnonzero(c) for c in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(counts)), pa.array([u.astype("<u2").tobytes() for u in used], pa.binary()), pa.array([c[u].astype("<u4").tobytes() for c, u in zip(counts, used, strict=True)], pa.binary())], ["lang", "grams", "counts"])
 
-    taken = sample.mapInArrow(sparse, "lang string, grams binary, counts binary").orderBy("lang", "grams", "counts").collect()
+    coded = sample.mapInArrow(sparse, "lang string, grams binary, counts binary").dropDuplicates(["lang", "grams", "counts"])
+    taken = sorted(coded.orderBy(F.xxhash64("lang", "grams", "counts"), "lang", "grams", "counts").limit(2 * per_lang * languages).collect())
     found, least, langs = [np.zeros((0, DIM), np.float32)], [], []
     for lang in sorted({r["lang"] for r in taken}):
         own = [r for r in taken if r["lang"] == lang]
