@@ -196,7 +196,8 @@ def train_dictionary(pages: DataFrame, samples: int = 256, most: int = 64_000) -
     """
     small = pages.where(F.col("page_id").isNotNull() & F.length("html").between(1, most))
     ids = [r["page_id"] for r in small.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(samples).collect()]  # ids first: no payload but the chosen ones leaves its task
-    few = sorted(small.where(F.col("page_id").isin(ids)).select("page_id", "html").collect()) if ids else []
+    own = small.where(F.col("page_id").isin(ids)).orderBy(F.xxhash64("page_id"), "page_id", "sha1").limit(samples)  # an id can have any number of rows
+    few = sorted(own.select("page_id", "html").collect()) if ids else []
     return train_dictionary_from([_sample(r["page_id"], r["html"].encode()) for r in few])
 
 
