@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .files import written
+from .files import drop, shared_dir, written
 
 BINS = 1024
 EXACT = float(1 << 53)
@@ -81,25 +81,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096)
     """For each query (vec_id, vec) its k best other vectors: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
     Both inputs come from :func:`integer_vectors`. Scores beyond 62 bits count as the largest or smallest one, +-``MOST``. A candidate with the query's own id is not its neighbour; a query
-    without candidates gets no row. A repeated id is one candidate for each row, and as a query it is asked once.
+    without candidates gets no row. A repeated id is one candidate for each row, and each of its rows is a query of its own.
+    Blocks have about ``block`` queries; a block's rows are written, and what was sent for it is dropped, before the next.
     """
     spark = vectors.sparkSession
-    vectors, _ = written(vectors, "topk-vectors")
-    queries, _ = written(queries.dropDuplicates(["vec_id"]), "topk-queries")
+    vectors, held = written(vectors, "topk-vectors")
     n_blocks = max(1, -(-queries.count() // block))
-    dealt = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    out = None
+    dealt, asked = written(queries.withColumn("b", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks))), "topk-queries")
+    folder, told = shared_dir(spark, "topk"), "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], told).write.parquet(folder)
     for b in range(n_blocks):
-        rows = dealt.where(F.col("b") == b).select("vec_id", "vec").orderBy("vec_id").collect()
+        rows = dealt.where(F.col("b") == b).select("vec_id", "vec").orderBy("vec_id", "vec").collect()
         for dim in sorted({len(r["vec"]) // 8 for r in rows}):
             own = [r for r in rows if len(r["vec"]) == 8 * dim]
-            part = _search_block(vectors, np.array([r["vec_id"] for r in own], np.int64), np.frombuffer(b"".join(bytes(r["vec"]) for r in own), "<f8").reshape(-1, dim), k)
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+            part, sent = _search_block(vectors, np.array([r["vec_id"] for r in own], np.int64), np.frombuffer(b"".join(bytes(r["vec"]) for r in own), "<f8").reshape(-1, dim), k)
+            part.write.mode("append").parquet(folder)
+            for x in sent:
+                x.destroy()
+    drop(spark, held, asked)
+    return spark.read.schema(told).parquet(folder)
 
 
-def _search_block(vectors: DataFrame, qids: np.ndarray, qvecs: np.ndarray, k: int) -> DataFrame:
-    """Histogram selection for one block of queries of one width."""
+def _search_block(vectors: DataFrame, qids: np.ndarray, qvecs: np.ndarray, k: int) -> tuple[DataFrame, list]:
+    """Histogram selection for one block of queries of one width: the result, and the broadcasts that it needs until it is written."""
     spark, n = vectors.sparkSession, len(qids)
     sent = spark.sparkContext.broadcast((qids, qvecs))
 
@@ -132,6 +136,7 @@ def _search_block(vectors: DataFrame, qids: np.ndarray, qvecs: np.ndarray, k: in
         reached = F.col("upto") >= F.col("want")
         found = upto.join(F.broadcast(goal), "q").groupBy("q").agg(F.max(F.when(reached, F.col("bin"))).alias("bin"), F.max_by("n", F.when(reached, F.col("bin"))).alias("n"), F.max_by("upto", F.when(reached, F.col("bin"))).alias("upto"))
         seen = {r["q"]: r for r in found.collect()}
+        ranges.destroy()
         for q in range(n):
             if hi[q] > lo[q]:
                 if q not in seen or seen[q]["bin"] is None:  # fewer than k candidates: all are taken
@@ -144,20 +149,21 @@ def _search_block(vectors: DataFrame, qids: np.ndarray, qvecs: np.ndarray, k: in
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tied: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-        names = ["query_id", "vec_id", "score"]
+        names = ["q", "vec_id", "score"]
         for q, ids, scores in _each(batches, *sent.value):
             low = kth.value[q]
             r, c = np.nonzero(scores > np.where(low == NONE + 1, NONE, low)[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(qids[q][r]), pa.array(ids[c]), pa.array(scores[r, c])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(q.start + r), pa.array(ids[c]), pa.array(scores[r, c])], names)
             r, c = np.nonzero((scores == low[:, None]) & (low > NONE + 1)[:, None])
             for j in np.unique(r):
                 tied[q.start + j] = np.sort(np.concatenate([tied[q.start + j], ids[c[r == j]]]), kind="stable")[:k]
         of = np.repeat(np.arange(n), [len(t) for t in tied])
-        yield pa.RecordBatch.from_arrays([pa.array(qids[of]), pa.array(np.concatenate([*tied, np.zeros(0, np.int64)])), pa.array(kth.value[of])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([*tied, np.zeros(0, np.int64)])), pa.array(kth.value[of])], names)
 
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    kept = vectors.mapInArrow(keep, "query_id long, vec_id long, score long")
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
+    kept = vectors.mapInArrow(keep, "q long, vec_id long, score long").withColumn("rank", rank).where(F.col("rank") <= k)
+    names = spark.createDataFrame([(q, int(i)) for q, i in enumerate(qids)], "q long, query_id long")  # a row for each query of the block
+    return kept.join(F.broadcast(names), "q").select("query_id", "rank", "vec_id", "score"), [sent, kth]
 
 
 ORACLE = """
