@@ -101,27 +101,30 @@ def test_sources(spark, tmp_path):
     assert S.split_union({"train": df, "test": df}).groupBy("split").count().count() == 2
 
 
-def test_bags_are_registered_with_the_recorded_sizes(spark, sf_dir, monkeypatch):
+def test_bags_are_registered_with_the_recorded_settings(spark, sf_dir, monkeypatch):
+    from dataclasses import replace
+
     from plumbline.operators import models as M
     from plumbline.plans import models as Q
 
-    asked, fold_bag, seed_bag = [], M.fold_bag, M.seed_bag
-
-    def small_fold(train, query, folds, kind, classification, seeds, size):
-        asked.append((kind, seeds, size, folds.select("fold").distinct().count()))
-        return fold_bag(train, query, folds, kind, classification, seeds[:1], 2)
+    asked, scored = [], M._scored
 
-    def small_seed(train, query, seeds, size):
-        asked.append(("seeds", seeds, size))
-        return seed_bag(train, query, seeds[:2], 2)
+    def small(rows, query, members, backend):
+        asked.append((backend, [(m.seed, m.columns and len(m.columns)) for m in members]))
+        return scored(rows, query, members, replace(backend, **({"rounds": 2} if isinstance(backend, M.Boosting) else {"trees": 2})))
 
-    monkeypatch.setattr(M, "fold_bag", small_fold)
-    monkeypatch.setattr(M, "seed_bag", small_seed)
+    monkeypatch.setattr(M, "_scored", small)
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
-    for f in (Q.fold_bag_gbt, Q.fold_bag_forest, Q.seed_bag_forest):
+    for f in (Q.fold_bag_gbt, Q.fold_bag_forest, Q.seed_bag_forest, Q.fold_bag_gbt_extended, Q.fold_bag_forest_graded):
         got = [r["score"] for r in f(spark, sf_dir).collect()]
-        assert len(got) == n and all(0 <= v <= 1 for v in got)
-    assert asked == [("gbt", [11, 22, 33, 44, 55], 500, 3), ("forest", [101], 900, 3), ("seeds", [1, 2, 3, 4, 5], 800)]
+        assert len(got) == n and all(0 <= v <= (9 if "extended" in f.__name__ or "graded" in f.__name__ else 1) for v in got)
+    ames, forest, bbb, extended, graded = asked
+    assert (ames[0].rounds, ames[0].depth, ames[0].rate, ames[0].rows, ames[0].columns, ames[0].least, ames[0].balanced) == (500, 5, 0.04, 0.85, 0.85, 2, True)
+    assert ames[1] == [(s * 100 + k, None) for s in (11, 22, 33, 44, 55) for k in range(3)]
+    assert (forest[0].trees, forest[0].leaf, forest[1]) == (900, 2, [(101, None), (102, None), (103, None)])
+    assert (bbb[0].trees, bbb[0].leaf, [m for m, _ in bbb[1]]) == (800, 1, [1, 2, 3, 4, 5])
+    assert (extended[0].rounds, extended[0].depth, extended[0].l2, extended[0].classification, extended[1][0]) == (600, 5, 2.0, False, (101, 32))
+    assert (graded[0].trees, graded[0].leaf, graded[0].classification, graded[1][2]) == (900, 2, False, (103, 32))
 
 
 def test_models_are_written_once_and_read_if_unchanged(spark, tmp_path):
@@ -182,23 +185,60 @@ def test_high_percentile_is_exact(spark):
     assert high_percentile(df.where("false"), "x", 0.999).collect()[0]["p"] is None
 
 
+def circles(spark, n=400):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(n, 4))
+    return x, (np.linalg.norm(x[:, :2], axis=1) > 1.2).astype(float)
+
+
 def test_kernel_heads_separate_what_no_line_separates(spark):
     import numpy as np
 
     from plumbline.operators import models as M
 
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 4))
-    y = (np.linalg.norm(x[:, :2], axis=1) > 1.2).astype(float)
+    x, y = circles(spark)
     data = [(i, float(y[i]), [None if (i + j) % 23 == 0 else float("nan") if (i + j) % 29 == 0 else float(v) for j, v in enumerate(x[i])] + [None]) for i in range(400)]
     df = spark.createDataFrame(data, "row_id long, y double, values array<double>")
     medians = M.column_medians(df, "values")
     own = [v[2][1] for v in data if v[2][1] is not None and v[2][1] == v[2][1]]
-    assert medians[4] == 0 and abs(medians[1] - np.median(own)) < 0.02
+    assert medians[4] == 0 and medians[1] == np.median(own)
     got = {r["row_id"]: r["score"] for r in M.kernel_heads(df, df, [M.Kernel(0, 2, 10.0, 2.0), M.Kernel(0, 5, 10.0, 1.0), M.Kernel(0, 4, 10.0, 1.0, pca=4)]).collect()}
     s = np.array([got[i] for i in range(400)])
     assert len(got) == 400 and s.min() > 0 and s.max() <= 1
-    assert (s[y == 1][:, None] > s[y == 0]).mean() > 0.85
+    assert (s[y == 1][:, None] > s[y == 0]).mean() > 0.9
+
+
+@pytest.mark.parametrize("balanced", [True, False])
+def test_decision_values_equal_an_exact_machine(spark, balanced):
+    """The dual problem, solved by coordinate pairs, on 90 rows that are all landmarks; tolerance 0.02."""
+    import numpy as np
+
+    from plumbline.operators import kernel as N
+
+    x, y = circles(spark, 90)
+    df = spark.createDataFrame([(i, float(y[i]), x[i].tolist()) for i in range(90)], "row_id long, y double, values array<double>").repartition(3)
+    made, weights = N.fit_machines(df, [N.Kernel(0, 4, 1.0, 2.0, None, balanced)], sharp=0.002, most=200)
+    got = {r["row_id"]: r["score"] for r in N.decision_values(df, made, weights).collect()}
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    k = N.kernel(z, z, 2.0 / 4)
+    t = np.where(y > 0, 1.0, -1.0)
+    c = np.where(y > 0, 90 / (2 * y.sum()), 90 / (2 * (90 - y.sum()))) if balanced else np.ones(90)
+    a, q = np.zeros(90), k * t[:, None] * t[None, :]
+    for _ in range(20_000):  # the pair that violates most
+        g = (q @ a - 1) * -t
+        up, down = np.where(t > 0, a < c, a > 0), np.where(t > 0, a > 0, a < c)
+        i, j = np.where(up, g, -np.inf).argmax(), np.where(down, g, np.inf).argmin()
+        if g[i] - g[j] < 1e-9:
+            break
+        most = min(c[i] - a[i] if t[i] > 0 else a[i], a[j] if t[j] > 0 else c[j] - a[j])
+        d = min(most, (g[i] - g[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12))
+        a[i] += t[i] * d
+        a[j] -= t[j] * d
+    f = k @ (a * t)
+    f = f + (g[i] + g[j]) / 2
+    assert np.abs(np.array([got[n] for n in range(90)]) - f).max() < 0.02
 
 
 def test_members_of_a_bag_choose_their_columns(spark):
@@ -208,10 +248,11 @@ def test_members_of_a_bag_choose_their_columns(spark):
 
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 6))
-    rows = M.with_vectors(spark.createDataFrame([(i, float(x[i, 3] > 0), i % 9, x[i].tolist()) for i in range(200)], "row_id long, y double, grp int, values array<double>"))
-    folds = spark.createDataFrame([(g, g % 3) for g in range(9)], "grp int, fold int")
-    got = {r["row_id"]: r["score"] for r in M.fold_bag(rows, rows, folds, "gbt", True, [1], 3, extended=True, top=1).collect()}
-    assert all((got[i] > 0.5) == (x[i, 3] > 0) for i in range(200) if abs(x[i, 3]) > 0.2)
+    rows = spark.createDataFrame([(i, float(x[i, 3] > 0), i % 9, x[i].tolist()) for i in range(200)], "row_id long, y double, grp int, values array<double>")
+    assert M.chosen_columns(rows, True, 1) == (3,)
+    for backend in (M.Boosting(rounds=20, depth=2, rate=0.3), M.Forest(trees=20)):
+        got = {r["row_id"]: r["score"] for r in M.fold_bag(rows, rows, "grp", [1], backend, top=1).collect()}
+        assert all((got[i] > 0.5) == (x[i, 3] > 0) for i in range(200) if abs(x[i, 3]) > 0.2)
 
 
 def test_split_blocks_and_history(spark, tmp_path):
