@@ -2,8 +2,9 @@
 
 A byte-level BPE never merges across its pre-tokens, and one space followed by a non-space always starts a pre-token.
 So a text is cut at such spaces, each distinct piece is encoded once per Python worker, and the ids of a text are the
-joined ids of its pieces: the same ids as encoding the whole text (tests compare them). Pieces of ASCII are split here,
-all others by the library's own pre-tokenizer, since its tables of letters and numbers are those that count. Literals of the vocabulary's
+joined ids of its pieces: the same ids as encoding the whole text (tests compare them). Pieces of
+characters below U+0250, on whose classes all versions of Unicode agree, are split here, all others by the library's own
+pre-tokenizer, since its tables of letters and numbers are those that count. Literals of the vocabulary's
 added tokens (such as an end-of-text mark) get their own id, as the library does by itself; the text between them is
 encoded apart. The caches are bounded; a full one is emptied, which costs time, not correctness.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES, WORDS = 900_000, 900_000
+STABLE = "\u0250"
 
 
 class Pieces(dict):
@@ -82,14 +84,18 @@ class TextEncoder:
 
     def _words(self, piece: str) -> list[str]:
         """The pre-tokens of a piece in the byte alphabet; letters, perhaps with one mark at the end, need no pattern."""
-        if not piece.isascii():
+        plain = piece.isascii()
+        if not plain and max(piece) >= STABLE:
             return [w for w, _ in self.library(piece)]
-        spelled = piece.translate(self.alphabet)
+        spelled = self._spelled(piece, plain)
         if piece[1:].isalpha():
             return [spelled]
         if piece[-1:] in (".", ",", ";", ":", "!", "?") and piece[1:-1].isalpha():
             return [spelled[:-1], spelled[-1]]
-        return [w.translate(self.alphabet) for w in self.split(piece)]
+        return [self._spelled(w, plain) for w in self.split(piece)]
+
+    def _spelled(self, word: str, plain: bool) -> str:
+        return (word if plain else word.encode().decode("latin-1")).translate(self.alphabet)
 
     def _parts(self, text: str) -> list[str]:
         """The pieces of a text, without the space that starts each but the first."""
@@ -114,8 +120,9 @@ class TextEncoder:
         return self._first(parts[0]) + b"".join(map(self.pieces.__getitem__, parts[1:]))
 
     def _first(self, piece: str) -> bytes:
-        own = self.split(piece) if piece.isascii() else None
-        return b"".join(map(self._ids, self._words(piece) if own is None else [w.translate(self.alphabet) for w in own]))
+        if piece and max(piece) >= STABLE:
+            return b"".join(self._ids(w) for w, _ in self.library(piece))
+        return b"".join(self._ids(self._spelled(w, False)) for w in self.split(piece))
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
