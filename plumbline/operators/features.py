@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket_of, is_finite
+from .orderstats import exact_percentile
 from .ranks import joined_back
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -161,28 +162,19 @@ def clip_and_standardize(df: DataFrame, values: str, train: Column, q: float = 0
 
 
 def high_percentile(df: DataFrame, x: str, q: float) -> DataFrame:
-    """One row ``p``: the exact, interpolated ``q`` percentile of a column without nulls, for q near 1.
-
-    An approximate percentile a little lower is found first; only the tail above it, counted, meets in one task.
-    """
-    lower = df.agg(F.percentile_approx(x, 2 * q - 1, 20_000).alias("v")).collect()[0]["v"]
-    if lower is None:
-        return df.agg(F.percentile(x, F.lit(q)).alias("p"))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(x) < lower).alias("below")).collect()[0]
-    at = (row["n"] - 1) * q - row["below"]  # the place in the tail
-    if at < 0:
-        return df.agg(F.percentile(x, F.lit(q)).alias("p"))
-    tail = df.where(F.col(x) >= lower).groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
-    return tail.agg(F.percentile(x, F.lit(at / max(1, row["n"] - row["below"] - 1)), F.col("_n")).alias("p"))
+    """One row ``p``: the exact, interpolated ``q`` percentile of a column; no row where there are no values."""
+    return exact_percentile(df, x, [], q)
 
 
 def median_impute(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """Nulls and NaN become the exact median of the keys' other values; a column without any stays null.
 
-    The medians are an aggregate with partial counts of distinct values, joined back to the rows.
+    The medians are found by refined histograms and joined back to the rows.
     """
     clean = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
-    medians = df.groupBy(*keys).agg(*[F.percentile(clean[c], F.lit(0.5)).alias(f"_m_{c}") for c in cols])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), clean[c].cast("double").alias("x")) for c in cols]))
+    found = exact_percentile(df.select(*keys, cells.alias("_c")).select(*keys, F.col("_c.col").alias("_col"), F.col("_c.x").alias("_x")), "_x", [*keys, "_col"], 0.5)
+    medians = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == c, F.col("p"))).alias(f"_m_{c}") for c in cols])
     out = joined_back(df, medians, keys)
     return out.withColumns({c: F.coalesce(clean[c], F.col(f"_m_{c}")) for c in cols}).drop(*[f"_m_{c}" for c in cols])
 

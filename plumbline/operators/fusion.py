@@ -69,7 +69,7 @@ def downweighted(head: Head, hs: list[np.ndarray]) -> np.ndarray:
     """The last block is gated down and its logit lowered by a learned penalty before the sum; the mean goes through a layer of its own."""
     hs = [*hs[:2], hs[2] * logistic(_two(head, "down.gate", np.hstack(hs)))]
     logits = _two(head, "down.weight", np.hstack(hs))
-    logits = logits - np.array([0, 0, float(np.logaddexp(0, head["down.penalty"][0]))])
+    logits = logits - np.array([0.0, 0.0, 1.0]) * np.logaddexp(0.0, head["down.penalty"])
     return _mix(softmax(logits), hs) + layer(head, "down.out", sum(hs) / 3, gelu)
 
 
@@ -100,7 +100,7 @@ def forward(head: Head, xs: list[np.ndarray], kind: str, on: tuple[bool, ...] =
         return _mix(share, [_two(head, f"out.{name}", f) for name, f in fused.items()])
     if kind == "gated":
         hs = _gated(head, hs, on, ctx)
-    fused, alpha = base("base", hs), float(logistic(head["alpha"][0]))
+    fused, alpha = base("base", hs), logistic(head["alpha"])
     if kind == "residual_dynamic":
         fused = fused + 0.2 * alpha * residual_dynamic(head, hs)
     elif kind == "gated_3d_downweight":

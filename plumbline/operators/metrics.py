@@ -31,10 +31,11 @@ def auroc(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
     """Sum over distinct thresholds of precision times the step in recall; NaN with one class."""
-    steps = df.groupBy(*keys, "score").agg(F.sum((F.col("y") == 1).cast("double")).alias("_tp"), F.count(F.lit(1)).cast("double").alias("_n"))
-    down = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*keys)
-    run = steps.select(*keys, "_tp", F.sum("_tp").over(down).alias("_ctp"), F.sum("_n").over(down).alias("_cn"), F.sum("_tp").over(every).alias("_p"), F.sum("_n").over(every).alias("_all"))
+    tp = F.sum((F.col("y") == 1).cast("double")).alias("tp")
+    steps = rank_table(df.select(*keys, "y", "score"), "score", keys, (tp,), running=("tp",))
+    # rows and positives from this score up
+    above = F.col("_all") - F.col("_rank") + (F.col("_n") + 1) / 2
+    run = steps.select(*keys, F.col("tp").alias("_tp"), (F.col("_all_tp") - F.col("_upto_tp") + F.col("tp")).alias("_ctp"), above.alias("_cn"), F.col("_all_tp").alias("_p"), "_all")
     out = run.groupBy(*keys).agg(F.sum(F.try_divide(F.col("_tp"), F.col("_p")) * F.col("_ctp") / F.col("_cn")).alias("_ap"), F.first("_p").alias("_p"), F.first("_all").alias("_all"))
     return out.select(*keys, _or_nan((F.col("_p") > 0) & (F.col("_p") < F.col("_all")), F.col("_ap")).alias("average_precision"))
 

@@ -36,9 +36,11 @@ def joined_back(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other, same).drop(*[f"_j_{k}" for k in keys])
 
 
-def rank_table(df: DataFrame, score: str, keys: list[str], more: tuple[Column, ...] = (), ranges: int = 256) -> DataFrame:
+def rank_table(df: DataFrame, score: str, keys: list[str], more: tuple[Column, ...] = (), ranges: int = 256, running: tuple[str, ...] = ()) -> DataFrame:
     """(keys, score, _n, _rank, _all) and the aggregates ``more`` for each distinct score: its rows, average rank, all rows of the keys.
 
+    For the aggregates named in ``running`` there are also their sum up to this score, _upto_<name>, and in all, _all_<name>.
+
     Nulls rank first and NaN last, as in a sort. No task sees more of a key than one of about ``ranges`` ranges of its
     distinct scores and a row for each range.
     """
@@ -50,13 +52,15 @@ def rank_table(df: DataFrame, score: str, keys: list[str], more: tuple[Column, .
     whole = 16 * F.size(F.filter("_some", lambda x: x < F.col(score)))
     below = whole + F.size(F.filter(F.slice("_cuts", whole + 1, F.lit(16)), lambda x: x < F.col(score)))
     dealt = joined_back(counts, cuts, keys).withColumn("_range", F.when(F.col("_cuts").isNull() | F.col(score).isNull(), 0).otherwise(below)).drop("_cuts", "_some")
-    sums = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_s"))
-    line = Window.partitionBy(*keys).orderBy("_range")
-    starts = sums.select(*keys, "_range", (F.sum("_s").over(line) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy(*keys)).alias("_all"))
-    within = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(score))
-    ranked = joined_back(dealt.withColumn("_upto", within), starts, [*keys, "_range"])
-    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
-    return ranked.withColumn("_rank", rank).drop("_range", "_before", "_upto")
+    added = {"_n": "", **{c: f"_{c}" for c in running}}
+    sums = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s{x}") for c, x in added.items()])
+    line, every = Window.partitionBy(*keys).orderBy("_range"), Window.partitionBy(*keys)
+    starts = sums.select(*keys, "_range", *[y for x in added.values() for y in ((F.sum(f"_s{x}").over(line) - F.col(f"_s{x}")).alias(f"_before{x}"), F.sum(f"_s{x}").over(every).alias(f"_all{x}"))])
+    within = Window.partitionBy(*keys, "_range").orderBy(score)
+    ranked = joined_back(dealt.withColumns({f"_upto{x}": F.sum(c).over(within) for c, x in added.items()}), starts, [*keys, "_range"])
+    ranked = ranked.withColumns({f"_upto{x}": F.col(f"_before{x}") + F.col(f"_upto{x}") for x in added.values()})
+    rank = F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
+    return ranked.withColumn("_rank", rank).drop("_range", "_upto", *[f"_before{x}" for x in added.values()])
 
 
 def with_ranks(df: DataFrame, columns: dict[str, str], keys: list[str], normalized: bool = False) -> DataFrame:

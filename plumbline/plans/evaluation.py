@@ -150,17 +150,16 @@ def hashed_group_folds(spark, d):
 
 @query(f"""
 WITH RECURSIVE g AS (SELECT o_custkey AS grp, count(*) AS n FROM orders GROUP BY 1),
-o AS (SELECT grp, n, shard, row_number() OVER (PARTITION BY shard ORDER BY n DESC, u, grp) AS pos
-      FROM (SELECT grp, n, {_U} AS u, CAST(floor({_U.replace("'0|'", "'shard|0|'")} * 8) AS BIGINT) AS shard FROM g)),
-d AS (SELECT DISTINCT shard, 0::BIGINT AS pos, NULL::BIGINT AS grp, 0::BIGINT AS n, -1::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads FROM o
+o AS (SELECT grp, n, row_number() OVER (ORDER BY n DESC, u, grp) AS pos FROM (SELECT grp, n, {_U} AS u FROM g)),
+d AS (SELECT 0::BIGINT AS pos, NULL::BIGINT AS grp, 0::BIGINT AS n, -1::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
       UNION ALL
-      SELECT shard, pos, grp, n, slot - 1, list_transform(loads, lambda x, i: CASE WHEN i = slot THEN x + n ELSE x END)
-      FROM (SELECT o.shard, o.pos, o.grp, o.n, d.loads, list_position(d.loads, list_min(d.loads)) AS slot FROM d JOIN o ON o.shard = d.shard AND o.pos = d.pos + 1))
+      SELECT pos, grp, n, slot - 1, list_transform(loads, lambda x, i: CASE WHEN i = slot THEN x + n ELSE x END)
+      FROM (SELECT o.pos, o.grp, o.n, d.loads, list_position(d.loads, list_min(d.loads)) AS slot FROM d JOIN o ON o.pos = d.pos + 1))
 SELECT grp, n, CAST(fold AS INTEGER) AS fold FROM d WHERE pos > 0
 """)
 def greedy_group_folds(spark, d):
     rows = table(spark, d, "orders").withColumnRenamed("o_orderkey", "row_id")
-    return K.greedy_folds(rows, "o_custkey", 5, shards=8)
+    return K.greedy_folds(rows, "o_custkey", 5)
 
 
 @query(f"""

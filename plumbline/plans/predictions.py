@@ -22,10 +22,10 @@ def components(spark: SparkSession, d: str, **more: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
-WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity >= 10 AND isfinite(l_extendedprice)
+WHERE l_shipdate < TIMESTAMP '1997-01-01' AND l_quantity >= 10 AND isfinite(l_extendedprice)
 """)
 def scan_filter_finite(spark, d):
-    df = table(spark, d, "lineitem").where((F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp")) & (F.col("l_quantity") >= 10))
+    df = table(spark, d, "lineitem").where((F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp")) & (F.col("l_quantity") >= 10))
     return df.where(S.is_finite(F.col("l_extendedprice"))).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
