@@ -36,6 +36,17 @@ def joined_back(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other, same).drop(*[f"_j_{k}" for k in keys])
 
 
+def in_ranges(counts: DataFrame, score: str, keys: list[str], ranges: int = 256) -> DataFrame:
+    """Adds ``_range``, from 0: about ``ranges`` ranges of the keys' scores with about equal numbers of rows; nulls are in the first."""
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(F.col(score).cast("double"), [k / ranges for k in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    # cuts below a score: first among every 16th, then among the 16 that follow
+    some = F.transform(F.sequence(F.lit(16), F.lit(ranges - 1), F.lit(16)), lambda i: F.get("_cuts", i - 1))
+    cuts = cuts.withColumn("_some", some)
+    whole = 16 * F.size(F.filter("_some", lambda x: x < F.col(score)))
+    below = whole + F.size(F.filter(F.slice("_cuts", whole + 1, F.lit(16)), lambda x: x < F.col(score)))
+    return joined_back(counts, cuts, keys).withColumn("_range", F.when(F.col("_cuts").isNull() | F.col(score).isNull(), 0).otherwise(below)).drop("_cuts", "_some")
+
+
 def rank_table(df: DataFrame, score: str, keys: list[str], more: tuple[Column, ...] = (), ranges: int = 256, running: tuple[str, ...] = ()) -> DataFrame:
     """(keys, score, _n, _rank, _all) and the aggregates ``more`` for each distinct score: its rows, average rank, all rows of the keys.
 
@@ -44,14 +55,7 @@ def rank_table(df: DataFrame, score: str, keys: list[str], more: tuple[Column, .
     Nulls rank first and NaN last, as in a sort. No task sees more of a key than one of about ``ranges`` ranges of its
     distinct scores and a row for each range.
     """
-    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), *more)
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(F.col(score).cast("double"), [k / ranges for k in range(1, ranges)], 10 * ranges).alias("_cuts"))
-    # cuts below a score: first among every 16th, then among the 16 that follow
-    some = F.transform(F.sequence(F.lit(16), F.lit(ranges - 1), F.lit(16)), lambda i: F.get("_cuts", i - 1))
-    cuts = cuts.withColumn("_some", some)
-    whole = 16 * F.size(F.filter("_some", lambda x: x < F.col(score)))
-    below = whole + F.size(F.filter(F.slice("_cuts", whole + 1, F.lit(16)), lambda x: x < F.col(score)))
-    dealt = joined_back(counts, cuts, keys).withColumn("_range", F.when(F.col("_cuts").isNull() | F.col(score).isNull(), 0).otherwise(below)).drop("_cuts", "_some")
+    dealt = in_ranges(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), *more), score, keys, ranges)
     added = {"_n": "", **{c: f"_{c}" for c in running}}
     sums = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s{x}") for c, x in added.items()])
     line, every = Window.partitionBy(*keys).orderBy("_range"), Window.partitionBy(*keys)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import evalstats as E
 from ..operators import features as X
 from ..operators import folds as K
+from ..operators import intervals as I
 from ..operators import metrics as M
+from ..operators import search as H
 from ..operators import select as L
 from ..sources.tables import table
 from .base import query
@@ -291,3 +293,35 @@ def paired_comparison(spark, d):
     both = m.where("arm = 'click'").join(m.where("arm = 'view'").select("task", F.col("v").alias("w")), "task")
     diff = F.col("v") - F.col("w")
     return both.select("task", F.round(diff, 6).alias("difference"), E.verdict(diff).alias("verdict"))
+
+
+@query("""
+WITH h AS (SELECT event_type AS study, user_id AS arm, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS epoch, value AS metric FROM events),
+b AS (SELECT study, arm, max(metric) AS best, max(CASE WHEN epoch <= 1 THEN metric END) AS b1, max(CASE WHEN epoch <= 2 THEN metric END) AS b2, max(CASE WHEN epoch <= 4 THEN metric END) AS b4 FROM h GROUP BY 1, 2),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY b1 DESC NULLS LAST, arm) <= ceil(count(*) OVER (PARTITION BY study) / 2.0) AS k1 FROM b),
+r2 AS (SELECT *, k1 AND row_number() OVER (PARTITION BY study, k1 ORDER BY b2 DESC NULLS LAST, arm) <= ceil(count(*) OVER (PARTITION BY study, k1) / 2.0) AS k2 FROM r1),
+r4 AS (SELECT *, k2 AND row_number() OVER (PARTITION BY study, k2 ORDER BY b4 DESC NULLS LAST, arm) <= ceil(count(*) OVER (PARTITION BY study, k2) / 2.0) AS k4 FROM r2)
+SELECT study, arm, best, CAST(CASE WHEN NOT k1 THEN 1 WHEN NOT k2 THEN 2 WHEN NOT k4 THEN 4 END AS INTEGER) AS stopped FROM r4
+""")
+def halved_arms(spark, d):
+    """Users as arms of a study for each event type, their values as the metric of their epochs."""
+    epoch = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("study"), F.col("user_id").alias("arm"), epoch.alias("epoch"), F.col("value").alias("metric"))
+    return H.halved(rows, [1, 2, 4])
+
+
+def _paired(spark, d):
+    e = table(spark, d, "embeddings")
+    arms = F.inline(F.array(*[F.struct(F.lit(i).alias("task"), F.round(F.get("embedding", F.lit(i)).cast("double"), 2).alias("ref"), F.round(F.get("embedding", F.lit(i + 3)).cast("double"), 2).alias("cmp")) for i in range(3)]))
+    return e.select((F.col("label") >= 5).cast("int").alias("y"), (F.col("vec_id") % 53).alias("user"), arms)
+
+
+@query()
+def paired_auroc_interval(spark, d):
+    """AUROC of two coordinates as scores on the same rows, by the same 2000 resamples of users."""
+    return I.paired_metric_interval(_paired(spark, d), ["task"], "user", "ref", "cmp", "auroc")
+
+
+@query()
+def paired_precision_interval(spark, d):
+    return I.paired_metric_interval(_paired(spark, d), ["task"], "user", "ref", "cmp", "average_precision")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features as X
+from ..operators import graphs as Q
 from ..operators import pairs as P
 from ..operators import sampling as A
+from ..sources.blocks import read_parts, write_blocks
+from ..sources.shared import shared_root, stored
 from ..sources.tables import file_hashes, manifest_faults, table
 from .base import query
 
@@ -290,3 +295,36 @@ def manifest_check(spark, d):
     listed = files.select("name", F.when(F.col("name") == "region.parquet", F.col("size") + 1).otherwise(F.col("size")).alias("size"), "sha256")
     more = spark.createDataFrame([("absent.parquet", 1, "")], "name string, size long, sha256 string")
     return manifest_faults(listed.unionByName(more), files)
+
+
+@query()
+def circular_counts(spark, d):
+    """Environments of radius 0 to 2 of each document's word graphs, in 1024 buckets."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "row_id")
+    return Q.counted(docs, "text", lambda words: Q.environments(words, 2), 1024)
+
+
+@query()
+def four_path_counts(spark, d):
+    """Paths of four words along the edges of each document's word graphs, in 1024 buckets."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "row_id")
+    return Q.counted(docs, "text", lambda words: Q.path_hashes(words, 3), 1024)
+
+
+@query()
+def pattern_path_bits(spark, d):
+    """Presence of all paths of up to four edges, in 2048 buckets."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "row_id")
+    return Q.counted(docs, "text", lambda words: Q.pattern_hashes(words, 4), 2048, presence=True)
+
+
+@query("SELECT vec_id AS row_id, len(embedding) AS width, round(embedding[1] + embedding[64], 5) AS ends FROM embeddings")
+def block_files(spark, d):
+    """Embeddings written as .npy files by tasks and read again by ranges of rows."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("values"))
+    folder = f"{shared_root(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    files, _ = stored(write_blocks(rows, folder), "block-files")
+    out = read_parts(spark, folder, rows=1000).withColumnRenamed("row_id", "at")
+    ids = files.select("file", F.posexplode("ids").alias("at", "row_id"))
+    both = out.join(ids, ["file", "at"])
+    return both.select("row_id", F.size("values").cast("long").alias("width"), F.round(F.get("values", F.lit(0)) + F.get("values", F.lit(63)), 5).alias("ends"))
