@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .files import written
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 24
-WIN, HOP, FFT, MELS = 200, 80, 256, 24
+RATE, UP, DOWN, TAPS = 16_000, 3, 4, 24
+WIN, HOP, FFT, MELS = 300, 120, 512, 24
 CHUNK, BLOCK = 64, 4096
 RISE, FALL = 1.5, 0.0  # dB above the sound's mean level at which a segment starts and below which it ends
 WAVE = struct.Struct("<4sI4s4sIHHIIHH4sI")
@@ -171,5 +171,8 @@ def audio_features(media: DataFrame) -> DataFrame:
 
 
 def document_audio(docs: DataFrame) -> DataFrame:
-    """Store and analyse all texts. Null texts are empty payloads; null and repeated doc_ids stay; other columns are not read."""
-    return audio_features(store_media(docs))
+    """Store and analyse all texts; features and tensors are a table of the shared folder, as the media are, and are read from it.
+
+    Null texts are empty payloads; null and repeated doc_ids stay; other columns are not read.
+    """
+    return written(audio_features(store_media(docs)), "audio-tensors")[0]
