@@ -12,6 +12,7 @@ encoded apart. The caches are bounded; a full one is emptied, which costs time,
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES, WORDS = 900_000, 900_000
-STABLE = "\u0250"
+_STABLE = re.compile("[\0-\u024f]*").fullmatch
 
 
 class Pieces(dict):
@@ -29,10 +30,20 @@ class Pieces(dict):
 
     def __init__(self, encoder: TextEncoder):
         super().__init__()
-        self.of = encoder._joined
+        self.encoder, self.of, self.words, self.ids = encoder, encoder._words, encoder.words, encoder._ids
 
     def __missing__(self, piece: str) -> bytes:
-        own = self[piece] = self.of(" " + piece)
+        whole = " " + piece
+        if not piece.isascii() and not _STABLE(piece):
+            own = self[piece] = self.encoder.foreign(whole)
+            return own
+        own = b""
+        for w in self.of(whole):
+            ids = self.words.get(w)
+            if ids is None:
+                ids = self.words[w] = self.ids(w)
+            own += ids
+        self[piece] = own
         return own
 
 
@@ -61,6 +72,7 @@ class TextEncoder:
         literals = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, literals)) + ")").split if literals else None
         self.words: dict[str, bytes] = {}
+        self.spelled: dict[str, bytes] = {}
         self.pieces = Pieces(self)
 
     @staticmethod
@@ -73,29 +85,30 @@ class TextEncoder:
             raise ValueError("this encoder takes byte-level BPE tokenizers without normalizer, prefix space or stripping added tokens")
 
     def _ids(self, word: str) -> bytes:
-        """Ids of one pre-token, written in the tokenizer's byte alphabet, by its own merges; kept for the next time."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = array(self.code, [t.id for t in self.merge(word)]).tobytes()
-        return ids
-
-    def _joined(self, piece: str) -> bytes:
-        return b"".join(map(self._ids, self._words(piece)))
+        """Ids of one pre-token, by the tokenizer's own merges over its byte alphabet."""
+        if word.isascii() and word[1:].isalpha():
+            own = "\u0120" + word[1:] if word[0] == " " else word if word[0].isalpha() else word.translate(self.alphabet)
+        else:
+            own = word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.merge(own)]).tobytes()
+
+    def foreign(self, piece: str) -> bytes:
+        """Ids of a piece with characters from U+0250 on, split by the library into words of its byte alphabet."""
+        own = b""
+        for w, _ in self.library(piece):
+            ids = self.spelled.get(w)
+            if ids is None:
+                ids = self.spelled[w] = array(self.code, [t.id for t in self.merge(w)]).tobytes()
+            own += ids
+        return own
 
     def _words(self, piece: str) -> list[str]:
-        """The pre-tokens of a piece in the byte alphabet; letters, perhaps with one mark at the end, need no pattern."""
-        plain = piece.isascii()
-        if not plain and max(piece) >= STABLE:
-            return [w for w, _ in self.library(piece)]
-        spelled = self._spelled(piece, plain)
+        """The pre-tokens of a piece; a space and letters, perhaps with one mark at the end, need no pattern."""
         if piece[1:].isalpha():
-            return [spelled]
-        if piece[-1:] in (".", ",", ";", ":", "!", "?") and piece[1:-1].isalpha():
-            return [spelled[:-1], spelled[-1]]
-        return [self._spelled(w, plain) for w in self.split(piece)]
-
-    def _spelled(self, word: str, plain: bool) -> str:
-        return (word if plain else word.encode().decode("latin-1")).translate(self.alphabet)
+            return [piece]
+        if piece[-1] in ".,;:!?" and piece[1:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.split(piece)
 
     def _parts(self, text: str) -> list[str]:
         """The pieces of a text, without the space that starts each but the first."""
@@ -113,6 +126,8 @@ class TextEncoder:
                 self.pieces.clear()
             if len(self.words) > WORDS:
                 self.words.clear()
+            if len(self.spelled) > WORDS:
+                self.spelled.clear()
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -120,9 +135,9 @@ class TextEncoder:
         return self._first(parts[0]) + b"".join(map(self.pieces.__getitem__, parts[1:]))
 
     def _first(self, piece: str) -> bytes:
-        if piece and max(piece) >= STABLE:
-            return b"".join(self._ids(w) for w, _ in self.library(piece))
-        return b"".join(self._ids(self._spelled(w, False)) for w in self.split(piece))
+        if not _STABLE(piece):
+            return self.foreign(piece)
+        return b"".join(self.words.get(w) or self._ids(w) for w in self.split(piece))
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
