@@ -68,11 +68,31 @@ def write_new(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("errorifexists").format(form).option("header", True).save(path)
 
 
-def write_features(df: DataFrame, path: str, names: list[str]) -> None:
-    """A feature table (row_id, values) and beside it one row of names, width and a content hash."""
-    write_new(df, f"{path}/matrix")
-    digest = df.select(F.xxhash64("row_id", F.to_json(F.struct("values"))).cast("decimal(38,0)").alias("h")).agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("rows"))
-    write_new(digest.select(F.sha2(F.concat_ws("|", "h", "rows").cast("binary"), 256).alias("content"), "rows", F.lit(len(names)).alias("width"), F.array(*map(F.lit, names)).alias("names")), f"{path}/schema", "json")
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row (content, rows): a hash of all rows in any order, with how often each occurs."""
+    each = df.select(F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).cast("decimal(38,0)").alias("h"))
+    sums = each.agg(F.coalesce(F.sum("h"), F.lit(0)).alias("h"), F.count(F.lit(1)).alias("rows"))
+    return sums.select(F.sha2(F.concat_ws("|", "h", "rows").cast("binary"), 256).alias("content"), "rows")
+
+
+def write_features(df: DataFrame, path: str, names: list[str], inputs: DataFrame | None = None) -> None:
+    """A feature table (row_id, values, and y if it has one) and beside it one row of names, width, content hash and the hash of its inputs."""
+    columns = ["row_id", "values", *(["y"] if "y" in df.columns else [])]
+    write_new(df.select(*columns), f"{path}/matrix")
+    row = table_digest(df.select(*columns)).select("content", "rows", F.lit(len(names)).alias("width"), F.array(*map(F.lit, names)).alias("names"), F.lit("y" in df.columns).alias("has_y"))
+    if inputs is not None:
+        row = row.join(F.broadcast(table_digest(inputs).select(F.col("content").alias("inputs"))), F.lit(True))  # one row
+    write_new(row, f"{path}/schema", "json")
+
+
+def check_features(spark: SparkSession, path: str, inputs: DataFrame | None = None) -> DataFrame:
+    """The matrix of :func:`write_features`; ValueError where its rows, or the inputs, are not those of its schema."""
+    record, df = spark.read.json(f"{path}/schema").collect()[0], spark.read.parquet(f"{path}/matrix")
+    if table_digest(df).collect()[0]["content"] != record["content"]:
+        raise ValueError(f"the matrix of {path} differs from its schema")
+    if inputs is not None and table_digest(inputs).collect()[0]["content"] != record["inputs"]:
+        raise ValueError(f"{path} was made from other inputs")
+    return df
 
 
 def split_blocks(spark: SparkSession, folder: str, name: str, splits: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
