@@ -11,7 +11,8 @@ import uuid
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK = "/tmp/checkpoints"
 
@@ -50,6 +51,11 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> tuple[DataFrame, s
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def whole_row(names: list[str]) -> Column:
+    """A struct of the columns of these names, whatever characters they have."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in names))
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete folders of :func:`shared_dir` that no later step reads."""
     jvm = spark.sparkContext._jvm

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .files import written
+from .files import whole_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -68,7 +68,7 @@ def row_key() -> Column:
 def mixed_documents(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns. Equal rows are taken alike."""
     copies = mix_sources(docs, weights).groupBy("rid").agg(F.max("copies").alias("copies")).where("copies > 0")
-    row = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("rid"))
+    row = docs.select(whole_row(docs.columns).alias("row"), row_key().alias("rid"))
     times = row.join(copies, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i"))
     return times.select("row.*")
 

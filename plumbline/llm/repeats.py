@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import drop, load_sorted, loadable, written
+from .files import drop, load_sorted, loadable, whole_row, written
 from .words import Words, mix, slices
 
 WINDOW, ANCHOR, OFTEN, LOADED = 20, 10, 2000, 4_000_000
@@ -355,7 +355,7 @@ def without_repeats(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
                 more = [c.slice(at, 500) for c in batch.columns[3:]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, ranges), *more], ["doc_id", "n_words", "n_removed", "kept", "spans", *["row"] * len(more)])
 
-    rows = [F.struct(*carry).alias("row")] if carry else []
+    rows = [whole_row(carry).alias("row")] if carry else []
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rows).withColumn("rid", F.xxhash64("doc_id", "text"))
     joined = keyed.join(each, "rid", "left").select("doc_id", "text", "marks", *(["row"] if carry else []))
     schema = T.StructType([*T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept string, spans array<struct<from: long, to: long>>").fields, *joined.schema.fields[3:]])
