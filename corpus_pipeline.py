@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.files import drop, written
+from plumbline.llm.files import drop, whole_row, written
 from plumbline.llm.jaccard import classes
 from plumbline.llm.mixing import mixed_documents, quality_weights
 from plumbline.llm.packing import pack_documents
@@ -33,7 +33,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     told = classes(docs)
     heads = told.where("class IS NULL OR row_key = head").groupBy("row_key").agg(F.max(F.col("class").isNotNull()).alias("linked"), F.count(F.lit(1)).alias("n"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key")).join(heads, "row_key")
+    rows = docs.select(whole_row(docs.columns).alias("row"), key.alias("row_key")).join(heads, "row_key")
     again = F.col("linked") & (F.col("n") > 1)  # equal rows of one id
     once = rows.where(again).dropDuplicates(["row_key"])
     return rows.where(~again).select("row.*").unionByName(once.select("row.*"))
