@@ -301,13 +301,13 @@ b AS (SELECT study, arm, max(metric) AS best, max(CASE WHEN epoch <= 1 THEN metr
 r1 AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY b1 DESC NULLS LAST, arm) <= ceil(count(*) OVER (PARTITION BY study) / 2.0) AS k1 FROM b),
 r2 AS (SELECT *, k1 AND row_number() OVER (PARTITION BY study, k1 ORDER BY b2 DESC NULLS LAST, arm) <= ceil(count(*) OVER (PARTITION BY study, k1) / 2.0) AS k2 FROM r1),
 r4 AS (SELECT *, k2 AND row_number() OVER (PARTITION BY study, k2 ORDER BY b4 DESC NULLS LAST, arm) <= ceil(count(*) OVER (PARTITION BY study, k2) / 2.0) AS k4 FROM r2)
-SELECT study, arm, best, CAST(CASE WHEN NOT k1 THEN 1 WHEN NOT k2 THEN 2 WHEN NOT k4 THEN 4 END AS INTEGER) AS stopped FROM r4
+SELECT study, arm, best, CAST(CASE WHEN NOT k1 THEN 1 WHEN NOT k2 THEN 2 WHEN NOT k4 THEN 4 ELSE 0 END AS INTEGER) AS stopped FROM r4
 """)
 def halved_arms(spark, d):
-    """Users as arms of a study for each event type, their values as the metric of their epochs."""
+    """Users as arms of a study for each event type, their values as the metric of their epochs; 0 where none is given up."""
     epoch = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
     rows = table(spark, d, "events").select(F.col("event_type").alias("study"), F.col("user_id").alias("arm"), epoch.alias("epoch"), F.col("value").alias("metric"))
-    return H.halved(rows, [1, 2, 4])
+    return H.halved(rows, [1, 2, 4]).withColumn("stopped", F.coalesce("stopped", F.lit(0)))
 
 
 def _paired(spark, d):
