@@ -162,8 +162,8 @@ def clip_and_standardize(df: DataFrame, values: str, train: Column, q: float = 0
 
 
 def high_percentile(df: DataFrame, x: str, q: float) -> DataFrame:
-    """One row ``p``: the exact, interpolated ``q`` percentile of a column; no row where there are no values."""
-    return exact_percentile(df, x, [], q)
+    """One row ``p``: the exact, interpolated ``q`` percentile of a column; null where there are no values."""
+    return exact_percentile(df, x, [], q).agg(F.max("p").alias("p"))
 
 
 def median_impute(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
