@@ -94,7 +94,7 @@ def test_stages_take_an_empty_table(spark, sf_dir, empty):
 
 
 def test_numbered_queries_have_rows(spark, sf_dir):
-    assert [k.split("_")[0] for k in sorted(Q.QUERIES, key=lambda k: int(k[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in sorted(Q.QUERIES, key=lambda k: int(k[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     for name in ("op3_audio", "op10_warc"):
         assert Q.QUERIES[name](spark, sf_dir).count() > 0
 
