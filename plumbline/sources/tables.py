@@ -51,9 +51,19 @@ def lookup_one(registry: DataFrame, **keys: object) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """name, size and SHA-256 of each file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """name, size and SHA-256 of each entry that a pattern of a folder names, such as ``folder/*.parquet``.
+
+    A file is hashed by its content. An entry that is a folder has the size of all files below it, and the SHA-256 of their
+    names and SHA-256, in order of their names.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    inner = F.split(F.substring(F.col("path"), len(root) + 2, 1 << 30), "/", 2)  # entry, and the name below it
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    each = files.select(inner[0].alias("name"), F.get(inner, F.lit(1)).alias("below"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "below", "sha256"))), "\n")  # a line for each file of a table
+    whole = F.when(F.max("below").isNull(), F.max("sha256")).otherwise(F.sha2(lines.cast("binary"), 256))
+    return each.groupBy("name").agg(F.sum("size").alias("size"), whole.alias("sha256"))
 
 
 def manifest_faults(manifest: DataFrame, files: DataFrame) -> DataFrame:
