@@ -301,21 +301,21 @@ def manifest_check(spark, d):
 def circular_counts(spark, d):
     """Environments of radius 0 to 2 of each document's word graphs, in 1024 buckets."""
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "row_id")
-    return Q.counted(docs, "text", lambda words: Q.environments(words, 2), 1024)
+    return Q.counted_graphs(docs, "text", Q.environments_of(2), 1024)
 
 
 @query()
 def four_path_counts(spark, d):
     """Paths of four words along the edges of each document's word graphs, in 1024 buckets."""
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "row_id")
-    return Q.counted(docs, "text", lambda words: Q.path_hashes(words, 3), 1024)
+    return Q.counted_graphs(docs, "text", Q.paths_of(range(3, 4), False), 1024)
 
 
 @query()
 def pattern_path_bits(spark, d):
     """Presence of all paths of up to four edges, in 2048 buckets."""
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "row_id")
-    return Q.counted(docs, "text", lambda words: Q.pattern_hashes(words, 4), 2048, presence=True)
+    return Q.counted_graphs(docs, "text", Q.paths_of(range(5), True), 2048, presence=True)
 
 
 @query("SELECT vec_id AS row_id, len(embedding) AS width, round(embedding[1] + embedding[64], 5) AS ends FROM embeddings")

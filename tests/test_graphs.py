@@ -77,3 +77,23 @@ def test_counts_by_row(spark):
                 want.update((i, int(h % U(64))) for h in f(words))
         assert got == ({k: 1 for k in want} if presence else dict(want))
     assert np.array_equal(G.pattern_hashes([], 3), np.zeros(0, U))
+
+
+def test_graphs_of_many_pieces_are_looked_at_together(spark, monkeypatch):
+    """The calls of a function are far fewer than the pieces, output comes in small batches, and counts stay the same."""
+    r = random.Random(3)
+    star = " ".join(f"hub w{i}" for i in range(49))
+    texts = [*TEXTS, star, *(". ".join(" ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 30))) for _ in range(40)) for _ in range(20))]
+    for name, n in (("WORDS", 500), ("WALKS", 300), ("ROWS", 4)):
+        monkeypatch.setattr(G, name, n)
+    for find, one in ((G.environments_of(2), lambda w: G.environments(w, 2)), (G.paths_of(range(3, 4), False), lambda w: G.path_hashes(w, 3)), (G.paths_of(range(5), True), lambda w: G.pattern_hashes(w, 4))):
+        many = [words for t in texts for words in G.pieces(t or "")]
+        got, want = Counter(), Counter()
+        for piece, h in find(G.Graphs(many)):
+            got.update(zip(piece.tolist(), h.tolist(), strict=True))
+        for k, words in enumerate(many):
+            want.update((k, int(h)) for h in one(words))
+        assert got == want
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").repartition(2)
+    same = [{tuple(x) for x in f.collect()} for f in (G.counted_graphs(df, "text", G.paths_of(range(3, 4), False), 64), G.counted(df, "text", lambda w: G.path_hashes(w, 3), 64))]
+    assert same[0] == same[1]
