@@ -43,6 +43,20 @@ def dense(counts: DataFrame, key: str, width: int, presence: bool = False) -> Da
     return packed.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(value(i) > 0, F.lit(1.0).cast("float")).otherwise(F.lit(0.0).cast("float")) if presence else value(i)).alias("values"))
 
 
+def presence(df: DataFrame, key: str, tokens: Column, width: int) -> DataFrame:
+    """(key, bits): the buckets that a key's tokens fall into, ascending; keys without tokens have to be added by the caller.
+
+    Each task joins the buckets of its tokens into longs of 64 bits, so that what is shuffled is a row for each key.
+    """
+    each = df.select(key, F.explode(F.array_distinct(tokens)).alias("token")).select(key, bucket_of(F.col("token"), width).alias("_b"))
+    cells = range(-(-width // 64))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_b", F.lit(64)).cast("int"))
+    got = each.groupBy(key).agg(*[F.bit_or(F.when(F.floor(F.col("_b") / 64) == k, mask).otherwise(F.lit(0).cast("long"))).alias(f"_m{k}") for k in cells])
+    on = lambda k: lambda i: F.call_function("getbit", F.col(f"_m{k}"), i - 64 * k) == 1
+    parts = [F.filter(F.sequence(F.lit(64 * k), F.lit(min(width, 64 * k + 64) - 1)), on(k)) for k in cells]
+    return got.select(key, F.concat(*parts).alias("bits"))
+
+
 def text_descriptors(text: Column) -> list[Column]:
     """Named descriptors in a fixed order."""
     n = F.length(text)

@@ -39,10 +39,8 @@ def skip_pair_counts(spark, d):
 @query(f"""{_W}, t AS (SELECT DISTINCT doc_id, {_bucket('token', 167)} AS bucket FROM (SELECT doc_id, unnest(ws) AS token FROM w))
 SELECT doc_id, count(*)::BIGINT AS n_bits, CAST(sum(bucket) AS BIGINT) AS total FROM t GROUP BY 1""")
 def presence_bits(spark, d):
-    counts = X.hashed_counts(X.with_words(table(spark, d, "documents"), "doc_id"), "doc_id", F.col("ws"), 167)
-    bits = X.dense(counts, "doc_id", 167, presence=True)
-    on = F.filter(F.transform("values", lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
-    return bits.select("doc_id", F.size(on).cast("long").alias("n_bits"), F.aggregate(on, F.lit(0).cast("long"), lambda a, i: a + i).alias("total"))
+    bits = X.presence(X.with_words(table(spark, d, "documents"), "doc_id"), "doc_id", F.col("ws"), 167)
+    return bits.select("doc_id", F.size("bits").cast("long").alias("n_bits"), F.aggregate("bits", F.lit(0).cast("long"), lambda a, i: a + i).alias("total"))
 
 
 @query("""

@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, and rows for those without SQL."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -79,3 +80,21 @@ def test_batch_pairs_cover_the_whole_table(spark, duck, sf_dir):
     got = {r["row_id"]: r["soft_rank"] for r in catalog.QUERIES["soft_rank_batches"](spark, sf_dir).collect()}
     want = {a: 1 + sum(1 / (1 + np.exp(-(x[a] - x[b]) / 0.1)) for b in x if b != a and dealt[1][a] == dealt[1][b]) for a in x}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_presence_shuffles_a_row_for_each_key(spark):
+    """Buckets of rows of one key are joined; before the exchange they are bits, not rows of (key, bucket)."""
+    from pyspark.sql import functions as F
+
+    from plumbline.functions.scalars import bucket_of
+    from plumbline.operators import features as X
+
+    lists = [(1, [f"w{i}" for i in range(700)]), (1, ["a", "a", None]), (2, ["b"]), (2, ["b", "c"]), (3, []), (None, ["d"])]
+    df = spark.createDataFrame(lists, "k int, ws array<string>").repartition(3)
+    want = {}
+    for k, b in df.select("k", F.explode("ws").alias("w")).where("w IS NOT NULL").select("k", bucket_of(F.col("w"), 167)).collect():
+        want.setdefault(k, set()).add(b)
+    found = X.presence(df, "k", F.col("ws"), 167)
+    assert {r["k"]: r["bits"] for r in found.collect()} == {k: sorted(v) for k, v in want.items()}
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all(keys.startswith("k#") and "," not in keys for keys in dealt)
