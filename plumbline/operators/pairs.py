@@ -7,8 +7,13 @@ ranks, Spearman from rank correlation) compare the rows of a whole table.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import sigmoid, softplus
 
@@ -87,50 +92,70 @@ def losses(df: DataFrame, keys: list[str], digits: int) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.round(F.avg(c), digits).alias(k) for k, c in each.items()])
 
 
-def _total(xs: Column, f) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
-
-
-def _soft_rank_of(xs: Column, temperature: float) -> Column:
-    """Sums of sigmoids of each value's differences to all values of the array, its own included."""
-    return F.transform(xs, lambda x: _total(xs, lambda o: sigmoid((x - o) * (10.0 / temperature))))
-
-
-def _centred(xs: Column) -> Column:
-    return F.transform(xs, lambda x: x - _total(xs, lambda o: o) / F.size(xs))
+#: Pairs of a batch whose terms are held at once.
+PAIRS = 1 << 18
+
+
+def _sums(a: np.ndarray, b: np.ndarray, term: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each of ``a`` the sum of a term over all of ``b``; as many rows at a time as ``PAIRS`` allows."""
+    step = max(1, PAIRS // max(1, len(b)))
+    return np.concatenate([np.zeros(0), *(term(a[at : at + step, None], b[None, :]).sum(axis=1) for at in range(0, len(a), step))])
+
+
+def _batch_losses(y: np.ndarray, s: np.ndarray, t: np.ndarray, margin: float, temperature: float, weights: tuple[float, float]) -> tuple[float | None, ...]:
+    """ap_surrogate, auroc_margin, spearman and ranking_mse of one batch; a base loss is None where a class has no probability left."""
+    n, pos, neg = len(y), s[y == 1], s[y == 0]
+    mse = float(((s - t) ** 2).mean())
+    q = 1 / (1 + np.exp(-s))
+    q = np.where(y == 1, q, 1 - q)
+    focal_ = even_ = None
+    if not (q <= 0).any():
+        w = np.where(y == 1, weights[1], weights[0])
+        ce = -np.log(q) * w
+        focal_, even_ = float(((1 - np.exp(-ce)) ** 2 * ce).mean()), float(ce.sum() / w.sum())
+        if len(pos) and len(neg):
+            each = _sums(neg, pos, lambda v, p: np.maximum(margin - p + v, 0) + np.log1p(np.exp(-np.abs(margin - p + v))))  # of each negative
+            hard = np.exp((neg - neg.max()) / temperature)
+            pairs = len(pos) * len(neg)
+            focal_ = 0.65 * focal_ + 0.35 * float((each * hard).sum() / hard.sum() / pairs)
+            even_ = 0.75 * even_ + 0.25 * float(each.sum() / pairs)
+    if n < 2:
+        return focal_, even_, mse, mse
+    centred = []
+    for x in (s, t):
+        r = _sums(x, x, lambda a, b: 1 / (1 + np.exp(-(a - b) * (10.0 / temperature))))
+        centred.append(r - r.mean())
+    norms = [float(np.sqrt((r * r).sum())) for r in centred]
+    corr = 0.0 if min(norms) < 1e-8 else float((centred[0] * centred[1]).sum()) / (norms[0] * norms[1])
+    at = np.arange(n)
+    order = float(_sums(at, at, lambda a, c: np.maximum(0.0, 0.1 - np.sign(t[a] - t[c]) * (s[a] - s[c]))).sum())
+    order = (order - 0.1 * n) / (n * (n - 1) + 2e-8)  # ordered pairs count each pair twice, and each row with itself gives the margin
+    return focal_, even_, 0.1 * mse - corr, 0.5 * mse + 0.5 * order
 
 
 def ranking_losses(df: DataFrame, by: Column, margin: float = 0.5, temperature: float = 1.0, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(batch, n, ap_surrogate, auroc_margin, spearman, ranking_mse) of each training batch of (y, s, t).
 
     y is 0 or 1, s the score, and s - t the regression error; ``weights`` are those of the classes in the cross entropy.
-    A batch, of a bounded number of rows, is one array, and its pairs are summed up in place. The pair terms are left
-    out where a batch has no pair of that kind. Rows with a null take no part.
+    A batch, of a bounded number of rows, is one array, and each of its pairs is looked at once a term. The pair terms are
+    left out where a batch has no pair of that kind. Rows with a null take no part.
     """
     rows = df.select(by.alias("batch"), F.struct(F.col("y").cast("double").alias("y"), F.col("s").cast("double").alias("s"), F.col("t").cast("double").alias("t")).alias("r"))
     rows = rows.where("r.y IS NOT NULL AND r.s IS NOT NULL AND r.t IS NOT NULL").groupBy("batch").agg(F.sort_array(F.collect_list("r")).alias("r"))
-    own = lambda y: F.transform(F.filter("r", lambda r: r["y"] == y), lambda r: r["s"])
-    b = rows.select("batch", "r", F.size("r").alias("n"), own(1.0).alias("pos"), own(0.0).alias("neg"), F.transform("r", lambda r: r["s"]).alias("s"), F.transform("r", lambda r: r["t"]).alias("t"))
-    b = b.withColumn("_top", F.array_max("neg")).withColumn("_hard", F.transform("neg", lambda v: F.exp((v - F.col("_top")) / temperature)))
-    b = b.withColumn("_rs", _centred(_soft_rank_of(F.col("s"), temperature))).withColumn("_rt", _centred(_soft_rank_of(F.col("t"), temperature)))
-    pairs = F.size("pos") * F.size("neg")
-    n = F.col("n")
-    miss = lambda p, v: softplus(margin - (p - v))
-    hard = F.arrays_zip(F.col("neg").alias("v"), F.col("_hard").alias("w"))
-    hardest = _total(F.col("pos"), lambda p: _total(hard, lambda h: miss(p, h["v"]) * h["w"])) / _total(F.col("_hard"), lambda w: w) / pairs
-    even = _total(F.col("pos"), lambda p: _total(F.col("neg"), lambda v: miss(p, v))) / pairs
-    weight = lambda r: F.when(r["y"] == 1, weights[1]).otherwise(weights[0])
-    ce = lambda r: cross_entropy(r["y"], sigmoid(r["s"]))
-    base_focal = _total(F.col("r"), lambda r: F.pow(1 - F.exp(-weight(r) * ce(r)), F.lit(2.0)) * weight(r) * ce(r)) / n
-    base_ce = _total(F.col("r"), lambda r: weight(r) * ce(r)) / _total(F.col("r"), weight)
-    mse = _total(F.col("r"), lambda r: (r["s"] - r["t"]) * (r["s"] - r["t"])) / n
-    norm = lambda c: F.sqrt(_total(F.col(c), lambda x: x * x))
-    dot = _total(F.zip_with("_rs", "_rt", lambda a, c: a * c), lambda x: x)
-    corr = F.when((norm("_rs") < 1e-8) | (norm("_rt") < 1e-8), 0.0).otherwise(dot / (norm("_rs") * norm("_rt")))
-    order = _total(F.col("r"), lambda a: _total(F.col("r"), lambda c: F.greatest(F.lit(0.0), 0.1 - F.signum(a["t"] - c["t"]) * (a["s"] - c["s"]))))
-    order = (order - 0.1 * n) / (n * (n - 1) + 2e-8)  # ordered pairs count each pair twice, and each row with itself gives the margin
-    mixed = lambda w, base, rank, has: F.when(has, (1 - w) * base + w * rank).otherwise(base)
-    return b.select(
-        "batch", "n", mixed(0.35, base_focal, hardest, pairs > 0).alias("ap_surrogate"), mixed(0.25, base_ce, even, pairs > 0).alias("auroc_margin"),
-        F.when(n < 2, mse).otherwise(0.1 * mse - corr).alias("spearman"), mixed(0.5, mse, order, n > 1).alias("ranking_mse"),
-    )
+    names = ("ap_surrogate", "auroc_margin", "spearman", "ranking_mse")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lists, out, sizes = part.column(1), [], []
+            flat = lists.flatten()
+            cols = [c.to_numpy(zero_copy_only=False) for c in flat.flatten()]
+            ends = np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)]))
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    out.append(_batch_losses(*(c[a:b] for c in cols), margin, temperature, weights))
+                    sizes.append(b - a)
+            told = [pa.array([o[k] for o in out], pa.float64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), *told], ["batch", "n", *names])
+
+    schema = T.StructType([rows.schema["batch"], T.StructField("n", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in names)])
+    return rows.mapInArrow(run, schema)

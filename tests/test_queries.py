@@ -98,3 +98,18 @@ def test_presence_shuffles_a_row_for_each_key(spark):
     assert {r["k"]: r["bits"] for r in found.collect()} == {k: sorted(v) for k, v in want.items()}
     dealt = re.findall(r"hashpartitioning\((.*?), \d+", found._jdf.queryExecution().executedPlan().toString())
     assert dealt and all(keys.startswith("k#") and "," not in keys for keys in dealt)
+
+
+def test_each_pair_of_a_batch_is_looked_at_once(monkeypatch):
+    """A term is evaluated n * n times for a batch of n rows, in pieces that give the same losses."""
+    from plumbline.operators import pairs as P
+
+    r = np.random.default_rng(4)
+    y, s, t = (r.random(300) < 0.4).astype(float), r.normal(size=300), r.normal(size=300)
+    whole, seen, sums = P._batch_losses(y, s, t, 0.5, 1.0, (1.0, 2.0)), [], P._sums
+    monkeypatch.setattr(P, "PAIRS", 1000)
+    monkeypatch.setattr(P, "_sums", lambda a, b, term: sums(a, b, lambda x, z: seen.append(x.size * z.size) or term(x, z)))
+    assert np.allclose(P._batch_losses(y, s, t, 0.5, 1.0, (1.0, 2.0)), whole, rtol=0, atol=1e-12)
+    assert max(seen) <= 1000 and sum(seen) == 3 * 300 * 300 + int(y.sum() * (1 - y).sum())
+    assert P._batch_losses(np.array([1.0]), np.array([2.0]), np.array([0.0]), 0.5, 1.0, (1.0, 1.0))[2:] == (4.0, 4.0)
+    assert P._batch_losses(np.array([0.0, 1.0]), np.array([50.0, 0.0]), np.zeros(2), 0.5, 1.0, (1.0, 1.0))[:2] == (None, None)
