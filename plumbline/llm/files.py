@@ -7,6 +7,7 @@ under a temporary name and then renamed, so a retried or speculative task can on
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import pyarrow as pa
@@ -115,3 +116,10 @@ def load_sorted(folder: str, columns: tuple[str, ...]) -> list:
             _LOADED.pop(next(iter(_LOADED)))
         _LOADED[folder] = [c[order] for c in cols]
     return _LOADED[folder]
+
+
+def relieve() -> None:
+    """In a task: give back what earlier stages left in this worker process, loaded tables and freed memory that Arrow keeps."""
+    _LOADED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()

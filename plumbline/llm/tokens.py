@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import relieve
+
 PIECES, WORDS = 900_000, 900_000
 _STABLE = re.compile("[\0-\u024f]*").fullmatch
 
@@ -161,6 +163,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        relieve()
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
