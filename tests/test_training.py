@@ -95,3 +95,19 @@ def test_a_split_without_rows_is_refused(spark):
     df, _, _ = data(spark, 12)
     with pytest.raises(ValueError, match="both need rows"):
         T.train_fusion(df.where("NOT valid"), U.new_head("mlp", WIDTHS, 8, 2), "mlp", CUTS, T.Training(epochs=1))
+
+
+def test_heads_side_by_side_equal_each_alone(spark):
+    df, _, _ = data(spark)
+    wanted = [(U.new_head(kind, WIDTHS, 6, 2, seed=k), kind, T.Training(epochs=2 + k, batch=2, rate=0.01, dropout=0.3, seed=k)) for k, kind in enumerate(("mlp", "tri"))]  # 90 batches, more than a chunk
+    together = T.train_heads(df, wanted, CUTS)
+    for (head, kind, s), (got, told) in zip(wanted, together, strict=True):
+        alone, history = T.train_fusion(df, head, kind, CUTS, s, tasks=2)
+        assert np.abs(T.flat(got) - T.flat(alone)).max() < 1e-9 and [h[0] for h in told] == list(range(s.epochs)) and history.count() == s.epochs
+
+
+def test_the_error_function_is_that_of_the_library():
+    import math
+
+    x = np.append(np.linspace(-7, 7, 5001), [0.0, np.inf, -np.inf])
+    assert np.abs(U.erf(x) - [math.erf(v) for v in x]).max() < 5e-16
