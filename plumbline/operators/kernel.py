@@ -61,8 +61,12 @@ class Head:
 
 
 def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    d = (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)[None, :]
-    return np.exp(-gamma * np.maximum(d, 0))
+    d = (-2 * a) @ b.T
+    d += (a * a).sum(axis=1)[:, None]
+    d += (b * b).sum(axis=1)[None, :]
+    np.maximum(d, 0, out=d)
+    d *= -gamma
+    return np.exp(d, out=d)
 
 
 def hinge(z: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,6 +97,19 @@ def prepare_heads(train: DataFrame, heads: list[Kernel], landmarks: int) -> list
     return out
 
 
+def pass_sums(m: Head, w: np.ndarray, h: float, weight: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(second derivatives with the first ones as last column, loss) of rows at weights ``w``.
+
+    Only rows within ``h`` of the hinge have second derivatives, so only theirs are turned by the root; for the others two
+    products with a vector do.
+    """
+    k = kernel(m.prepared(x), m.landmarks, m.gamma)
+    value, first, second = hinge(y * (k @ (m.root @ w[:-1]) + w[-1]), h)
+    slope, near = weight * first * y, np.flatnonzero(second)
+    f = np.column_stack([k[near] @ m.root, np.ones(len(near))])
+    return np.column_stack([(f * (weight * second)[near, None]).T @ f, np.append((slope @ k) @ m.root, slope.sum())]), float((weight * value).sum())
+
+
 def fit_machines(train: DataFrame, heads: list[Kernel], landmarks: int = 512, sharp: float = 0.01, most: int = 60) -> tuple[list[Head], list[np.ndarray]]:
     """(heads, weights with the intercept last) on (row_id, y, values), complete rows; one pass a step for all heads."""
     n, pos = (train.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") > 0).cast("long")).alias("p")).collect()[0][k] or 0 for k in (0, 1))
@@ -114,17 +131,18 @@ def fit_machines(train: DataFrame, heads: list[Kernel], landmarks: int = 512, sh
             now = {k: (theta[k] + step[k], widths[stage[k]]) for k in open_}
 
             def run(batches: Iterator[pa.RecordBatch], now=now) -> Pairs:
+                sums = {k: [0.0, 0.0] for k in now}
                 for batch in batches:
                     for at in range(0, batch.num_rows, 4096):
                         part = batch.slice(at, 4096)
                         y, x = np.where(part.column(0).to_numpy() > 0, 1.0, -1.0), matrix(part.column(1))
                         for k, (w, h) in now.items():
-                            f = np.column_stack([made[k].features(x), np.ones(len(x))])
-                            s = heads[k].c * np.where(y > 0, weigh[k][1], weigh[k][0])
-                            value, first, second = hinge(y * (f @ w), h)
-                            both = np.column_stack([(f * (s * second)[:, None]).T @ f, f.T @ (s * first * y)])
-                            yield from zip(range(int(offset[k]), int(offset[k + 1]) - 1), both, strict=True)
-                            yield int(offset[k + 1]) - 1, np.array([(s * value).sum()])
+                            both, value = pass_sums(made[k], w, h, heads[k].c * np.where(y > 0, weigh[k][1], weigh[k][0]), y, x)
+                            sums[k] = [sums[k][0] + both, sums[k][1] + value]
+                for k, (both, value) in sums.items():
+                    if np.ndim(both):
+                        yield from zip(range(int(offset[k]), int(offset[k + 1]) - 1), both, strict=True)
+                        yield int(offset[k + 1]) - 1, np.array([value])
 
             got = added(rows, run)
             for k, (w, _) in now.items():
