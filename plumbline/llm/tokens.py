@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .files import relieve
 
 PIECES, WORDS = 900_000, 900_000
+_MARKS = ".,;:!?"
 _STABLE = re.compile("[\0-\u024f]*").fullmatch
 
 
@@ -32,21 +33,35 @@ class Pieces(dict):
 
     def __init__(self, encoder: TextEncoder):
         super().__init__()
-        self.encoder, self.of, self.words, self.ids = encoder, encoder._words, encoder.words, encoder._ids
+        self.encoder, self.words, self.merge = encoder, encoder.words, encoder.merge
+        self.code, self.alphabet = encoder.code, encoder.alphabet
+        self.marks = {m: encoder._ids(m) for m in _MARKS}
 
     def __missing__(self, piece: str) -> bytes:
-        whole = " " + piece
+        # a piece of letters is one word; the same with a mark at its end shares that word's ids
+        if piece.isalpha():
+            if piece.isascii():
+                own = "\u0120" + piece
+            elif _STABLE(piece):
+                own = "\u0120" + piece.encode().decode("latin-1").translate(self.alphabet)
+            else:
+                own = None
+            ids = self[piece] = self.encoder.foreign(" " + piece) if own is None else array(self.code, [t.id for t in self.merge(own)]).tobytes()
+            return ids
         if not piece.isascii() and not _STABLE(piece):
-            own = self[piece] = self.encoder.foreign(whole)
-            return own
-        own = b""
-        for w in self.of(whole):
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.words[w] = self.ids(w)
-            own += ids
-        self[piece] = own
-        return own
+            ids = self[piece] = self.encoder.foreign(" " + piece)
+            return ids
+        if piece[-1:] in self.marks and (word := piece[:-1]).isalpha():
+            ids = self[piece] = self[word] + self.marks[piece[-1]]
+            return ids
+        ids = b""
+        for w in self.encoder.split(" " + piece):
+            own = self.words.get(w)
+            if own is None:
+                own = self.words[w] = self.encoder._ids(w)
+            ids += own
+        self[piece] = ids
+        return ids
 
 
 class TextEncoder:
@@ -63,6 +78,8 @@ class TextEncoder:
         self.code = "H" if self.width == 2 else "I"
         self.dtype = np.dtype(f"<u{self.width}")
         self.split = regex.compile(PATTERN).findall
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)  # words are kept here; the model's own cache would only be written
         self.merge, self.library = self.tok.model.tokenize, self.tok.pre_tokenizer.pre_tokenize_str
         # the byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the other bytes follow from 256 on
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -104,14 +121,6 @@ class TextEncoder:
             own += ids
         return own
 
-    def _words(self, piece: str) -> list[str]:
-        """The pre-tokens of a piece; a space and letters, perhaps with one mark at the end, need no pattern."""
-        if piece[1:].isalpha():
-            return [piece]
-        if piece[-1] in ".,;:!?" and piece[1:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.split(piece)
-
     def _parts(self, text: str) -> list[str]:
         """The pieces of a text, without the space that starts each but the first."""
         return self.cut(text) if self.odd(text) else text.split(" ")

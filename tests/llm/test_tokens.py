@@ -142,3 +142,19 @@ def test_pack_documents(spark, docs, rows, empty, tokenizer, encoder, fresh):
         assert at <= 1024
     assert pack_documents(empty, tokenizer).count() == 0
     assert zlib.crc32(bytes(got[0]["ids"])) >= 0
+
+
+def test_a_mark_after_a_word_costs_no_merges_of_its_own():
+    import public_tokenizers
+
+    from plumbline.llm.tokens import TextEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, asked = TextEncoder(path), []
+    merge = enc.merge
+    enc.pieces.merge = lambda w: (asked.append(w), merge(w))[1]
+    text = "x zorbel zorbel, zorbel. zorbel! étélin étélin; жук жук, a1b, , ... ½. zorbel"
+    import numpy as np
+
+    assert np.frombuffer(enc.encode(text), "<u2").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert asked == ["Ġzorbel", "ĠÃ©tÃ©lin"]
