@@ -5,12 +5,18 @@ Writers never overwrite. Hashes are SHA-256 over file contents or over rows in k
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import loadable, task_files
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a data folder; scans read only the columns and row groups a query needs."""
@@ -50,17 +56,39 @@ def lookup_one(registry: DataFrame, **keys: object) -> DataFrame:
     return found.where(F.assert_true(F.col("_n") == 1, F.lit(f"not exactly one record for {keys}")).isNull()).drop("_n")
 
 
+_PLAIN = "/:@"  # other characters of a path are escaped in a URI
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], piece: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the files (path, length), a piece in memory at a time."""
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            store, at = task_files(quote(path, safe=_PLAIN))
+            digest, data = hashlib.sha256(), bytearray(piece)
+            with store.open_input_file(at) as file:
+                while n := file.readinto(data):
+                    digest.update(memoryview(data)[:n])
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["path", "length", "sha256"])
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """name, size and SHA-256 of each entry that a pattern of a folder names, such as ``folder/*.parquet``.
 
     A file is hashed by its content. An entry that is a folder has the size of all files below it, and the SHA-256 of their
-    names and SHA-256, in order of their names.
+    names and SHA-256, in order of their names. Tasks read files piece by piece where Python can open them; in other stores a
+    file is one binaryFile row, so that it must be below 2 GB and is held in memory.
     """
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
     root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
     inner = F.split(F.substring(F.col("path"), len(root) + 2, 1 << 30), "/", 2)  # entry, and the name below it
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    each = files.select(inner[0].alias("name"), F.get(inner, F.lit(1)).alias("below"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    if loadable(quote(root, safe=_PLAIN)):
+        files = files.select("path", "length").mapInArrow(_hashed, "path string, length long, sha256 string")
+    else:
+        files = files.withColumn("sha256", F.sha2("content", 256))
+    each = files.select(inner[0].alias("name"), F.get(inner, F.lit(1)).alias("below"), F.col("length").alias("size"), "sha256")
     lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "below", "sha256"))), "\n")  # a line for each file of a table
     whole = F.when(F.max("below").isNull(), F.max("sha256")).otherwise(F.sha2(lines.cast("binary"), 256))
     return each.groupBy("name").agg(F.sum("size").alias("size"), whole.alias("sha256"))
